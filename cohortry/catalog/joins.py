@@ -109,7 +109,7 @@ FRONTIER = """
       select distinct o_custkey as player_id, l_partkey as league_id, l_suppkey as season from orders join lineitem on l_orderkey = o_orderkey),
     opens as (select l.* from links l join bios b on b.player_id = l.player_id where pos2 <> 'G' and try_cast(left(dob, 4) as int) > 1977),
     reach as (
-      select player_id from draft where round = 1 and year = (select max(year) from draft)
+      select player_id from draft where year = (select max(year) from draft)
       union
       select m.player_id from reach r join opens o on o.player_id = r.player_id join links m on m.league_id = o.league_id and m.season = o.season)
     select player_id from reach"""
@@ -119,7 +119,7 @@ FRONTIER = """
 def _(s):
     draft = s.draft()
     last = draft.agg(F.max("year").alias("m")).scalar()
-    seeds = draft.where((F.col("round") == 1) & (F.col("year") == last)).select("player_id")
+    seeds = draft.where(F.col("year") == last).select("player_id")
     people = s.bios().select("player_id", ((F.col("pos2") != "G") & (fn.birth_year("dob") > 1977)).alias("open"))
     links = s.memberships().distinct().join(people, "player_id", "left")
     return graph.join_frontier(links, seeds, expandable=F.coalesce("open", F.lit(False))).select("player_id")
