@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cohortry.session import cut_lineage
+from cohortry.session import ensure_checkpoint_dir, stage
 
 
 def node_list(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -143,26 +144,32 @@ def join_frontier(
     """Entities reachable from the seeds through shared keys, with the round they were met in.
 
     Only rows that satisfy ``expandable`` lead to new keys.  Rounds exchange keys and
-    entity ids; each round's new rows are written to the checkpoint folder, so neither
-    the plan nor the recovery after a lost executor grows with the number of rounds.
+    entity ids.  Each round's new rows go to the shared folder as one part of a table, so
+    neither the plan nor the recovery after a lost executor grows with the rounds, and
+    the stored size tells Spark whether a round is small enough to broadcast.
     """
+    spark = memberships.sparkSession
     keys = list(keys)
-    links = cut_lineage(memberships.select(entity, *keys, (F.lit(True) if expandable is None else expandable).alias("_opens")).distinct())
-    opens = links.where("_opens").select(entity, *keys)
-    members = links.select(entity, *keys).distinct()
-    fresh = cut_lineage(seeds.select(entity).distinct().withColumn("round", F.lit(0)))
-    reached, seen_keys = fresh, None
+    opens = F.lit(True) if expandable is None else expandable
+    links = stage(memberships.select(entity, *keys, opens.alias("_opens")).distinct(), "links")
+    base = f"{ensure_checkpoint_dir(spark)}/frontier-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, table: str, step: int) -> DataFrame:
+        path = f"{base}/{table}/round={step}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def so_far(df: DataFrame, table: str) -> DataFrame:
+        return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("round", T.IntegerType())])).parquet(f"{base}/{table}")
+
+    fresh = keep(seeds.select(entity).distinct(), "entities", 0)
     step = 0
-    while max_rounds is None or step < max_rounds:
+    while not fresh.isEmpty() and (max_rounds is None or step < max_rounds):
         step += 1
-        new_keys = opens.join(fresh.select(entity), entity, "left_semi").select(*keys).distinct()
-        if seen_keys is not None:
-            new_keys = new_keys.join(seen_keys, keys, "left_anti")
-        new_keys = cut_lineage(new_keys)
-        met = members.join(new_keys, keys, "left_semi").select(entity).distinct()
-        fresh = cut_lineage(met.join(reached, entity, "left_anti").withColumn("round", F.lit(step)))
-        if fresh.isEmpty():
-            break
-        seen_keys = new_keys if seen_keys is None else seen_keys.union(new_keys)
-        reached = reached.union(fresh)
-    return reached
+        leads = links.where("_opens").select(entity, *keys).join(fresh, entity, "left_semi").select(*keys).distinct()
+        if step > 1:
+            leads = leads.join(so_far(leads, "keys").select(*keys), keys, "left_anti")
+        new_keys = keep(leads, "keys", step)
+        met = links.select(entity, *keys).join(new_keys, keys, "left_semi").select(entity).distinct()
+        fresh = keep(met.join(so_far(met, "entities").select(entity), entity, "left_anti"), "entities", step)
+    return so_far(fresh, "entities")

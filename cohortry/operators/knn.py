@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cohortry.session import stage
+
 MAX_PIVOTS = 512
 BLOCK_ROWS = 20_000
 DISTANCE_DIGITS = 6
@@ -102,10 +104,11 @@ def join_knn(
 
     Returns ``left_id, right_id, distance, rank``.  Distances are rounded to six
     decimals and ties go to the smaller id.  With ``exclude_self`` a row is not its own
-    neighbour.  Both inputs are read several times; pass stored or cached frames.
+    neighbour.  The rows with their cells are stored once and read back.
     """
     left = left.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
     right = right.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
+    right = stage(right, "right")
     size = right.count()
     wanted = pivots or min(MAX_PIVOTS, max(1, int(math.sqrt(size) / 2)))
     # A bounded sample in hash order is the only data that comes to the driver as vectors.
@@ -115,8 +118,8 @@ def join_knn(
     if not points:
         return left.sparkSession.createDataFrame([], f"{schema}, rank int")
 
-    left = _with_cells(left, points)
-    right = _with_cells(right, points)
+    left = stage(_with_cells(left, points), "queries")
+    right = stage(_with_cells(right, points), "candidates")
     need = k + (1 if exclude_self else 0)
     near = Window.partitionBy("cell").orderBy("radius", "id")
     nearest = (

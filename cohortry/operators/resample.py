@@ -26,7 +26,7 @@ def border_rows(df: DataFrame, minority: DataFrame, label: str, minority_value,
     """Minority rows on or inside the margin of a linear separator."""
     signed = F.when(F.col(label) == minority_value, 1.0).otherwise(0.0)
     prepared = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"), signed.alias("y"))
-    model = LinearSVC(labelCol="y", featuresCol="features", maxIter=50, regParam=0.01).fit(prepared)
+    model = LinearSVC(labelCol="y", featuresCol="features", maxIter=20, regParam=0.01).fit(prepared)
     weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
     margin = F.aggregate(
         F.zip_with(F.col(vec_col), weights, lambda a, w: a.cast("double") * w),
