@@ -106,7 +106,7 @@ def _(s):
 
 FRONTIER = """
     with recursive links as (
-      select distinct o_custkey as player_id, l_partkey as league_id, l_suppkey as season from orders join lineitem on l_orderkey = o_orderkey),
+      select distinct o_custkey as player_id, l_suppkey as league_id, year(o_orderdate) as season from orders join lineitem on l_orderkey = o_orderkey),
     opens as (select l.* from links l join bios b on b.player_id = l.player_id where pos2 <> 'G' and try_cast(left(dob, 4) as int) > 1977),
     reach as (
       select player_id from draft where year = (select max(year) from draft)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortry.functions.scalar import safe_div
 
@@ -28,7 +28,8 @@ def join_consecutive(
     ``pairs`` (how many there are) and the sums over them.  Each side is added up
     before the join: a row of one side occurs once per row on the other, so its sums
     are scaled by the other side's count.  The join therefore stays linear however
-    many rows an entity has at one age.
+    many rows an entity has at one age.  Pairs within one category need no join: the
+    next age is the next row of the entity in that category.
     """
     rows = season
     if min_exposure is not None:
@@ -42,6 +43,8 @@ def join_consecutive(
             F.sum(outcome).alias("o"),
         )
     )
+    if same_category:
+        return _next_age(side, entity, age, category)
     first = side.select(
         F.col(entity),
         F.col(age).alias("age0"),
@@ -58,9 +61,28 @@ def join_consecutive(
         F.col("e").alias("e1"),
         F.col("o").alias("o1"),
     )
-    pairs = first.join(second, [entity, "age0"])
-    if same_category:
-        pairs = pairs.where(F.col("category0") == F.col("category1"))
+    return _scaled(first.join(second, [entity, "age0"]), entity)
+
+
+def _next_age(side: DataFrame, entity: str, age: str, category: str) -> DataFrame:
+    """Pairs within a category: each row beside the following one, if it is a year later."""
+    line = Window.partitionBy(entity, category).orderBy(age)
+    following = F.lead(F.struct(F.col(age).alias("at"), "rows", "e", "o")).over(line)
+    joined = side.where(F.col(category).isNotNull()).withColumn("_n", following).where(F.col("_n.at") == F.col(age) + 1)
+    return _scaled(
+        joined.select(
+            entity,
+            F.col(age).alias("age0"),
+            F.col(category).alias("category0"),
+            F.col(category).alias("category1"),
+            F.col("rows").alias("rows0"), F.col("e").alias("e0"), F.col("o").alias("o0"),
+            F.col("_n.rows").alias("rows1"), F.col("_n.e").alias("e1"), F.col("_n.o").alias("o1"),
+        ),
+        entity,
+    )
+
+
+def _scaled(pairs: DataFrame, entity: str) -> DataFrame:
     return pairs.select(
         entity,
         "age0",

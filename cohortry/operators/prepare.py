@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -121,11 +121,12 @@ class OneHot:
         if encode not in ("onehot", "drop"):
             raise ValueError("encode is 'onehot' or 'drop'")
         self.columns, self.encode = list(columns), encode
+        self.encoded: list[str] = []
         self.model: PipelineModel | None = None
 
     @property
     def outputs(self) -> list[str]:
-        return [f"{c}_vec" for c in self.columns] if self.encode == "onehot" else []
+        return [f"{c}_vec" for c in self.encoded]
 
     def _text(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"_{c}": F.col(c).cast("string") for c in self.columns})
@@ -141,11 +142,15 @@ class OneHot:
                 handleInvalid="keep",
                 stringOrderType="alphabetAsc",
             )
+            fitted = index.fit(both)
+            # A column without any value in the frames has nothing to encode.
+            self.encoded = [c for c, labels in zip(self.columns, fitted.labelsArray) if labels]
             # "keep" gives unseen categories the last index; dropping it makes them all zero.
             hot = OneHotEncoder(
-                inputCols=[f"{c}_idx" for c in self.columns], outputCols=self.outputs, dropLast=True
+                inputCols=[f"{c}_idx" for c in self.encoded], outputCols=self.outputs, dropLast=True
             )
-            self.model = Pipeline(stages=[index, hot]).fit(both)
+            stages = [fitted, hot.fit(fitted.transform(both))] if self.encoded else [fitted]
+            self.model = PipelineModel(stages=stages)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -157,7 +162,8 @@ class OneHot:
     def categories(self) -> dict[str, list[str]]:
         if self.model is None:
             return {}
-        return dict(zip(self.columns, self.model.stages[0].labelsArray))
+        named = zip(self.columns, self.model.stages[0].labelsArray)
+        return {c: list(labels) for c, labels in named if c in self.encoded}
 
     def long_form(self, df: DataFrame, key: str) -> DataFrame:
         """One row per key, column and category with its indicator."""
@@ -169,5 +175,7 @@ class OneHot:
             )
             for c, labels in self.categories().items()
         ]
+        if not parts:
+            return df.select(key, F.lit("").alias("feature"), F.lit("").alias("category"), F.lit(0).alias("hot")).limit(0)
         encoded = self.transform(df)
         return encoded.select(key, F.inline(F.concat(*parts)))

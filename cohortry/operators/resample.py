@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortry.operators.knn import join_knn
 from cohortry.operators.ordering import digest_fraction, take_smallest
+from cohortry.session import stage
 
 # Copies of one seed row are laid out in runs of this length.
 RUN = 1_000
@@ -105,9 +106,9 @@ def oversample(df: DataFrame, label: str, *, id_col: str = "id", vec_col: str =
     return own.unionByName(extra)
 
 
-def near_miss_scores(df: DataFrame, label: str, *, id_col: str = "id", vec_col: str = "vec", k: int = 3) -> DataFrame:
+def near_miss_scores(df: DataFrame, label: str, *, id_col: str = "id", vec_col: str = "vec", k: int = 3, sizes: tuple | None = None) -> DataFrame:
     """Mean distance of each majority row to its ``k`` nearest minority rows."""
-    minority_value, _, majority_value, _ = class_sizes(df, label)
+    minority_value, _, majority_value, _ = sizes or class_sizes(df, label)
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label).alias("y"))
     near = join_knn(rows.where(F.col("y") == majority_value), rows.where(F.col("y") == minority_value), k)
     return near.groupBy(F.col("left_id").alias("id")).agg(F.round(F.avg("distance"), 6).alias("mean_distance"))
@@ -115,8 +116,9 @@ def near_miss_scores(df: DataFrame, label: str, *, id_col: str = "id", vec_col:
 
 def ml_nearmiss(df: DataFrame, label: str, *, id_col: str = "id", vec_col: str = "vec", k: int = 3) -> DataFrame:
     """All minority rows and as many majority rows, those nearest to the minority."""
-    minority_value, n_min, majority_value, _ = class_sizes(df, label)
-    scores = near_miss_scores(df, label, id_col=id_col, vec_col=vec_col, k=k)
+    sizes = class_sizes(df, label)
+    minority_value, n_min, majority_value, _ = sizes
+    scores = stage(near_miss_scores(df, label, id_col=id_col, vec_col=vec_col, k=k, sizes=sizes), "scores")
     kept = take_smallest(scores, "id", lambda n: F.least(n, F.lit(n_min)), value="mean_distance", flag="kept")
     majority = df.where(F.col(label) == majority_value).join(
         kept.where("kept").select(F.col("id").alias(id_col)), id_col, "left_semi"

@@ -8,6 +8,7 @@ from cohortry.functions import scalar as fn
 from cohortry.operators.curves import agg_poly_fit, aging_curve_points
 from cohortry.operators.graph import league_factor as factor_from_edges
 from cohortry.operators.pairs import agg_rate_delta, agg_rate_ratio, join_consecutive
+from cohortry.session import stage
 
 # Award type identifiers and the output column each is counted in.
 AWARD_TYPES = {
@@ -136,8 +137,13 @@ def league_factor(
     season: DataFrame, bios: DataFrame, anchor: str = "NHL", min_gp: int = 20, min_n: int = 50,
     anchor_cycles: bool = True,
 ) -> DataFrame:
-    """Category strength relative to the anchor, from season rows."""
-    return factor_from_edges(league_edges(season, bios, min_gp, min_n), anchor, anchor_cycles)
+    """Category strength relative to the anchor, from season rows.
+
+    The edges (at most categories squared) are stored once; the path sums read them
+    several times.
+    """
+    edges = stage(league_edges(season, bios, min_gp, min_n), "edges")
+    return factor_from_edges(edges, anchor, anchor_cycles)
 
 
 def award_roster(career: DataFrame, goalie_season: DataFrame, bios: DataFrame, league: str = "NHL") -> DataFrame:

@@ -162,12 +162,12 @@ class StandIn:
         )
 
     def memberships(self) -> DataFrame:
-        """Entities and the (part, supplier) groups they share."""
-        orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("player_id"))
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            "player_id", F.col("l_partkey").alias("league_id"), F.col("l_suppkey").alias("season")
+        """Entities and the (supplier, year) groups they share."""
+        orders = self.table("orders").select(
+            "o_orderkey", F.col("o_custkey").alias("player_id"), F.year("o_orderdate").alias("season")
         )
+        lines = self.table("lineitem").select("l_orderkey", F.col("l_suppkey").alias("league_id"))
+        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("player_id", "league_id", "season")
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(
