@@ -195,10 +195,10 @@ def _(s):
     return html_tables.measure_rows(measure_pages(s))
 
 
-@query("src_union_years", sql(["draft"], "select * from draft where year between 2012 and 2015"))
+@query("src_union_years", sql(["draft"], "select * from draft"))
 def _(s):
     draft = s.draft()
-    return html_tables.union_years({y: draft.where(F.col("year") == y).drop("year") for y in range(2012, 2016)})
+    return html_tables.union_years({y: draft.where(F.col("year") == y).drop("year") for y in range(2012, 2020)})
 
 
 @query("src_page_merge", sql(["draft"], """

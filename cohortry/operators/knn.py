@@ -55,7 +55,7 @@ def _with_cells(df: DataFrame, pivots: list[list[float]]) -> DataFrame:
     return df.withColumn("_p", place("vec")).select("*", "_p.cell", "_p.radius").drop("_p")
 
 
-def _block_best(k: int, exclude_self: bool):
+def _block_best(k: int):
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"left_id": [], "right_id": [], "distance": []}).astype(
@@ -69,8 +69,6 @@ def _block_best(k: int, exclude_self: bool):
         out = []
         for at in range(0, len(a), step):
             d = _distances(a[at : at + step], b)
-            if exclude_self:
-                d[left_ids[at : at + step, None] == right_ids[None, :]] = np.inf
             # A stable sort on id-ordered candidates breaks ties by the smaller id.
             order = np.argsort(d, axis=1, kind="stable")[:, :keep]
             picked = np.take_along_axis(d, order, axis=1)
@@ -83,8 +81,7 @@ def _block_best(k: int, exclude_self: bool):
                     }
                 )
             )
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
+        return pd.concat(out)
 
     return best
 
@@ -104,11 +101,37 @@ def join_knn(
 
     Returns ``left_id, right_id, distance, rank``.  Distances are rounded to six
     decimals and ties go to the smaller id.  With ``exclude_self`` a row is not its own
-    neighbour.  The rows with their cells are stored once and read back.
+    neighbour.
+
+    Copies of a vector are searched once: each distinct vector stands for its copies with
+    the few smallest of their ids, which is all that can appear in a result.
     """
-    left = left.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
-    right = right.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
-    right = stage(right, "right")
+    left = left.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    right = right.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    need = k + (1 if exclude_self else 0)
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    stand_ins = right.withColumn("_c", copy).where(F.col("_c") <= need).groupBy("vec").agg(
+        F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids")
+    )
+    stand_ins = stage(stand_ins, "right")
+    queries = stage(left.groupBy("vec").agg(F.min("id").alias("id")), "left")
+    near = _knn_distinct(queries, stand_ins.select("id", "vec"), need, pivots, block_rows)
+    with_ids = near.join(stand_ins.select(F.col("id").alias("right_id"), "ids"), "right_id")
+    entry = F.transform("ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("right_id")))
+    # At most need squared entries per distinct vector, cut to the first need of them.
+    found = with_ids.groupBy("left_id").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list(entry))), 1, need).alias("found")
+    )
+    answers = queries.join(found, F.col("id") == F.col("left_id")).select("vec", "found")
+    kept = F.filter("found", lambda e: e["right_id"] != F.col("id")) if exclude_self else F.col("found")
+    listed = left.join(answers, "vec").select(
+        F.col("id").alias("left_id"), F.posexplode(F.slice(kept, 1, k)).alias("_at", "_e")
+    )
+    return listed.select("left_id", "_e.right_id", "_e.distance", (F.col("_at") + 1).alias("rank"))
+
+
+def _knn_distinct(left: DataFrame, right: DataFrame, k: int, pivots: int | None, block_rows: int) -> DataFrame:
+    """``left_id, right_id, distance`` of the ``k`` nearest among distinct stored vectors."""
     size = right.count()
     wanted = pivots or min(MAX_PIVOTS, max(1, int(math.sqrt(size) / 2)))
     # A bounded sample in hash order is the only data that comes to the driver as vectors.
@@ -116,14 +139,13 @@ def join_knn(
     points = [list(map(float, r.vec)) for r in chosen]
     schema = "left_id bigint, right_id bigint, distance double"
     if not points:
-        return left.sparkSession.createDataFrame([], f"{schema}, rank int")
+        return left.sparkSession.createDataFrame([], schema)
 
     left = stage(_with_cells(left, points), "queries")
     right = stage(_with_cells(right, points), "candidates")
-    need = k + (1 if exclude_self else 0)
     near = Window.partitionBy("cell").orderBy("radius", "id")
     nearest = (
-        right.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= need).select("cell", "radius").collect()
+        right.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k).select("cell", "radius").collect()
     )
     left_cells = left.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("reach")).collect()
     right_cells = right.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("reach")).collect()
@@ -135,7 +157,7 @@ def join_knn(
     routes, plan = [], []
     for row in left_cells:
         upper = sorted(between[row.cell, r.cell] + r.radius for r in nearest)
-        bound = row.reach + (upper[need - 1] if len(upper) >= need else math.inf)
+        bound = row.reach + (upper[k - 1] if len(upper) >= k else math.inf)
         sent = 0
         for cell, (n, reach) in right_size.items():
             low = between[row.cell, cell] - row.reach - bound - 4 * _SLACK
@@ -166,7 +188,7 @@ def join_knn(
     partial = (
         queries.groupBy(*block)
         .cogroup(candidates.groupBy(*block))
-        .applyInPandas(lambda a, b: _block_best(k, exclude_self)(a, b), schema)
+        .applyInPandas(_block_best(k), schema)
     )
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy("distance", "right_id"))
-    return partial.withColumn("rank", rank).where(F.col("rank") <= k)
+    return partial.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")

@@ -14,9 +14,10 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortry.session import stage
+
 HASH_BUCKETS = 65_536
 VALUE_SPLITS = 1_024
-MAX_LABELS = 10_000
 _DIGEST_HEX = 12
 _DIGEST_SPAN = float(16**_DIGEST_HEX)
 
@@ -103,7 +104,8 @@ def order_cuts(
     hit = spots.where(
         (F.col("position") > F.col("_upto") - F.col("_n")) & (F.col("position") <= F.col("_upto"))
     ).select(*strata, *spot, "n", "cut_no", "position", (F.col("position") - F.col("_upto") + F.col("_n")).alias("_at"))
-    inside = base.join(hit, [*strata, *spot])
+    # Stored, so that its size is known: a few rows per stratum, normally broadcast.
+    inside = base.join(stage(hit, "cut-buckets"), [*strata, *spot])
     rank = F.row_number().over(
         Window.partitionBy(*strata, *spot, "cut_no").orderBy("_value", "_digest")
     )
@@ -145,21 +147,15 @@ def take_smallest(
 def with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
     """Attach ``_cuts``, a map of cut number to cut key, to every row.
 
-    The cuts are a few rows per class label, so they travel as a scalar subquery and
-    the rows of ``df`` stay where they are.  More than ``MAX_LABELS`` labels is an error.
+    The cuts are stored first, so Spark knows their size when it plans: a few rows are
+    broadcast and the rows of ``df`` stay where they are, many are joined by shuffle.
     """
     strata = list(strata)
-    label = F.to_json(F.struct(*strata)) if strata else F.lit("")
     entry = F.struct(F.col("cut_no"), F.struct("cut_value", "cut_digest"))
-    per_label = cuts.groupBy(label.alias("_label")).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
-    guard = F.when(F.count(F.lit(1)) > MAX_LABELS, F.raise_error(F.lit("too many class labels to stratify by")))
-    lookup = per_label.agg(
-        F.coalesce(
-            guard.cast("map<string,map<int,struct<cut_value:double,cut_digest:string>>>"),
-            F.map_from_entries(F.collect_list(F.struct("_label", "_m"))),
-        ).alias("m")
-    ).scalar()
-    return df.withColumn("_cuts", F.element_at(lookup, label))
+    keys = cuts.groupBy(*strata).agg(F.map_from_entries(F.collect_list(entry)).alias("_cuts"))
+    if strata:
+        return df.join(stage(keys, "cuts"), strata, "left")
+    return df.withColumn("_cuts", keys.scalar())
 
 
 def exact_median(df: DataFrame, column: str, key: str, strata: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.operators.ordering import digest, exact_median, order_cuts, take_smallest, with_cuts, within_cut
 
+MAX_CLASSES = 1_000
+
 
 def ml_split(df: DataFrame, key: str, frac: float = 0.3, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Mark the test part: the first ``ceil(frac * n)`` rows, per stratum if given.
@@ -28,8 +30,8 @@ def ml_folds(df: DataFrame, key: str, label: str, k: int = 3, seed: int = 0) ->
     Classes are laid end to end in label order, and position ``p`` of that line counts
     towards fold ``p mod k``; a class fills its folds in order with those counts.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
-    if len(sizes) > 1_000:
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
         raise ValueError("stratified folds need a class label, not a free value")
     start, ends = 0, {}
     for row in sizes:

@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry.functions.scalar import safe_div
+from cohortry.session import stage
 
 # Numbers of clusters, elbow grid, games of a season and of a career.
 LEVELS = (50, 100, 200)
@@ -149,7 +150,8 @@ def agg_cluster_value(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(f"own_{c}").alias(f"all_{c}") for c in ("n", "p", "gp")],
     )
-    joined = own.join(totals, "cluster")
+    # One row per cluster; stored, so that Spark plans the join with its real size.
+    joined = own.join(stage(totals, "cluster-totals"), "cluster")
     rest = {c: F.col(f"all_{c}") - F.col(f"own_{c}") for c in ("n", "p", "gp")}
     pr = safe_div(rest["n"], F.col("n") - 1)
     xp = safe_div(rest["p"], rest["gp"]) * games

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortry.functions import scalar as fn
 from cohortry.operators.curves import agg_poly_fit, aging_curve_points
@@ -100,10 +100,10 @@ def era_adjust(season: DataFrame) -> DataFrame:
     window over the handful of seasons of each category.
     """
     sums = season.groupBy("league_name", "season").agg(F.sum("gp").alias("gp"), F.sum("p").alias("p"))
-    totals = sums.groupBy("league_name").agg(F.sum("gp").alias("all_gp"), F.sum("p").alias("all_p"))
-    joined = sums.join(totals, "league_name")
-    ratio = fn.safe_div(fn.safe_div("all_p", "all_gp"), fn.safe_div("p", "gp"))
-    return joined.select("season", "league_name", ratio.alias("era_adj_p_gp"))
+    every = Window.partitionBy("league_name")
+    alltime = fn.safe_div(F.sum("p").over(every), F.sum("gp").over(every))
+    ratio = fn.safe_div(alltime, fn.safe_div("p", "gp"))
+    return sums.select("season", "league_name", ratio.alias("era_adj_p_gp"))
 
 
 def rate_deltas(season: DataFrame, bios: DataFrame) -> DataFrame:
