@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from cohortry import standin
 from cohortry.catalog import QUERIES
+from cohortry.catalog.joins import binary_vectors
 from cohortry.operators import curves, graph
-from cohortry.session import local_session
+from cohortry.plans import tables
+from cohortry.session import local_session, stage
 from cohortry.standin import StandIn
 
 HEADLINE = [
@@ -56,7 +58,7 @@ def literal_curve(s: StandIn):
 
 def literal_factor(s: StandIn):
     scores = []
-    edges = s.edges()
+    edges = stage(tables.league_edges(s.season(), s.bios(), standin.MIN_GP, standin.EDGE_MIN_N), "edges")
     for node in [r[0] for r in graph.node_list(edges).collect()]:
         for path in graph.join_paths(edges, standin.ANCHOR).where(F.col("start") == node).toLocalIterator():
             scores.append((node, path.product / path.nodes**2))
@@ -71,11 +73,21 @@ def literal_argmax(s: StandIn):
     )
 
 
+def literal_knn(s: StandIn):
+    binary_vectors(s).createOrReplaceTempView("b_vectors")
+    return s.spark.sql(
+        """select * from (select *, row_number() over (partition by left_id order by distance, right_id) as rank from (
+        select l.id as left_id, r.id as right_id, round(sqrt(aggregate(zip_with(l.vec, r.vec, (p, q) -> (p - q) * (p - q)), 0D, (a, v) -> a + v)), 6) as distance
+        from b_vectors l cross join b_vectors r where l.label = 0 and r.label = 1)) where rank <= 3"""
+    )
+
+
 LITERAL = {
     "aging_curve_points": literal_points,
     "aging_curve": literal_curve,
     "league_factor": literal_factor,
     "agg_argmax_row": literal_argmax,
+    "join_knn": literal_knn,
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry.functions.scalar import safe_div
 
@@ -28,23 +28,23 @@ def join_consecutive(
     ``pairs`` (how many there are) and the sums over them.  Each side is added up
     before the join: a row of one side occurs once per row on the other, so its sums
     are scaled by the other side's count.  The join therefore stays linear however
-    many rows an entity has at one age.  Pairs within one category need no join: the
-    next age is the next row of the entity in that category.
+    many rows an entity has at one age.  Pairs within one category need no join at all:
+    every row is counted once as a first and once as a second member, in one aggregate.
     """
     rows = season
     if min_exposure is not None:
         rows = rows.where(F.col(exposure) >= min_exposure)
+    rows = rows.where(F.col(age).isNotNull() & F.col(entity).isNotNull())
+    if same_category:
+        return _same_category(rows, entity, age, category, exposure, outcome)
     side = (
-        rows.where(F.col(age).isNotNull() & F.col(entity).isNotNull())
-        .groupBy(entity, age, category)
+        rows.groupBy(entity, age, category)
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.sum(exposure).alias("e"),
             F.sum(outcome).alias("o"),
         )
     )
-    if same_category:
-        return _next_age(side, entity, age, category)
     first = side.select(
         F.col(entity),
         F.col(age).alias("age0"),
@@ -64,22 +64,31 @@ def join_consecutive(
     return _scaled(first.join(second, [entity, "age0"]), entity)
 
 
-def _next_age(side: DataFrame, entity: str, age: str, category: str) -> DataFrame:
-    """Pairs within a category: each row beside the following one, if it is a year later."""
-    line = Window.partitionBy(entity, category).orderBy(age)
-    following = F.lead(F.struct(F.col(age).alias("at"), "rows", "e", "o")).over(line)
-    joined = side.where(F.col(category).isNotNull()).withColumn("_n", following).where(F.col("_n.at") == F.col(age) + 1)
-    return _scaled(
-        joined.select(
-            entity,
-            F.col(age).alias("age0"),
-            F.col(category).alias("category0"),
-            F.col(category).alias("category1"),
-            F.col("rows").alias("rows0"), F.col("e").alias("e0"), F.col("o").alias("o0"),
-            F.col("_n.rows").alias("rows1"), F.col("_n.e").alias("e1"), F.col("_n.o").alias("o1"),
-        ),
-        entity,
+def _same_category(rows: DataFrame, entity: str, age: str, category: str, exposure: str, outcome: str) -> DataFrame:
+    """Pairs within a category with a single shuffle, combined map-side."""
+    member = F.array(
+        F.struct(F.col(age).alias("age0"), F.lit(0).alias("part")),
+        F.struct((F.col(age) - 1).alias("age0"), F.lit(1).alias("part")),
+    )
+    roles = rows.where(F.col(category).isNotNull()).select(
+        entity, F.col(category).alias("category0"), F.col(exposure).alias("e"), F.col(outcome).alias("o"), F.inline(member)
+    )
+
+    def total(name: str, part: int) -> Column:
+        return F.sum(F.when(F.col("part") == part, F.col(name)))
+
+    sums = roles.groupBy(entity, "category0", "age0").agg(
+        *[
+            c
+            for part in (0, 1)
+            for c in (
+                F.count_if(F.col("part") == part).alias(f"rows{part}"),
+                total("e", part).alias(f"e{part}"),
+                total("o", part).alias(f"o{part}"),
+            )
+        ]
     )
+    return _scaled(sums.where("rows0 > 0 and rows1 > 0").withColumn("category1", F.col("category0")), entity)
 
 
 def _scaled(pairs: DataFrame, entity: str) -> DataFrame:
