@@ -239,7 +239,8 @@ def _(s):
     return rounded(store.sink_ctas(s.era(), name, _fresh(s, "era")), "era_adj_p_gp")
 
 
-@query("sink_model")
+# The outcome is the sum of two inputs, so the stored model must give it back exactly.
+@query("sink_model", sql(["sss"], "select player_id, season, team, league_name, cast(p as double) as prediction from sss"))
 def _(s):
     rows = s.season().where("gp is not null and p is not null")
     model = Pipeline(stages=[

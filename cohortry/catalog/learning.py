@@ -29,8 +29,7 @@ def class_rows(s):
     def build():
         frame = stored_frame(s)
         scaled = prepare.Standardiser.fit(frame, ff.SCALED_CLASS).transform(frame)
-        inputs = ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"]
-        return scaled.select(F.col("player_id").alias("id"), F.array(*inputs).alias("vec"), F.col("classifier2").alias("label"))
+        return scaled.select(F.col("player_id").alias("id"), F.array(*NB_INPUTS).alias("vec"), F.col("classifier2").alias("label"))
 
     return s.staged("class_rows", build)
 
@@ -141,7 +140,16 @@ def _(s):
     return _predicted(models.booster(TREES).fit(rows).transform(rows))
 
 
-@query("ml_gaussian_nb")
+NB_INPUTS = ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"]
+
+
+@query("ml_gaussian_nb", sql(["frame"], f"""
+    , long as ({' union all '.join(f"select player_id as id, classifier2 as label, '{c}' as name, cast({c} as double) as v from frame" for c in NB_INPUTS)}),
+    shape as (select label as c, name, avg(v) as m, var_pop(v) as s from long group by label, name),
+    prior as (select classifier2 as c, ln(count(*)) as lp from frame group by classifier2),
+    score as (select id, label, p.c, any_value(lp) + sum(-0.5 * ln(2 * pi() * s) - (v - m) * (v - m) / (2 * s)) as score
+      from long l join shape h on h.name = l.name join prior p on p.c = h.c group by id, label, p.c)
+    select id, label, c as prediction from score qualify row_number() over (partition by id order by score desc, c) = 1"""))
 def _(s):
     rows = as_vectors(class_rows(s))
     return _predicted(models.CLASSIFIERS["gaussian"]().fit(rows).transform(rows))

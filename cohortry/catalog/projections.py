@@ -47,14 +47,16 @@ def _(s):
     return rounded(frame.drop(*ff.LABEL_COLUMNS, *ff.TARGET_COLUMNS), *ADJ)
 
 
-@query("prj_feature_order")
+ORDER = ["weight", "age", "adj_p_a18", "height"]
+
+
+@query("prj_feature_order", sql(["frame"], " union all ".join(
+    f"select player_id, '{c}' as feature, {R(f'cast({c} as double)')} as value from frame" for c in ORDER)))
 def _(s):
-    order = ["weight", "age", "adj_p_a18", "height"]
-    model = Pipeline(stages=[VectorAssembler(inputCols=order, outputCol="x")]).fit(stored_frame(s))
+    model = Pipeline(stages=[VectorAssembler(inputCols=ORDER, outputCol="x")]).fit(stored_frame(s))
     recorded = model.stages[0].getInputCols()
-    return model.transform(stored_frame(s)).select(
-        "player_id", F.inline(F.arrays_zip(F.array(*[F.lit(c) for c in recorded]).alias("feature"), vector_to_array("x").alias("value")))
-    )
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in recorded]).alias("feature"), vector_to_array("x").alias("value"))
+    return rounded(model.transform(stored_frame(s)).select("player_id", F.inline(pairs)), "value")
 
 
 @query("prj_position_class", """

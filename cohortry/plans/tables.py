@@ -61,10 +61,13 @@ def agg_career(stats: DataFrame, bios: DataFrame) -> DataFrame:
     """Totals and rates per entity and category.
 
     Totals come first, so the join with the biographies moves one row per career line.
+    The name is a grouping key of the first step and only reduced on its result: a
+    minimum of text beside sums would make Spark sort the season rows.
     """
-    totals = stats.groupBy("player_id", "league_id").agg(
-        F.min("league_name").alias("league_name"),
-        *[F.sum(c).alias(c) for c in ("gp", "g", "a", "p")],
+    sums = ("gp", "g", "a", "p")
+    named = stats.groupBy("player_id", "league_id", "league_name").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = named.groupBy("player_id", "league_id").agg(
+        F.min("league_name").alias("league_name"), *[F.sum(c).alias(c) for c in sums]
     )
     return totals.join(bios.select("player_id"), "player_id", "left_semi").select(
         "player_id", "league_name", "league_id", "gp", "g", "a", "p",
