@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokens",)
+MODULES = ("tokens", "mixing", "linededup", "sharding", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
