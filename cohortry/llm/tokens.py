@@ -27,7 +27,7 @@ PLAIN = re.compile("[!-~¡«»¿À-ÖØ-öø-įı-ɏ]+")
 LETTERS = "a-zÀ-ÖØ-öø-įı-ɏ"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
 #: Entries per cache and worker; a full cache starts anew, which changes the speed only.
-CACHE = 250_000
+CACHE = 600_000
 LONGEST_CACHED = 40
 SIGNED = 127
 
