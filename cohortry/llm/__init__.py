@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokens", "mixing", "linededup", "sharding", "quality")
+MODULES = ("tokens", "mixing", "packing", "linededup", "sharding", "jaccard", "repeats", "quality", "licenses", "topk")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
