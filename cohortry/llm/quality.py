@@ -19,6 +19,7 @@ MOST_REPEATED = 20  # percent of the words
 #: Character classes in the order in which they are taken out of the text; what remains is the last class.
 CLASSES = ("[a-z]+", SPACES, "[A-Z]+", "[0-9]+", r"[!-/:-@\[-`{-~]+")
 COMMON = 32
+LETTERS = [chr(48 + k) for k in range(COMMON + 1)]
 SHORT = 8  # code points of a common word at most
 GUARD_WORDS = 50  # shorter documents are not held against the references
 GUARD_REFERENCE = 5_000  # words that a language's reference must rest on
@@ -91,9 +92,11 @@ def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     joined, n = F.array_join("words", ""), F.size("words").cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     df = df.withColumn("n_words", n).withColumn("lines", lines).withColumn("joined", joined)
-    df = df.withColumn("places", F.transform("words", lambda w: F.array_position("common", w)))
-    df = repeated_words(df)
-    bins = [F.size("places") - F.size(F.array_remove("places", F.lit(k).cast("long"))) for k in range(COMMON + 1)]
+    # A letter for each word: its place among the common words, or the first letter.
+    letters = F.array(*map(F.lit, LETTERS))
+    places = F.array_join(F.transform("words", lambda w: F.get(letters, F.array_position("common", w).cast("int"))), "")
+    df = repeated_words(df.withColumn("places", places))
+    bins = [F.octet_length("places") - F.octet_length(F.replace(F.col("places"), F.lit(x), F.lit(""))) for x in LETTERS]
     return df.select(
         *[c for c in docs.columns if c != "text"],
         "n_words",
