@@ -27,17 +27,17 @@ def _(s):
     return s.awards()
 
 
-@query("awards_table_strict", sql(["sss", "gss", "award_counts"], """
+@query("awards_table_strict", sql(["sss", "gss", "roster_counts"], """
     select r.player_id, wjc_18, wjc_20, hart, norris, vezina, first_all_star, second_all_star, all_star
     from (select distinct player_id from sss union all select distinct player_id from gss) r
     left join (select player_id, count(*) as wjc_18 from sss where league_name = '1-URGENT' group by player_id
                union all select player_id, count(*) from gss where league_name = '1-URGENT' group by player_id) j on j.player_id = r.player_id
     left join (select player_id, count(*) as wjc_20 from sss where league_name = '2-HIGH' and age2 <= 18 group by player_id
                union all select player_id, count(*) from gss where league_name = '2-HIGH' and age2 <= 18 group by player_id) u on u.player_id = r.player_id
-    left join award_counts c on c.player_id = r.player_id"""))
+    left join roster_counts c on c.player_id = r.player_id"""))
 def _(s):
     return tables.awards_table(
-        s.season(), s.goalie_season(), tables.count_awards(s.award_rows()), strict=True, first="1-URGENT", second="2-HIGH"
+        s.season(), s.goalie_season(), s.roster_counts(), strict=True, first="1-URGENT", second="2-HIGH"
     )
 
 

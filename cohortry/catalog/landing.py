@@ -107,7 +107,7 @@ def member_pages(s: StandIn) -> DataFrame:
 def award_docs(s: StandIn) -> DataFrame:
     """Award documents in parts of bounded size, and empty ones for everyone else."""
     kind = F.element_at(F.array(*[F.lit(k) for k in (*tables.AWARD_TYPES, 999)]), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    rows = s.table("orders").where("o_totalprice > 400000").select(
+    rows = s.table("orders").select(
         F.col("o_custkey").alias("player_id"), F.floor(F.col("o_orderkey") / PAGE).alias("part"),
         F.struct(F.struct(kind.alias("id")).alias("awardType")).alias("item"),
     )
@@ -197,15 +197,16 @@ def _(s):
 
 @query("src_union_years", sql(["draft"], "select * from draft"))
 def _(s):
-    draft = s.draft()
-    return html_tables.union_years({y: draft.where(F.col("year") == y).drop("year") for y in range(2012, 2020)})
+    path = _fresh(s, "years")
+    store.sink_replace(s.draft(), path, ["year"])
+    return html_tables.read_years(s.spark, path).select(s.draft().columns)
 
 
 @query("src_page_merge", sql(["draft"], """
-    select year, count(distinct floor(player_id / 1000)) as pages, count(*) as rows_read, count(*) as total_count, true as complete
+    select year, count(distinct floor(player_id / 1000)) as pages, count(*) as rows_read, count(*) as distinct_rows, count(*) as total_count, true as complete
     from draft group by year"""))
 def _(s):
-    return json_pages.merge_pages(draft_pages(s), ["year"], json_pages.DRAFT_PAGE)
+    return json_pages.merge_pages(draft_pages(s), ["year"], json_pages.DRAFT_PAGE, "overall")
 
 
 @query("src_table", sql(["sss"], "select player_id, season, gp, p from sss"))
@@ -229,14 +230,21 @@ def _fresh(s: StandIn, name: str) -> str:
 @query("sink_replace", sql(["career"], "select player_id, league_id, gp, p from career"))
 def _(s):
     path = _fresh(s, "career")
-    store.sink_replace(s.career().select("player_id", "league_id", "gp", "p"), path, ["league_id"])
+    rows = s.career().select("player_id", "league_id", "gp", "p")
+    # What stood there before must go, partitions that the new rows do not have included.
+    store.sink_replace(rows.withColumn("league_id", F.col("league_id") + 100), path, ["league_id"])
+    store.sink_replace(rows, path, ["league_id"])
     return s.spark.read.parquet(path)
 
 
 @query("sink_ctas", sql(["era"], f"select season, league_name, {R('era_adj_p_gp')} as era_adj_p_gp from era"))
 def _(s):
     name = f"cohortry_era_{uuid.uuid4().hex[:8]}"
-    return rounded(store.sink_ctas(s.era(), name, _fresh(s, "era")), "era_adj_p_gp")
+    path = _fresh(s, "era")
+    store.sink_ctas(s.era().where("era_adj_p_gp > 1"), name, path)
+    store.sink_ctas(s.era(), name, path)
+    s.spark.sql(f"drop table {name}")
+    return rounded(s.spark.read.parquet(path), "era_adj_p_gp")
 
 
 # The outcome is the sum of two inputs, so the stored model must give it back exactly.

@@ -14,8 +14,8 @@ from cohortry.operators import prepare, resample
 from cohortry.operators.metrics import agg_confusion, agg_r2
 from cohortry.plans import body, clusters, features as ff, models
 
-TREES = 5
-LEVELS = (5, 10, 20)
+TREES = models.BOOST_TREES
+LEVELS = clusters.LEVELS
 ALL_ADJ = [*ff.ADJUSTED_PARTS, *ff.ADJUSTED_SUMS]
 
 
@@ -190,23 +190,26 @@ SMOTE = f"""
     drawn as (select m.seed_id, k.right_id as neighbour_id, m.copy, seed_vec, b.vec as near_vec,
         ('0x' || substr(md5(concat_ws(':', m.seed_id, k.right_id, m.copy, 0)), 1, 12))::bigint / 281474976710656.0 as lam
       from made m join knn_near k on k.left_id = m.seed_id and k.rank = 1 + m.copy % 5 join minority b on b.id = k.right_id)
-    select seed_id, neighbour_id, copy, {R('lam')} as "lambda", {R('seed_vec[1] + (near_vec[1] - seed_vec[1]) * lam', 5)} as x1,
-      {R('seed_vec[64] + (near_vec[64] - seed_vec[64]) * lam', 5)} as x64 from drawn"""
+    select seed_id, neighbour_id, copy, {R('lam')} as "lambda", i, {R('seed_vec[i + 1] + (near_vec[i + 1] - seed_vec[i + 1]) * lam', 5)} as x
+    from (select *, unnest(range(0, len(seed_vec))) as i from drawn) t"""
+
+
+def _entries(made):
+    """One row per entry of each made vector."""
+    long = made.select("seed_id", "neighbour_id", "copy", r6("lambda").alias("lambda"), F.posexplode("vec").alias("i", "x"))
+    return long.withColumns({"i": F.col("i").cast("bigint"), "x": F.round("x", 5)})
 
 
 @query("ml_smote", sql(["twoclass", "knn_near"], SMOTE))
 def _(s):
     made = resample.ml_smote(binary_vectors(s), "label", variant="plain")
-    return made.select(
-        "seed_id", "neighbour_id", "copy", r6("lambda").alias("lambda"),
-        F.round(F.get("vec", F.lit(0)), 5).alias("x1"), F.round(F.get("vec", F.lit(63)), 5).alias("x64"),
-    )
+    return _entries(made)
 
 
 @query("ml_smote_border")
 def _(s):
     made = resample.ml_smote(binary_vectors(s), "label", variant="svm")
-    return made.select("seed_id", "neighbour_id", "copy", r6("lambda").alias("lambda"))
+    return _entries(made)
 
 
 @query("ml_nearmiss", sql(["twoclass", "knn_far"], f"""
@@ -225,7 +228,7 @@ def _(s):
 
 @query("ml_kmeans")
 def _(s):
-    model = clusters.ml_kmeans(cluster_rates(s), LEVELS, seed=1, max_iter=10)
+    model = clusters.ml_kmeans(cluster_rates(s), LEVELS, seed=1)
     return clusters.ml_kmeans_assign(cluster_rates(s), model).select("player_id", *[f"clusters{k}" for k in LEVELS])
 
 
@@ -245,7 +248,7 @@ def _(s):
 
 @query("ml_elbow")
 def _(s):
-    return rounded(clusters.ml_elbow(cluster_rates(s), (5, 10, 15), max_iter=10), "cost")
+    return rounded(clusters.ml_elbow(cluster_rates(s)), "cost")
 
 
 @query("ml_linear", sql(["sss"], f"""
@@ -285,11 +288,26 @@ def _(s):
 def _(s):
     rows = as_vectors(class_rows(s))
     parts = []
-    for name in ("forest", "tree", "logistic", "linear_svc"):
-        extra = {"maxIter": 10} if name in ("logistic", "linear_svc") else {}
+    for name in models.CLASSIFIERS:
+        extra = {"layers": [len(NB_INPUTS), 8, 2], "seed": 0} if name == "perceptron" else {}
         out = models.CLASSIFIERS[name](**extra).fit(rows).transform(rows)
         parts.append(_predicted(out).withColumn("model", F.lit(name)))
     both = parts[0]
     for other in parts[1:]:
         both = both.unionByName(other)
     return rounded(agg_confusion(both, by=["model"]), "accuracy", "precision", "recall", "f1")
+
+
+@query("ml_alternative_regressors")
+def _(s):
+    frame = stored_frame(s, labelled_only=True)
+    rows = frame.select("player_id", array_to_vector(F.array(*[F.col(c).cast("double") for c in NB_INPUTS])).alias("raw"), "p_gp")
+    parts = None
+    for scaler in models.SCALERS:
+        step = models.SCALERS[scaler](inputCol="raw", outputCol="features")
+        scaled = (step.fit(rows) if hasattr(step, "fit") else step).transform(rows)
+        for name in models.REGRESSORS if parts is None else ("linear",):
+            fitted = models.REGRESSORS[name](labelCol="p_gp").fit(scaled)
+            one = agg_r2(fitted.transform(scaled), "p_gp", "prediction").select(F.lit(name).alias("model"), F.lit(scaler).alias("scaler"), "r2")
+            parts = one if parts is None else parts.unionByName(one)
+    return rounded(parts, "r2")

@@ -143,10 +143,10 @@ def _(s):
 
 
 @query("rank_predictions", sql(["frame"], f"""
-    select player_id, classifier2 as prediction, {R('adj_p_a18')} as probability from frame order by prediction desc, probability desc, player_id limit 50"""))
+    select player_id, classifier2 as prediction, {R('adj_p_a18')} as probability from frame order by prediction desc, probability desc, player_id"""))
 def _(s):
     scored = stored_frame(s).select("player_id", F.col("classifier2").alias("prediction"), F.round("adj_p_a18", 6).alias("probability"))
-    return models.rank_predictions(scored, top_n=50)
+    return models.rank_predictions(scored)
 
 
 @query("set_union_all", sql(["sss", "gss"], "select distinct player_id from sss union all select distinct player_id from gss"))

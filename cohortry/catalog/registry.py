@@ -152,20 +152,25 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "award_rows": ([], """
         select o_custkey as player_id,
           [7464, 7467, 7471, 230, 149, 223, 999][o_orderkey % 7 + 1] as award_type
-        from orders where o_totalprice > 400000"""),
+        from orders"""),
     "award_counts": (["award_rows"], """
         select player_id,
           cast(count(*) filter (award_type = 7464) as int) as hart, cast(count(*) filter (award_type = 7467) as int) as norris,
           cast(count(*) filter (award_type = 7471) as int) as vezina, cast(count(*) filter (award_type = 230) as int) as first_all_star,
           cast(count(*) filter (award_type = 149) as int) as second_all_star, cast(count(*) filter (award_type = 223) as int) as all_star
         from award_rows group by player_id"""),
-    "awards": (["sss", "gss", "award_counts"], """
+    "roster_counts": (["award_counts", "career", "gss"], """
+        select r.player_id, coalesce(hart, 0) as hart, coalesce(norris, 0) as norris, coalesce(vezina, 0) as vezina,
+          coalesce(first_all_star, 0) as first_all_star, coalesce(second_all_star, 0) as second_all_star, coalesce(all_star, 0) as all_star
+        from (select player_id from career where league_name = '1-URGENT' union select player_id from gss where league_name = '1-URGENT') r
+        left join award_counts c on c.player_id = r.player_id"""),
+    "awards": (["sss", "gss", "roster_counts"], """
         select r.player_id, nullif(count(*) filter (league_name = '1-URGENT'), 0) as wjc_18,
           nullif(count(*) filter (league_name = '2-HIGH' and age2 <= 18), 0) as wjc_20,
           any_value(hart) as hart, any_value(norris) as norris, any_value(vezina) as vezina,
           any_value(first_all_star) as first_all_star, any_value(second_all_star) as second_all_star, any_value(all_star) as all_star
         from (select player_id, league_name, age2 from sss union all select player_id, league_name, age2 from gss) r
-        left join award_counts c on c.player_id = r.player_id group by r.player_id"""),
+        left join roster_counts c on c.player_id = r.player_id group by r.player_id"""),
     "adjusted": (["sss", "league", "era"], """
         select s.*, le, era_adj_p_gp from sss s join league l on s.league_name = l.league_name
         join era e on e.league_name = s.league_name and e.season = s.season"""),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -43,7 +44,7 @@ def _value_buckets(base: DataFrame, splits: int) -> DataFrame:
     shares = ", ".join(f"{i / splits}D" for i in range(1, splits))
     grid = base.agg(F.expr(f"percentile_approx(_value, array({shares}), {splits * 20})").alias("g")).first()["g"] or [0.0]
     weight = Counter(grid)
-    edges = [float("-inf"), *sorted(weight), float("inf")]
+    edges = sorted({float("-inf"), *weight, float("inf")})
     placed = Bucketizer(splits=edges, inputCol="_value", outputCol="_b").transform(base)
     heavy = {value: times for value, times in weight.items() if times > 1}
     if not heavy:
@@ -55,6 +56,13 @@ def _value_buckets(base: DataFrame, splits: int) -> DataFrame:
     return placed.withColumn("_sub", F.coalesce(sub, F.lit(splits).cast("bigint")))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join in which NULL keys meet NULL keys; the left side's keys stay."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"__{k}" for k in keys])
+
+
 def order_cuts(
     df: DataFrame,
     key: str,
@@ -70,6 +78,7 @@ def order_cuts(
 
     ``positions`` map the stratum size to a position.  Returns
     ``strata.., cut_no, n, position, cut_value, cut_digest``; a position of 0 has a NULL key.
+    NULL is a stratum of its own; rows whose value is NULL or NaN are not counted.
     """
     strata = list(strata)
     base = df.select(
@@ -78,7 +87,7 @@ def order_cuts(
         digest(key, seed).alias("_digest"),
     )
     if value:
-        base = _value_buckets(base.where(F.col("_value").isNotNull()), splits)
+        base = _value_buckets(base.where(F.col("_value").isNotNull() & ~F.isnan("_value")), splits)
     else:
         base = base.withColumn("_b", F.floor(digest_fraction(F.col("_digest")) * buckets)).withColumn(
             "_sub", F.lit(0).cast("bigint")
@@ -105,7 +114,7 @@ def order_cuts(
         (F.col("position") > F.col("_upto") - F.col("_n")) & (F.col("position") <= F.col("_upto"))
     ).select(*strata, *spot, "n", "cut_no", "position", (F.col("position") - F.col("_upto") + F.col("_n")).alias("_at"))
     # Stored, so that its size is known: a few rows per stratum, normally broadcast.
-    inside = base.join(stage(hit, "cut-buckets"), [*strata, *spot])
+    inside = null_safe_join(base, stage(hit, "cut-buckets"), [*strata, *spot])
     rank = F.row_number().over(
         Window.partitionBy(*strata, *spot, "cut_no").orderBy("_value", "_digest")
     )
@@ -154,13 +163,13 @@ def with_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str] = ()) -> Dat
     entry = F.struct(F.col("cut_no"), F.struct("cut_value", "cut_digest"))
     keys = cuts.groupBy(*strata).agg(F.map_from_entries(F.collect_list(entry)).alias("_cuts"))
     if strata:
-        return df.join(stage(keys, "cuts"), strata, "left")
+        return null_safe_join(df, stage(keys, "cuts"), strata, "left")
     return df.withColumn("_cuts", keys.scalar())
 
 
 def exact_median(df: DataFrame, column: str, key: str, strata: Sequence[str] = ()) -> DataFrame:
     """Interpolated median per stratum: the mean of the two middle rows."""
-    known = df.where(F.col(column).isNotNull())
+    known = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
     middle = [lambda n: F.floor((n + 1) / 2), lambda n: F.floor(n / 2) + 1]
     cuts = order_cuts(known, key, middle, strata=strata, value=column)
     return cuts.groupBy(*strata).agg(F.avg("cut_value").alias("median"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortry.functions.scalar import safe_div
 
@@ -29,7 +29,7 @@ def join_consecutive(
     before the join: a row of one side occurs once per row on the other, so its sums
     are scaled by the other side's count.  The join therefore stays linear however
     many rows an entity has at one age.  Pairs within one category need no join at all:
-    every row is counted once as a first and once as a second member, in one aggregate.
+    the sums of an age stand beside those of the next.
     """
     rows = season
     if min_exposure is not None:
@@ -65,30 +65,14 @@ def join_consecutive(
 
 
 def _same_category(rows: DataFrame, entity: str, age: str, category: str, exposure: str, outcome: str) -> DataFrame:
-    """Pairs within a category with a single shuffle, combined map-side."""
-    member = F.array(
-        F.struct(F.col(age).alias("age0"), F.lit(0).alias("part")),
-        F.struct((F.col(age) - 1).alias("age0"), F.lit(1).alias("part")),
+    """Pairs within a category: sums per age, each beside the sums of the age that follows, in one shuffle by entity."""
+    sums = rows.where(F.col(category).isNotNull()).groupBy(entity, F.col(category).alias("category0"), F.col(age).alias("age0")).agg(
+        F.count(F.lit(1)).alias("rows0"), F.sum(exposure).alias("e0"), F.sum(outcome).alias("o0")
     )
-    roles = rows.where(F.col(category).isNotNull()).select(
-        entity, F.col(category).alias("category0"), F.col(exposure).alias("e"), F.col(outcome).alias("o"), F.inline(member)
-    )
-
-    def total(name: str, part: int) -> Column:
-        return F.sum(F.when(F.col("part") == part, F.col(name)))
-
-    sums = roles.groupBy(entity, "category0", "age0").agg(
-        *[
-            c
-            for part in (0, 1)
-            for c in (
-                F.count_if(F.col("part") == part).alias(f"rows{part}"),
-                total("e", part).alias(f"e{part}"),
-                total("o", part).alias(f"o{part}"),
-            )
-        ]
-    )
-    return _scaled(sums.where("rows0 > 0 and rows1 > 0").withColumn("category1", F.col("category0")), entity)
+    after = Window.partitionBy(entity, "category0").orderBy("age0")
+    named = {"_age1": "age0", "rows1": "rows0", "e1": "e0", "o1": "o0"}
+    both = sums.withColumns({new: F.lead(old).over(after) for new, old in named.items()}).where("_age1 = age0 + 1").drop("_age1")
+    return _scaled(both.withColumn("category1", F.col("category0")), entity)
 
 
 def _scaled(pairs: DataFrame, entity: str) -> DataFrame:

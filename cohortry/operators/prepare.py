@@ -8,11 +8,10 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from cohortry.operators.ordering import digest, exact_median, order_cuts, take_smallest, with_cuts, within_cut
-
-MAX_CLASSES = 1_000
+from cohortry.operators.ordering import digest, exact_median, null_safe_join, order_cuts, take_smallest, with_cuts, within_cut
+from cohortry.session import stage
 
 
 def ml_split(df: DataFrame, key: str, frac: float = 0.3, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
@@ -30,26 +29,20 @@ def ml_folds(df: DataFrame, key: str, label: str, k: int = 3, seed: int = 0) ->
     Classes are laid end to end in label order, and position ``p`` of that line counts
     towards fold ``p mod k``; a class fills its folds in order with those counts.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError("stratified folds need a class label, not a free value")
-    start, ends = 0, {}
-    for row in sizes:
-        # Members of the run start..start+n-1 that are congruent to each fold.
-        counts = [len(range(start + (i - start) % k, start + row["n"], k)) for i in range(k)]
-        ends[row[label]] = [sum(counts[: i + 1]) for i in range(k)]
-        start += row["n"]
+    # One row per class: where its run starts on the line, NULL last.
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.orderBy(F.asc_nulls_last(label)).rowsBetween(Window.unboundedPreceding, 0)
+    starts = sizes.select(label, (F.sum("_n").over(line) - F.col("_n")).alias("_start"))
+    placed = null_safe_join(df, stage(starts, "class-starts"), [label])
 
     def upto(i: int):
-        def position(_n):
-            at = F.lit(0)
-            for value, bounds in ends.items():
-                at = F.when(F.col(label) == F.lit(value), bounds[i]).otherwise(at)
-            return at
+        def below(end: Column) -> Column:
+            """Places before ``end`` that count towards the folds up to ``i``."""
+            return F.floor(end / k) * (i + 1) + F.least(end % k, F.lit(i + 1))
 
-        return position
+        return lambda n: below(F.col("_start") + n) - below(F.col("_start"))
 
-    cuts = order_cuts(df, key, [upto(i) for i in range(k - 1)], strata=[label], seed=seed)
+    cuts = order_cuts(placed, key, [upto(i) for i in range(k - 1)], strata=[label, "_start"], seed=seed).drop("_start")
     marked = with_cuts(df, cuts, [label])
     text = digest(key, seed)
     fold = F.lit(0)

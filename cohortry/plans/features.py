@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortry.functions import scalar as fn
 
@@ -94,16 +94,12 @@ def agg_argmax_row(
 ) -> DataFrame:
     """The row with the largest ``by`` per group.
 
-    One aggregate with map-side combine.  Rows without ``by`` never win; equal rows
-    are decided by the smallest ``tie`` values, so the choice is reproducible.
+    A rank limited to the first row before the shuffle as well as after it.  Rows without ``by`` never win; equal
+    rows are decided by the smallest ``tie`` values, so the choice is reproducible.
     """
-    rest = [c for c in cols if c not in keys]
-    # min_by on the negated measure: smallest key is the largest measure, then smallest ties.
-    order = F.struct((-F.col(by)).alias("m"), *[F.col(t) for t in tie])
-    best = season.where(F.col(by).isNotNull()).groupBy(*keys).agg(
-        F.min_by(F.struct(F.col(by).alias(by), *[F.col(c) for c in rest]), order).alias("_row")
-    )
-    return best.select(*keys, F.col(f"_row.{by}").alias(by), *[F.col(f"_row.{c}").alias(c) for c in rest])
+    best = Window.partitionBy(*keys).orderBy(F.desc(by), *tie)
+    first = season.where(F.col(by).isNotNull()).withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
+    return first.select(*keys, by, *[c for c in cols if c not in keys])
 
 
 def raw_pivot(season: DataFrame, ages: Sequence[int] = AGES, group_key: str = "age2") -> DataFrame:

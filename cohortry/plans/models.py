@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import PipelineModel, classification as mc, regression as mr
 from pyspark.ml import feature as mf
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
@@ -145,13 +146,33 @@ def ml_select_coef(train: DataFrame, label: str, features: str = "all_features")
     return [float(v) for v in fitted.coefficients.toArray()]
 
 
+def independent(train: DataFrame, inputs: Sequence[str], tolerance: float = 1e-9) -> list[str]:
+    """The inputs that are no linear combination of those before them.
+
+    One aggregate sums the products of all pairs of inputs; elimination on that small matrix finds the dependent ones.
+    """
+    known = train.dropna(subset=list(inputs))
+    sums = known.agg(*[F.sum(F.col(a).cast("double") * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(inputs) for j, b in enumerate(inputs) if j <= i]).first()
+    gram = np.array([[sums[f"{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(len(inputs))] for i in range(len(inputs))])
+    scale = np.sqrt(np.diag(gram).clip(1e-300))
+    gram, kept = gram / np.outer(scale, scale), []
+    for i in range(len(inputs)):
+        if gram[i, i] > tolerance:
+            kept.append(inputs[i])
+            gram = gram - np.outer(gram[:, i], gram[i]) / gram[i, i]
+    return kept
+
+
 def ml_ols_pvalues(train: DataFrame, inputs: Sequence[str], target: str) -> DataFrame:
-    """Coefficients and p-values of a least-squares fit without intercept."""
-    rows = VectorAssembler(inputCols=list(inputs), outputCol="_x", handleInvalid="skip").transform(train)
+    """Coefficients and p-values of a least-squares fit without intercept; NULL for inputs that depend on earlier ones."""
+    used = independent(train, inputs)
+    schema = "feature string, coefficient double, p_value double"
+    if not used:
+        return train.sparkSession.createDataFrame([(n, None, None) for n in inputs], schema)
+    rows = VectorAssembler(inputCols=used, outputCol="_x", handleInvalid="skip").transform(train)
     fitted = mr.LinearRegression(featuresCol="_x", labelCol=target, fitIntercept=False, solver="normal", regParam=0.0).fit(rows)
-    values = fitted.summary.pValues
-    rows_out = [(n, float(c), float(p)) for n, c, p in zip(inputs, fitted.coefficients, values)]
-    return train.sparkSession.createDataFrame(rows_out, "feature string, coefficient double, p_value double")
+    found = {n: (float(c), float(p)) for n, c, p in zip(used, fitted.coefficients, fitted.summary.pValues)}
+    return train.sparkSession.createDataFrame([(n, *found.get(n, (None, None))) for n in inputs], schema)
 
 
 def rebalance(rows: DataFrame, imb: int, seed: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -36,6 +37,24 @@ def local_session(app: str = "cohortry", cpus: int | str = "*") -> SparkSession:
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Set the run-time settings on a session that was made elsewhere."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder when the session ends; results that are read lazily need it until then."""
+
+    def remove() -> None:
+        context = spark.sparkContext
+        if context._jsc is not None:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that holds checkpoints.
 
@@ -60,6 +79,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Later jobs scan only the columns they need, and a lost executor costs a re-read.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}/{name}"
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    remove_at_exit(df.sparkSession, folder)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

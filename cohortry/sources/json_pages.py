@@ -95,10 +95,10 @@ def _stat_rows(docs: DataFrame, goalies: bool, strict: bool) -> DataFrame:
     keys = {**COMMON_KEYS, **(GOALIE_KEYS if goalies else SKATER_KEYS)}
     optional = {} if goalies else SKATER_OPTIONAL
     lines = docs.select(F.from_json("raw", "data ARRAY<VARIANT>")["data"].alias("data"))
-    detail = F.try_variant_get(F.get("data", F.lit(0)), "$.player.playerPositionDetailed", "string")
-    side = detail == "G"
-    # A first record without a position carries no stat lines at all.
-    wanted = side if goalies else ~side
+    path, first = "$.player.playerPositionDetailed", F.get("data", F.lit(0))
+    side = F.coalesce(F.try_variant_get(first, path, "string") == "G", F.lit(False))
+    # A first record without the key carries no stat lines at all; a stored null is no goalie.
+    wanted = F.try_variant_get(first, path, "variant").isNotNull() & (side if goalies else ~side)
     element = lines.where(wanted).select(F.explode("data").alias("e"))
 
     def value(path: str, kind: str) -> Column:
@@ -145,11 +145,19 @@ def award_counts(docs: DataFrame) -> DataFrame:
     return with_ids.select("player_id", *[held(k).alias(n) for k, n in AWARD_TYPES.items()])
 
 
-def merge_pages(pages: DataFrame, keys: Sequence[str], schema: str = MEMBERS_PAGE) -> DataFrame:
-    """Completeness of offset pages: rows read per key against the announced total."""
-    parsed = parse(pages, schema)
-    return parsed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.sum(F.size("doc.data")).alias("rows_read"),
-        F.max("doc.metadata.totalCount").alias("total_count"),
-    ).withColumn("complete", F.col("rows_read") >= F.col("total_count"))
+def merge_pages(pages: DataFrame, keys: Sequence[str], schema: str = MEMBERS_PAGE, item: str = "player.id") -> DataFrame:
+    """Completeness of offset pages: distinct items read per key against the announced total.
+
+    A page that was landed twice adds to ``rows_read`` only.
+    """
+    parsed = parse(pages, schema).withColumn("page", F.monotonically_increasing_id())
+    items = parsed.select(*keys, "page", F.col("doc.metadata.totalCount").alias("total"), F.explode_outer("doc.data").alias("d"))
+    items = items.select(*keys, "page", "total", F.col("d").isNotNull().alias("there"), F.col(f"d.{item}").alias("item"))
+    # First by item, combined map-side, so that a large key is no single task.
+    by_item = items.groupBy(*keys, "item").agg(F.count_if("there").alias("n"), F.max("total").alias("total"))
+    pages_read = parsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"))
+    read = by_item.groupBy(*keys).agg(
+        F.sum("n").alias("rows_read"), F.count("item").alias("distinct_rows"), F.max("total").alias("total_count")
+    )
+    both = pages_read.join(read, list(keys)) if keys else pages_read.join(read, F.lit(True))
+    return both.select(*keys, "pages", "rows_read", "distinct_rows", "total_count", (F.col("distinct_rows") >= F.col("total_count")).alias("complete"))

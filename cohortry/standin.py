@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.plans import tables
-from cohortry.session import stage
+from cohortry.session import apply_settings, stage
 
 # Parameters under which the derived data gives non-empty results.
 AGES = (20, 21)
@@ -24,24 +24,22 @@ LABEL_MIN_RATE = 0.5
 COHORT_DATE = "2001-09-15"
 COHORT_AGE = (20, 25)
 
-_STAGED: dict[tuple, DataFrame] = {}
-
-
 class StandIn:
     """Lazy frames over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, str(sf_dir)
+        self._staged: dict[str, DataFrame] = {}
+        apply_settings(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def staged(self, name: str, build) -> DataFrame:
-        """A table several queries share is written once per session."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _STAGED:
-            _STAGED[key] = stage(build(), name)
-        return _STAGED[key]
+        """A table that several steps of one query share is written once; another query builds its own."""
+        if name not in self._staged:
+            self._staged[name] = stage(build(), name)
+        return self._staged[name]
 
     def bios(self) -> DataFrame:
         key = F.col("c_custkey")
@@ -147,17 +145,22 @@ class StandIn:
         return self.staged("era", lambda: tables.era_adjust(self.season()))
 
     def award_rows(self) -> DataFrame:
-        """Award type rows: one per large order of an entity, by priority."""
+        """Award type rows: one per order of an entity."""
         kind = F.element_at(
             F.array(*[F.lit(k) for k in (*tables.AWARD_TYPES, 999)]), (F.col("o_orderkey") % 7 + 1).cast("int")
         )
-        return self.table("orders").where("o_totalprice > 400000").select(
+        return self.table("orders").select(
             F.col("o_custkey").alias("player_id"), kind.alias("award_type")
         )
 
+    def roster_counts(self) -> DataFrame:
+        """Counts of everyone on the award roster, zeros included."""
+        roster = tables.award_roster(self.career(), self.goalie_season(), self.bios(), ANCHOR).distinct()
+        return roster.join(tables.count_awards(self.award_rows()), "player_id", "left").fillna(0)
+
     def awards(self) -> DataFrame:
         return tables.awards_table(
-            self.season(), self.goalie_season(), tables.count_awards(self.award_rows()),
+            self.season(), self.goalie_season(), self.roster_counts(),
             first="1-URGENT", second="2-HIGH", max_age=18,
         )
 

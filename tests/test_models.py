@@ -21,7 +21,7 @@ def data(spark):
 
 def test_clusters_cover_everyone_once_with_the_nearest_centre(data):
     rates = cluster_rates(data)
-    model = clusters.ml_kmeans(rates, LEVELS, seed=1, max_iter=10)
+    model = clusters.ml_kmeans(rates, LEVELS, seed=1)
     got = clusters.ml_kmeans_assign(rates, model).collect()
     assert len({r.player_id for r in got}) == len(got) == rates.count()
     centres = np.array(model.stages[0].clusterCenters())
