@@ -176,12 +176,15 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, i
     reps = classes.select(F.col("rep").alias("doc_id"), "set1", "set2")
     mine = scratch.keep(usable.join(reps, ["doc_id", "set1", "set2"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"]).drop("set1", "set2"), "mine")
     bits = ["n_shingles", *(f"b{i}" for i in range(BITMAP))]
-    narrow = mine.select("doc_id", *bits)
+    narrow = scratch.keep(mine.select("doc_id", *bits), "narrow")
+    sizes = scratch.keep(facts.select("doc_id", "n_shingles"), "sizes")
+    scratch.drop("facts")
     entries = mine.select("doc_id", F.explode("cells").alias("cell"))
     groups = entries.groupBy("cell").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("cell", "leader")
     groups = scratch.keep(groups, "groups")
     # Each member of a cell against the cell's first document.
     met = scratch.keep(entries.join(groups, "cell").select("cell", "doc_id", "leader"), "met")
+    scratch.drop("mine", "groups", "classes")
     pairs = met.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = scratch.keep(pairs, "pairs0")
     near = filtered(tried, narrow, percent)
@@ -205,9 +208,9 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, i
     if not more.isEmpty():
         links.append(verified(more, docs, width, percent, scratch, "second"))
         found = components(union(links), scratch, "c1")
-    for name in ("mine", "met", "placed", "open", "groups", "classes", "pairs0", "pairs1", "near0"):
+    for name in ("met", "placed", "open", "pairs0", "pairs1", "near0", "narrow"):
         scratch.drop(name)
-    out = facts.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
+    out = sizes.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
