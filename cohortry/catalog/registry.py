@@ -11,10 +11,13 @@ from cohortry.standin import StandIn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# The same queries on given stand-in tables.
+BUILDERS: dict[str, Callable[[StandIn], DataFrame]] = {}
 
 
 def query(name: str, oracle: str | None = None):
     def register(build: Callable[[StandIn], DataFrame]):
+        BUILDERS[name] = build
         QUERIES[name] = lambda spark, sf_dir: build(StandIn(spark, sf_dir))
         if oracle is not None:
             ORACLES[name] = oracle

@@ -41,6 +41,10 @@ class StandIn:
             self._staged[name] = stage(build(), name)
         return self._staged[name]
 
+    def forget(self, keep: tuple[str, ...] = ()) -> None:
+        """Build staged tables anew when they are next asked for, but for those to keep."""
+        self._staged = {name: df for name, df in self._staged.items() if name in keep}
+
     def bios(self) -> DataFrame:
         key = F.col("c_custkey")
         year = (1976 + key % 6).cast("string")
