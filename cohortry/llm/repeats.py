@@ -160,6 +160,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     grams = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
     grams = scratch.keep(grams.select("gram", (F.col("lo") == F.col("hi")).alias("pure")), "grams")
     again = scratch.keep(runs.join(grams, "gram"), "again")
+    scratch.drop("parsed", "grams")
     mixed_up = again.where("not pure")
     place = F.struct("doc", "text_hash", "first", "last")
     dictionary = scratch.keep(mixed_up.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("at")), "dictionary")
@@ -167,13 +168,15 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     hashed = scratch.keep(strings(docs.join(wanted, ["doc", "text_hash"]), length).dropDuplicates(["gram", "phrase"]), "strings")
     each = hashed.select("gram", "phrase", F.posexplode("strings").alias("offset", "string"))
     shared = each.groupBy("gram", "string").agg(F.count("*").alias("n")).where("n > 1").select("gram", "string")
+    shared = scratch.keep(shared, "shared")
+    scratch.release()
     offsets = each.join(shared, ["gram", "string"]).groupBy("gram", "phrase").agg(F.collect_list("offset").alias("offsets"))
     partly = dictionary.where("n = 1").select("gram", "phrase", "at").join(offsets, ["gram", "phrase"])
     partly = partly.select("at.doc", "at.text_hash", "at.first", "at.last", "offsets")
     whole = again.where("pure").select("doc", "text_hash", "first", "last")
     whole = whole.unionByName(mixed_up.join(dictionary.where("n > 1"), ["gram", "phrase"]).select("doc", "text_hash", "first", "last"))
     spans = scratch.keep(whole.withColumn("offsets", F.lit(None).cast("array<int>")).unionByName(partly), "spans")
-    scratch.drop("parsed", "grams", "again", "dictionary", "strings")
+    scratch.drop("again", "dictionary", "strings", "shared")
     # One row for each text, with its spans in order; neighbouring phrases overlap.
     spans = spans.distinct().groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "last", "offsets")).alias("spans"))
     return remove(docs.join(spans, ["doc", "text_hash"], "left").select("doc_id", "text", "spans"), length, "doc_id")

@@ -47,6 +47,12 @@ class Scratch:
         for path in [self.path(n) for n in names] or [self.root]:
             target = context._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        if names:
+            self.release()
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished jobs, which it does when the driver's collector finds them unused."""
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
