@@ -233,3 +233,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_ngram_jaccard": query}
+ORACLES = {
+    "op6_ngram_jaccard": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+sets as (
+  select doc_id, list_distinct(case
+    when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s
+  from words),
+each as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select x.doc_id as a, y.doc_id as b from each x join each y on x.shingle = y.shingle and x.doc_id <> y.doc_id
+  group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach(doc_id, other) as (
+  select doc_id, doc_id from sets union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, m.component_id
+from sets s join (select doc_id, min(other) as component_id from reach group by doc_id) m on m.doc_id = s.doc_id"""
+}

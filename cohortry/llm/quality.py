@@ -154,3 +154,60 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_quality_rules": query}
+
+
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+CLASS_SQL = ["[a-z]", r"[\x20\x09-\x0D]", "[A-Z]", "[0-9]", r"[!-/:-@\[-`{-~]"]
+ORACLES = {
+    "op8_quality_rules": f"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce('=' || lang, '') as lang_key from documents),
+w as (
+  select rid, lang_key, unnest(ws) as word, generate_subscripts(ws, 1) as i
+  from (select rid, lang_key, regexp_extract_all(text, '{WORD_SQL}') as ws from d)),
+counted as (
+  select rid, count(*) as n_words, sum(length(word)) as word_chars,
+    sum(length(word) - length(regexp_replace(word, '[#*$%&|<>]', '', 'g'))) as n_symbols from w group by rid),
+runs as (
+  select rid, i, concat_ws(' ', word, {", ".join(f"lead(word, {k}) over o" for k in range(1, WINDOW))}) as run,
+    lead(i, {WINDOW - 1}) over o as last
+  from w window o as (partition by rid order by i)),
+starts as (select rid, i from runs where last is not null qualify count(*) over (partition by rid, run) > 1),
+repeated as (select rid, count(distinct i + k) as n from starts, range({WINDOW}) r(k) group by rid),
+lines as (select rid, unnest(string_split(text, chr(10))) as line from d),
+dup as (select rid, count(*) - count(distinct line) as n from lines where regexp_matches(line, '{WORD_SQL}') group by rid),
+base as (
+  select rid, doc_id, lang_key, text, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
+    cast(coalesce(n_symbols, 0) as bigint) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(repeated.n, 0) as n_repeat_words,
+    coalesce(n_words, 0) < {MIN_WORDS} or 100 * coalesce(repeated.n, 0) > {MOST_REPEATED} * coalesce(n_words, 0) as base_failed
+  from d left join counted using (rid) left join repeated using (rid) left join dup using (rid)),
+common as (
+  select lang_key, word, row_number() over (partition by lang_key order by count(*) desc, word) as bin
+  from w where length(word) <= {SHORT} group by lang_key, word qualify bin <= {COMMON}),
+found as (
+  select rid, 'word' as kind, coalesce(bin, 0) as bin, count(*) as n from w left join common using (lang_key, word) group by rid, coalesce(bin, 0)
+  union all select rid, 'class', bin, n from (
+    {" union all ".join(f"select rid, {k} as bin, length(text) - length(regexp_replace(text, '{c}', '', 'g')) as n from d" for k, c in enumerate(CLASS_SQL))}
+    union all select rid, {len(CLASS_SQL)}, length(regexp_replace(text, '{"|".join(CLASS_SQL)}', '', 'g')) from d)),
+bins as (
+  select 'word' as kind, b as bin from range({COMMON + 1}) r(b) union all select 'class', b from range({len(CLASS_SQL) + 1}) r(b)),
+cells as (
+  select b.rid, lang_key, base_failed, n_words, bins.kind, bins.bin, coalesce(f.n, 0) as n
+  from base b cross join bins left join found f on f.rid = b.rid and f.kind = bins.kind and f.bin = bins.bin),
+refs as (
+  select lang_key, kind, bin, sum(n) as n from cells where not base_failed group by all),
+ref_words as (select lang_key, sum(n_words) as n from base where not base_failed group by lang_key),
+shares as (
+  select c.rid, c.kind, c.n / greatest(sum(c.n) over (partition by c.rid, c.kind), 1) as p,
+    r.n / greatest(sum(r.n) over (partition by c.rid, c.kind), 1) as q
+  from cells c join refs r using (lang_key, kind, bin) join ref_words w using (lang_key)
+  where c.n_words >= {GUARD_WORDS} and w.n >= {GUARD_REFERENCE}),
+far as (
+  select rid, kind, sqrt(greatest(sum(
+    (case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2), 0)) as apart
+  from shares group by rid, kind)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not exists (
+    select 1 from far where far.rid = base.rid and apart > case kind when 'class' then {MOST_CLASS} else {MOST_WORD} end) as kept
+from base"""
+}
