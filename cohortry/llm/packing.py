@@ -8,16 +8,19 @@ rest is filled greedily by class, and the pieces of each class, ranked, are deal
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from tokenizers import Tokenizer
 
 from cohortry.llm.scratch import Scratch, documents
-from cohortry.llm.tokens import coder, utf8
+from cohortry.llm.tokens import LONGEST_CACHED, utf8
 
 LENGTH = 4096
 GRAIN = 16
@@ -29,6 +32,44 @@ ROWS_A_SALT = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Chunks whose ids a worker keeps; a full store starts anew, which changes the speed only.
+CHUNKS = 1_000_000
+TEXTS = 256  # whose new chunks are encoded together
+
+
+class ChunkCoder:
+    """Token ids of texts.  Tokens never span white space, so a text's ids are those of its chunks between white space."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        chunks = [t.split() for t in texts]  # bytes: the six ASCII white-space characters
+        new = list({c for x in chunks for c in x if c not in self.known})
+        if len(self.known) + len(new) > CHUNKS:
+            self.known, new = {}, list({c for x in chunks for c in x})
+        coded = self.library.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+        self.known.update(zip(new, (array("I", e.ids).tobytes() for e in coded)))
+        out = [b"".join(map(self.known.__getitem__, x)) for x in chunks]
+        for c in new:
+            if len(c) > LONGEST_CACHED:
+                del self.known[c]
+        return out
+
+
+CODERS: dict[str, ChunkCoder] = {}
+
+
+def chunk_coder(path: str) -> ChunkCoder:
+    """One per worker and vocabulary file."""
+    if path not in CODERS:
+        CODERS[path] = ChunkCoder(path)
+    return CODERS[path]
+
+
 def price(weights: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The best pattern: unbounded knapsack by dynamic programming over the capacity."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -96,16 +137,17 @@ def cut(docs: DataFrame, vocabulary: str, length: int, ids: bool, id_col: str, t
     kinds = [pa.int64()] * 5 + [pa.binary()] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, end = coder(vocabulary), np.array([SEPARATOR], "<u4").tobytes()
+        mine, end = chunk_coder(vocabulary), np.array([SEPARATOR], "<u4").tobytes()
+        names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                coded = mine.text_ids(text) + end
-                for at in range(0, len(coded), 4 * length):
-                    part = coded[at : at + 4 * length]
-                    rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(coded) // 4) + ((part,) if ids else ()))
-            names = [f.split()[0] for f in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+            for first in range(0, batch.num_rows, TEXTS):
+                some, rows = batch.slice(first, TEXTS), []
+                for doc, coded in zip(some.column(0).to_pylist(), mine.encode(utf8(some.column(1)))):
+                    coded += end
+                    for at in range(0, len(coded), 4 * length):
+                        part = coded[at : at + 4 * length]
+                        rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(coded) // 4) + ((part,) if ids else ()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
