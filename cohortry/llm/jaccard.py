@@ -20,7 +20,7 @@ from cohortry.llm.components import components
 from cohortry.llm.scratch import Scratch, documents
 
 BITMAP = 16  # words of 64 bits
-BLOCK = 128  # documents of a cell that are compared with as many others in one group
+BLOCK = 1_024  # documents of a cell that are compared with as many others in one group
 ROWS_OUT = 1 << 10  # rows of an output batch
 
 
@@ -198,10 +198,11 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, i
     open_ = placed.join(split, "cell").join(narrow, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
-    open_ = scratch.keep(open_.select("cell", *tile, "block", "doc_id", "leader", "component", *bits), "open")
+    open_ = scratch.keep(open_.select("cell", *tile, "block", "doc_id", "component", *bits), "open")
+    # Both sides are read alike, so that they are shuffled once; pairs with the cell's first document come up again here.
     x, y = open_.alias("x"), open_.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("cell", "lo", "hi")]
-    apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.leader") != F.col("x.doc_id"))
+    apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     crossing = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
     more = x.join(y, [*same, apart, crossing, may_link(percent)]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "pairs1")
