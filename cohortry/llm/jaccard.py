@@ -185,11 +185,18 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, i
     # Each member of a cell against the cell's first document.
     met = scratch.keep(entries.join(groups, "cell").select("cell", "doc_id", "leader"), "met")
     scratch.drop("mine", "groups", "classes")
-    pairs = met.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = met.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("cells"))
     tried = scratch.keep(pairs, "pairs0")
-    near = filtered(tried, narrow, percent)
-    links.append(verified(scratch.keep(near, "near0"), docs, width, percent, scratch, "first"))
+    near = scratch.keep(filtered(tried, narrow, percent), "near0")
+    # Arrays are wide: first each document with the one it shares most cells with, then what still joins components.
+    best = near.groupBy("b").agg(F.max(F.struct("cells", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    best = scratch.keep(best, "best")
+    links.append(verified(best, docs, width, percent, scratch, "first"))
     found = components(union(links), scratch, "c0")
+    rest = scratch.keep(between(near.select("a", "b").join(best, ["a", "b"], "left_anti"), found), "rest")
+    if not rest.isEmpty():
+        links.append(verified(rest, docs, width, percent, scratch, "rest"))
+        found = components(union(links), scratch, "c1")
     # Cells whose members are in different components still: all remaining pairs of different components.
     placed = met.join(found, F.col("doc_id") == F.col("node"), "left").select("cell", "doc_id", "leader", F.coalesce("component", "doc_id").alias("component"))
     placed = scratch.keep(placed, "placed")
@@ -205,11 +212,11 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, i
     apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
     crossing = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
     more = x.join(y, [*same, apart, crossing, may_link(percent)]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "pairs1")
+    more = scratch.keep(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs1")
     if not more.isEmpty():
         links.append(verified(more, docs, width, percent, scratch, "second"))
-        found = components(union(links), scratch, "c1")
-    for name in ("met", "placed", "open", "pairs0", "pairs1", "near0", "narrow"):
+        found = components(union(links), scratch, "c2")
+    for name in ("met", "placed", "open", "pairs0", "pairs1", "near0", "best", "rest", "narrow"):
         scratch.drop(name)
     out = sizes.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -218,7 +225,15 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, i
 def filtered(pairs: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
     x, y = narrow.alias("x"), narrow.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
-    return both.where(may_link(percent)).select("a", "b")
+    return both.where(may_link(percent)).select("a", "b", "cells")
+
+
+def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components."""
+    one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(one, "a", "left").join(two, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
