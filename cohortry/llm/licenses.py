@@ -72,7 +72,9 @@ def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = N
     known = [r["h"] for r in table.select(F.explode("in_template").alias("h")).distinct().collect()]
     lengths = sorted(r["n_words"] for r in table.select("n_words").distinct().collect())
     df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
-    df = df.withColumn("shingles", shingles_of("words")).select("doc_id", "shingles")
+    df = df
+    # Through the generator, so that the filter below is not pushed into the shingles' expression and computed per word.
+    df = df.select("doc_id", F.explode(F.array(shingles_of("words"))).alias("shingles"))
     # A text without any shingle of a template cannot contain a share of one; it has no windows.
     df = df.where(F.size(F.array_intersect("shingles", F.array(*map(F.lit, known)).cast("array<bigint>"))) > 0)
     df = scratch.keep(df, "texts")
