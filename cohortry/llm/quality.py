@@ -2,7 +2,9 @@
 character classes and common words from its language's own (Jensen-Shannon distance).
 
 The references come from the corpus: the most frequent short words of each language and, over all documents that
-pass the simple rules, the language's shares of character classes and of those words.
+pass the simple rules, the language's shares of character classes and of those words.  They are plain sums, as in the
+query's SQL; with ``balanced`` shares are averaged over the distinct texts, so that neither a long document nor one with
+many copies weighs more than another.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ GUARD_WORDS = 50  # shorter documents are not held against the references
 GUARD_REFERENCE = 5_000  # words that a language's reference must rest on
 MOST_CLASS = 0.29
 MOST_WORD = 0.45
+UNIT = 10**10  # weight of a text; whole numbers add up alike in any order
 
 
 def words_of(text: Column) -> Column:
@@ -32,11 +35,24 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES))
 
 
-def common_words(docs: DataFrame) -> DataFrame:
-    """``lang_key, common``: the most frequent short words of each language, most frequent first, ties by word."""
-    words = docs.select("lang_key", F.explode(words_of(F.col("text"))).alias("word")).where(F.char_length("word") <= SHORT)
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """``lang_key, text_key, copies``: the texts that several rows of a language have."""
+    return docs.groupBy("lang_key", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def common_words(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+    """``lang_key, common``: the most frequent short words of each language, most frequent first, ties by word.
+
+    With ``copied``, those with the largest average share of a distinct text; one of fewer than ``MIN_WORDS`` words
+    counts less.
+    """
+    df, weight = docs.withColumn("words", words_of(F.col("text"))), F.lit(1)
+    if copied is not None:
+        df = df.join(copied, ["lang_key", "text_key"], "left")
+        weight = F.lit(UNIT) / (F.greatest(F.size("words"), F.lit(MIN_WORDS)) * F.coalesce("copies", F.lit(1)))
+    words = df.select("lang_key", weight.cast("long").alias("weight"), F.explode("words").alias("word")).where(F.char_length("word") <= SHORT)
     best = Window.partitionBy("lang_key").orderBy(F.desc("n"), "word")
-    top = words.groupBy("lang_key", "word").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON)
+    top = words.groupBy("lang_key", "word").agg(F.sum("weight").alias("n")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON)
     ranked = F.sort_array(F.collect_list(F.struct("rank", "word")))
     return top.groupBy("lang_key").agg(F.transform(ranked, lambda x: x["word"]).alias("common"))
 
@@ -110,34 +126,47 @@ def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     )
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """Summed histograms of each language over its documents that pass the simple rules."""
+def references(measured: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+    """Summed histograms of each language over its documents that pass the simple rules; with ``copied``, shares of its
+    distinct texts instead, as whole numbers."""
     n = len(CLASSES) + 1
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)] + [F.sum(F.get("bins", F.lit(i))).alias(f"b{i}") for i in range(COMMON + 1)]
-    sums = measured.where(~F.col("base_failed")).groupBy("lang_key").agg(F.sum("n_words").alias("ref_words"), *sums)
-    return sums.select(
+    df = measured.where(~F.col("base_failed"))
+    if copied is not None:
+        df = df.join(copied, ["lang_key", "text_key"], "left")
+
+    def sums(name: str, size: int) -> list[Column]:
+        total = F.greatest(F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+        part = F.lit(1) if copied is None else F.lit(UNIT) / (total * F.coalesce("copies", F.lit(1)))
+        return [F.sum((F.get(name, F.lit(i)) * part).cast("long")).alias(f"{name}{i}") for i in range(size)]
+
+    df = df.groupBy("lang_key").agg(F.sum("n_words").alias("ref_words"), *sums("classes", n), *sums("bins", COMMON + 1))
+    return df.select(
         "lang_key",
         "ref_words",
-        F.array(*[f"c{i}" for i in range(n)]).alias("ref_classes"),
-        F.array(*[f"b{i}" for i in range(COMMON + 1)]).alias("ref_bins"),
+        F.array(*[f"classes{i}" for i in range(n)]).alias("ref_classes"),
+        F.array(*[f"bins{i}" for i in range(COMMON + 1)]).alias("ref_bins"),
     )
 
 
-def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", balanced: bool = False) -> DataFrame:
     """Counts, distances and verdict of every document.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance, kept``.  A document is rejected if a simple rule fails or if it has at least ``GUARD_WORDS`` words,
     its language's reference rests on at least ``GUARD_REFERENCE`` words, and a distance is above its bound;
-    otherwise the distances are null.
+    otherwise the distances are null.  ``balanced`` lets each distinct text weigh alike in the references.
 
     Null texts count as empty and fail the simple rules.  A null language is a language of its own.  Repeated rows
     are judged each.  Other columns are not read.  Only built-in functions are used.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("="), lang_col), F.lit("")).alias("lang_key"))
-    common = scratch.keep(common_words(docs), "common")
+    copied = None
+    if balanced:
+        docs = docs.withColumn("text_key", F.xxhash64("text"))
+        copied = scratch.keep(copied_texts(docs), "copied")
+    common = scratch.keep(common_words(docs, copied), "common")
     measured = scratch.keep(measure(docs, common), "measured")
-    refs = scratch.keep(references(measured), "references")
+    refs = scratch.keep(references(measured, copied), "references")
     guarded = (F.col("n_words") >= GUARD_WORDS) & (F.col("ref_words") >= GUARD_REFERENCE)
     judged = measured.join(refs, "lang_key", "left").withColumns(
         {"class_distance": F.when(guarded, distance("classes", "ref_classes")), "word_distance": F.when(guarded, distance("bins", "ref_bins"))}

@@ -1,5 +1,6 @@
 """Mixing, line dedup, sharding and quality rules against plain Python."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -154,3 +155,32 @@ def test_quality_rejects_other_writing_and_keeps_clean_text(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     assert got.where("doc_id >= 1000000").where("kept").count() == 0
     assert got.join(labels.where("quality = 1"), "doc_id").where("not kept").count() == 0
+
+
+def judged_with(spark, added):
+    """The given documents of at least 50 words that pass the simple rules, judged beside ``added`` (text, language, times)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame(added, "text string, lang string, times int")
+    more = more.select(F.explode(F.sequence(F.lit(1), "times")).alias("k"), "text", "lang").select((-F.col("k")).cast("long").alias("doc_id"), "text", "lang")
+    got = quality.judge(docs.union(more), Scratch(spark, "t"), balanced=True).where("not base_failed and n_words >= 50")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    return got.join(labels, "doc_id", "left").collect()
+
+
+def test_quality_with_one_huge_table(spark):
+    rng = random.Random(4)
+    n = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select(F.sum(F.size(F.split("text", " ")))).first()[0]
+    got = judged_with(spark, [(" ".join(str(rng.randrange(10**6)) for _ in range(n)), "en", 1)])
+    assert [r["kept"] for r in got if r["doc_id"] == -1] == [False]
+    assert {r["kept"] for r in got if r["quality"] == 1} == {True}
+
+
+def test_quality_with_one_junk_text_in_a_third_of_the_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = docs.where("lang = 'en'").count()
+    alone = {r["doc_id"]: r["kept"] for r in judged_with(spark, [("none", "en", 1)])}
+    rng = random.Random(5)
+    junk = " ".join(f"{rng.choice('#|%<&')}{rng.randrange(10**4)} {rng.choice('|$*')}" for _ in range(121))
+    got = judged_with(spark, [(junk, "en", n // 2)])
+    assert {r["kept"] for r in got if r["doc_id"] < 0} == {False}
+    assert {r["doc_id"]: r["kept"] for r in got if r["doc_id"] >= 0} == alone
