@@ -35,10 +35,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group of near duplicates (five words, 0.8)."""
-    groups = jaccard.link(docs, Scratch(spark, "pipeline-jaccard"), 5, 80)
-    rest = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*COLUMNS)
+    """One row, with the smallest id, of each group of near duplicates (five words, 0.8).
+
+    A node is an id with a text, so rows that share an id but not the text are told apart.  Null ids come last.  Of
+    repeated rows one stays; empty texts are no duplicates.
+    """
+    scratch = Scratch(spark, "pipeline-jaccard")
+    docs = docs.withColumn("__node", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = jaccard.link(docs.select("__node", "text"), scratch, 5, 80, id_col="__node").where("n_shingles > 0").distinct()
+    nodes = docs.groupBy("__node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    nodes = scratch.keep(nodes.join(groups, F.col("__node") == groups["doc_id"]).select("__node", "id", "n", "component_id"), "nodes")
+    first = nodes.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__node")).alias("first"))
+    rest = nodes.join(first, "component_id").where("__node <> first.__node").select("__node")
+    left = docs.join(rest, "__node", "left_anti")
+    several = nodes.where("n > 1").select("__node")
+    once = left.join(several, "__node", "left_semi").dropDuplicates(["__node"])
+    return left.join(several, "__node", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

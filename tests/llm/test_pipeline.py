@@ -1,6 +1,7 @@
 """Each stage of the pipeline on all its predecessor kept, against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -101,6 +102,16 @@ def test_stages(spark):
     assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in mixed)
 
 
+def test_near_duplicates_by_row(spark):
+    """Repeated rows, null ids, and one id with two texts."""
+    rng = random.Random(2)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(5))
+    docs = [(1, a), (1, a), (2, a + " end"), (3, b), (3, c), (0, b), (None, d), (None, d), (None, d + " end"), (4, e), (None, e), (5, ""), (5, "")]
+    df = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"].removesuffix(" end")) for r in pipeline.near_duplicates(spark, df, SMALL).collect())
+    assert got == Counter({(1, a): 1, (0, b): 1, (3, c): 1, (None, d): 1, (4, e): 1, (5, ""): 2})
+
+
 def test_run_gives_pieces(spark):
     assert pipeline.run(spark, SMALL).where("length < 1 or offset + length > 4096").count() == 0
 
