@@ -3,6 +3,10 @@
 A template of L words lies wholly within one of the windows of 2 L words that start every L words.  With three-word
 shingles such a window and the template have a Jaccard similarity of 3/8 at least for five words and more for longer
 ones, so with 32 bands of one value each a copy collides with a probability of 1 - (5/8)^32, over 0.9999996.
+
+Templates of different licenses can share most of their shingles.  Of two such templates, one is reported for a window
+only if the window has its distinguishing shingles, and no smaller share of them than of the other's; and a template
+that is a part of another license's is not reported where that one is found.
 """
 
 from __future__ import annotations
@@ -49,52 +53,77 @@ def bands_of(shingles: Column) -> Column:
     return F.transform(seeds, lambda k: F.xxhash64(k, F.array_min(F.transform(shingles, lambda h: F.xxhash64(k, h)))))
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    df = spark.createDataFrame(list(templates.items()), "license string, template string")
-    df = df.withColumn("words", words_of(F.col("template"))).withColumn("in_template", F.array_distinct(shingles_of("words")))
-    return df.select("license", F.size("words").alias("n_words"), "in_template").where(F.size("in_template") > 0)
+def template_table(spark: SparkSession, templates: list[tuple[str, str, str]], least: float) -> DataFrame:
+    """``template, license, n_words, in_template, rivals``.  ``rivals`` holds, for each template of another license that
+    contains ``least`` of this one's shingles, its name, what only this one has and what only the other has."""
+    df = spark.createDataFrame(templates, "template string, license string, body string").withColumn("words", words_of(F.col("body")))
+    df = df.withColumn("in_template", F.array_distinct(shingles_of("words"))).select("template", "license", F.size("words").alias("n_words"), "in_template")
+    rows = [r for r in df.collect() if r["in_template"]]
+    sets = {r["template"]: set(r["in_template"]) for r in rows}
+    out = []
+    for r in rows:
+        mine = sets[r["template"]]
+        others = [(o["template"], sets[o["template"]]) for o in rows if o["license"] != r["license"]]
+        rivals = [(name, sorted(mine - other), sorted(other - mine)) for name, other in others if len(mine & other) >= least * len(mine)]
+        out.append((*r, rivals))
+    schema = "template string, license string, n_words int, in_template array<bigint>, rivals array<struct<rival: string, mine: array<bigint>, theirs: array<bigint>>>"
+    return spark.createDataFrame(out, schema)
+
+
+def told_apart(shingles: str = "shingles") -> Column:
+    """Whether the window is no rival's rather than this template's."""
+    share = lambda x: F.size(F.array_intersect(x, F.col(shingles))) / F.greatest(F.size(x), F.lit(1))
+    own = lambda r: (share(r["mine"]) > 0) & (share(r["mine"]) >= share(r["theirs"]))
+    return F.forall("rivals", lambda r: F.when(F.size(r["mine"]) == 0, share(r["theirs"]) < 0.5).otherwise(own(r)))
 
 
 def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The notices of each text: ``doc_id, license, containment, n_windows, first_word``.
 
-    ``containment`` is the largest share of the template's shingles in one window, ``n_windows`` the number of windows
+    ``templates`` are texts by license; without them, the short notices.
+    ``containment`` is the largest share of a template's shingles in one window, ``n_windows`` the number of windows
     that contain at least ``least`` of them, ``first_word`` where the first of these starts.
 
+    Notices of five or six words have three or four shingles, so a copy with one word changed is not found.  A notice
+    whose version or name is changed is of no license.
+
     Null and empty texts and texts of fewer than three words have no notices; repeated rows count as one document;
-    rows with a null id are left out; other columns are not read.  Templates of fewer than three words are left out.  Only built-in
-    functions are used.
+    rows with a null id are left out; other columns are not read.  Templates of fewer than three
+    words are left out.  Only built-in functions are used.
     """
     spark = scratch.spark
-    table = scratch.keep(template_table(spark, TEMPLATES if templates is None else templates), "templates")
+    given = [(k, k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
+    table = scratch.keep(template_table(spark, given, least), "templates")
     # The templates are a parameter and stay small: a row for each, and a row for each template and band.
-    bands = F.broadcast(table.select("license", "n_words", F.explode(bands_of(F.col("in_template"))).alias("band")))
-    known = [r["h"] for r in table.select(F.explode("in_template").alias("h")).distinct().collect()]
-    lengths = sorted(r["n_words"] for r in table.select("n_words").distinct().collect())
-    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
-    df = df
-    # Through the generator, so that the filter below is not pushed into the shingles' expression and computed per word.
-    df = df.select("doc_id", F.explode(F.array(shingles_of("words"))).alias("shingles"))
-    # A text without any shingle of a template cannot contain a share of one; it has no windows.
-    df = df.where(F.size(F.array_intersect("shingles", F.array(*map(F.lit, known)).cast("array<bigint>"))) > 0)
-    df = scratch.keep(df, "texts")
-    windows = None
-    for n in lengths:
-        width = 2 * n - SHINGLE + 1
-        starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(n))
-        one = df.select("doc_id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.slice("shingles", s + 1, width).alias("shingles")))).alias("w"))  # noqa: B023
-        one = one.select("doc_id", F.lit(n).alias("n_words"), "w.first_word", "w.shingles")
-        windows = one if windows is None else windows.unionByName(one)
-    if windows is None:
-        return df.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).alias("first_word")).limit(0)
+    bands = F.broadcast(table.select("template", "n_words", F.explode(bands_of(F.col("in_template"))).alias("band")))
+    known = F.broadcast(table.select(F.explode("in_template").alias("h")).agg(F.collect_set("h").alias("known")))
+    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    # Rows without an id are told apart by their text.
+    df = df.withColumn("text_key", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))).withColumn("words", words_of(F.col("text")))
+    # Through the generator, so that the filters below are not pushed into the shingles' expression and computed per word.
+    df = df.select("doc_id", "text_key", F.explode(F.array(shingles_of("words"))).alias("shingles"))
+    df = df.crossJoin(known).select("doc_id", "text_key", "shingles", F.explode(F.array(F.array_intersect("shingles", "known"))).alias("hits")).where(F.size("hits") > 0)
+    # A text that lacks more of a template's shingles than a window may has no window with enough of them.
+    small = F.broadcast(table.select("n_words", "in_template"))
+    enough = (F.size("hits") >= least * F.size("in_template")) & (F.size(F.array_intersect("in_template", "hits")) >= least * F.size("in_template"))
+    df = scratch.keep(df.join(small, enough).select("doc_id", "text_key", "n_words", "shingles").distinct(), "texts")
+    at = ["doc_id", "text_key", "n_words"]
+    starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.col("n_words"))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.slice("shingles", s + 1, 2 * F.col("n_words") - SHINGLE + 1).alias("shingles")))
+    windows = df.select(*at, F.explode(cut).alias("w")).select(*at, "w.first_word", "w.shingles")
     windows = scratch.keep(windows.withColumn("bands", bands_of(F.col("shingles"))), "windows")
-    met = windows.select("doc_id", "n_words", "first_word", F.explode("bands").alias("band")).join(bands, ["n_words", "band"])
-    met = met.select("doc_id", "n_words", "first_word", "license").distinct()
-    both = met.join(windows.select("doc_id", "n_words", "first_word", "shingles").distinct(), ["doc_id", "n_words", "first_word"])
-    both = both.join(F.broadcast(table.select("license", "in_template")), "license")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "text_key")]
+    met = windows.select(*at, "first_word", "shingles", F.explode("bands").alias("band")).join(bands, ["n_words", "band"])
+    met = met.select(*at, "first_word", "shingles", "template").distinct()
+    both = met.join(F.broadcast(table.drop("n_words")), "template")
     share = F.size(F.array_intersect("in_template", "shingles")) / F.size("in_template")
-    sure = both.withColumn("containment", share).where(F.col("containment") >= least)
-    return sure.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").alias("first_word"))
+    sure = both.withColumn("containment", share).where((F.col("containment") >= least) & told_apart())
+    sure = scratch.keep(sure.select(*at, "first_word", "template", "license", "containment", F.transform("rivals", lambda r: r["rival"]).alias("rivals")), "sure")
+    x, y = sure.alias("x"), sure.alias("y")
+    apart = (F.col("x.first_word") >= F.col("y.first_word") + 2 * F.col("y.n_words")) | (F.col("y.first_word") >= F.col("x.first_word") + 2 * F.col("x.n_words"))
+    part_of = F.array_contains("x.rivals", F.col("y.template")) & (F.col("x.n_words") < F.col("y.n_words"))
+    sure = x.join(y, [*same, part_of, ~apart], "left_anti")
+    return sure.groupBy("doc_id", "text_key", "license").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"), F.min("first_word").alias("first_word")).drop("text_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

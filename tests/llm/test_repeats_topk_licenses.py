@@ -110,3 +110,19 @@ def test_licenses_of_the_given_documents(spark, small):
         plain = docs.where(F.col("text").contains(licenses.TEMPLATES[name])).select("doc_id").distinct()
         found = got.where(F.col("license") == name).select("doc_id")
         assert plain.count() and {r[0] for r in plain.collect()} == {r[0] for r in found.collect()}
+
+
+def found(spark, values, ids=None):
+    docs = spark.createDataFrame([(i if ids is None else ids[i], v) for i, v in enumerate(values)], "doc_id long, text string")
+    return Counter((r["doc_id"], r["license"]) for r in licenses.scan(docs, Scratch(spark, "t")).collect())
+
+
+def test_each_short_notice_is_of_one_license(spark):
+    """All returned rows, also those with a containment below 1."""
+    names = list(licenses.TEMPLATES)
+    values = [f"some words before it {licenses.TEMPLATES[n]} and some words after" for n in names]
+    values.append(f"{licenses.TEMPLATES['GPL-3.0']} {licenses.TEMPLATES['GPL-2.0']}")
+    values.append("Released under the old MIT License.")  # altered and short: not found
+    values.append(licenses.TEMPLATES["GPL-2.0"].replace("This work", "The work"))
+    n = len(names)
+    assert found(spark, values) == Counter([*enumerate(names), (n, "GPL-3.0"), (n, "GPL-2.0"), (n + 2, "GPL-2.0")])
