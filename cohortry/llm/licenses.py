@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cohortry.llm import license_texts
 from cohortry.llm.scratch import Scratch, documents
 
 SHINGLE = 3
@@ -80,7 +81,7 @@ def told_apart(shingles: str = "shingles") -> Column:
 def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The notices of each text: ``doc_id, license, containment, n_windows, first_word``.
 
-    ``templates`` are texts by license; without them, the short notices.
+    ``templates`` are texts by license; without them, the short notices and the texts and headers of ``license_texts``.
     ``containment`` is the largest share of a template's shingles in one window, ``n_windows`` the number of windows
     that contain at least ``least`` of them, ``first_word`` where the first of these starts.
 
@@ -88,16 +89,16 @@ def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = N
     whose version or name is changed is of no license.
 
     Null and empty texts and texts of fewer than three words have no notices; repeated rows count as one document;
-    rows with a null id are left out; other columns are not read.  Templates of fewer than three
+    rows with a null id count as one document for each text; other columns are not read.  Templates of fewer than three
     words are left out.  Only built-in functions are used.
     """
     spark = scratch.spark
     given = [(k, k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
-    table = scratch.keep(template_table(spark, given, least), "templates")
+    table = scratch.keep(template_table(spark, given + (license_texts.texts() if templates is None else []), least), "templates")
     # The templates are a parameter and stay small: a row for each, and a row for each template and band.
     bands = F.broadcast(table.select("template", "n_words", F.explode(bands_of(F.col("in_template"))).alias("band")))
     known = F.broadcast(table.select(F.explode("in_template").alias("h")).agg(F.collect_set("h").alias("known")))
-    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # Rows without an id are told apart by their text.
     df = df.withColumn("text_key", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))).withColumn("words", words_of(F.col("text")))
     # Through the generator, so that the filters below are not pushed into the shingles' expression and computed per word.

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import licenses, repeats, topk
+from cohortry.llm import license_texts, licenses, repeats, topk
 from cohortry.llm.scratch import Scratch
 from tests.llm.fixtures import SCHEMA, frame, rows, texts
 
@@ -126,3 +126,18 @@ def test_each_short_notice_is_of_one_license(spark):
     values.append(licenses.TEMPLATES["GPL-2.0"].replace("This work", "The work"))
     n = len(names)
     assert found(spark, values) == Counter([*enumerate(names), (n, "GPL-3.0"), (n, "GPL-2.0"), (n + 2, "GPL-2.0")])
+
+
+def test_license_texts_and_headers(spark):
+    texts = license_texts.texts()
+    values = [f"{'lorem ipsum dolor ' * 40} {text} {'sit amet ' * 30}" for _, _, text in texts]
+    got = found(spark, values)
+    assert [x for i, (name, own, _) in enumerate(texts) if name != "MIT grant" for x in [(name, sorted(k for d, k in got if d == i))] if x[1] != [own]] == []
+
+
+def test_altered_header_and_rows_without_an_id(spark):
+    header = license_texts.gnu("", "3").replace("This program", "Frobnicator").replace("this program", "Frobnicator")
+    mit = license_texts.MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "Jane Doe")
+    values = [header, mit, licenses.TEMPLATES["MIT"], licenses.TEMPLATES["MIT"], licenses.TEMPLATES["CC0-1.0"]]
+    got = found(spark, values, [0, 1, None, None, None])
+    assert got == Counter([(0, "GPL-3.0"), (1, "MIT"), (None, "MIT"), (None, "CC0-1.0")])
