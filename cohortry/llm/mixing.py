@@ -3,7 +3,8 @@
 Every document has a hash.  A source takes the documents whose hash is below its threshold, so a larger budget takes a
 superset.  The threshold is found from sums of sizes by source and hash bucket: the bucket in which the running sum
 passes the budget is split again by the next bits of the hash, until it holds one hash.  Nothing is sorted but the
-buckets of one source.
+buckets of one source.  Where a large document at the threshold leaves a gap, further passes over the hashes behind it
+take documents that fit.
 """
 
 from __future__ import annotations
@@ -15,14 +16,21 @@ from cohortry.llm.scratch import Scratch, documents
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BITS = 12  # of the hash in each round
+NEAR = 0.005  # of the target: a source within it needs no further pass
+WIDTH = 3  # hexadecimal digits of a group of bits
 ROUNDS = 6  # 6 x 12 bits cover the 64 bits
 WORD = r"[^ \t-\r]+"
 
 
-def digits(h: Column, k: int) -> Column:
-    """The k-th group of bits of a hash, from the top; the last group is shorter."""
-    low = 64 - BITS * (k + 1)
-    return (F.shiftrightunsigned(h, low) if low >= 0 else h).bitwiseAND(F.lit((1 << (BITS if low >= 0 else BITS + low)) - 1)).cast("int")
+def digits(h: Column) -> Column:
+    """A hash as text: its groups of bits from the top, ``WIDTH`` hexadecimal digits each; it compares like the unsigned hash."""
+
+    def group(k: int) -> Column:
+        low = 64 - BITS * (k + 1)  # the last group is shorter
+        bits = (F.shiftrightunsigned(h, low) if low >= 0 else h).bitwiseAND(F.lit((1 << (BITS if low >= 0 else BITS + low)) - 1))
+        return F.lpad(F.lower(F.hex(bits)), WIDTH, "0")
+
+    return F.concat(*map(group, range(ROUNDS)))
 
 
 def ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
@@ -60,57 +68,96 @@ def targets(sources: DataFrame, share: float) -> DataFrame:
     return sources.withColumn("target", F.least(bound, F.col("weight") * F.lit(level)))
 
 
-def thresholds(rows: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
-    """``source_key, repeats, cut``: whole repeats of every document, and the hash up to which one more is taken.
+def narrowed(rows: DataFrame, open_: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``source_key, cut, left, boundary, words``: the hash up to which the words fit into ``need``, what remains of it,
+    and the first hash that does not fit with its words (null: all fit).
 
-    ``cut`` is a text of the hash's groups of bits, which compares like the unsigned hash; empty: none.
+    Of ``rows``, those count whose hash lies behind ``after`` and whose size is at most ``most``.  Hashes are texts of
+    their groups of bits, which compare like the unsigned hash; an empty cut takes nothing.
     """
-    need = F.col("target") - F.col("repeats") * F.col("source_size")
-    open_ = sources.where("source_size > 0").select(
-        "source_key", F.floor(F.col("target") / F.col("source_size")).cast("long").alias("repeats"), "target", "source_size"
-    )
-    open_ = open_.select("source_key", "repeats", need.alias("need"), F.lit("").alias("prefix"), F.lit("").alias("cut"))
-    done, narrow = None, rows.where("size > 0").select("source_key", "hash", "size")
+    open_ = open_.select("source_key", "need", "after", "most").withColumns({"prefix": F.lit(""), "cut": F.lit("")})
+    done = None
     for k in range(ROUNDS):
-        open_ = scratch.keep(open_, f"open{k}")
-        here = narrow.withColumn("digit", digits(F.col("hash"), k)).join(open_.select("source_key", "prefix"), "source_key")
+        open_ = scratch.keep(open_, f"{name}-open{k}")
+        here = rows.withColumn("digit", F.substring("h", WIDTH * k + 1, WIDTH)).join(open_.select("source_key", "prefix", "after", "most"), "source_key")
+        here = here.where((F.col("size") <= F.col("most")) & (F.col("h") > F.col("after")))
         if k:
-            here = here.where(hex_of(F.col("hash"), k) == F.col("prefix"))
-        sums = here.groupBy("source_key", "digit").agg(F.sum("size").alias("words"), (F.min("hash") == F.max("hash")).alias("single"))
+            here = here.where(F.substring("h", 1, WIDTH * k) == F.col("prefix"))
+        sums = here.groupBy("source_key", "digit").agg(F.sum("size").alias("words"), F.min("h").alias("first"), (F.min("h") == F.max("h")).alias("single"))
         running = Window.partitionBy("source_key").orderBy("digit")
         sums = sums.withColumn("upto", F.sum("words").over(running)).join(open_, "source_key")
         # The last bucket that fits entirely, and the one that the budget ends in.
         below = F.col("upto") <= F.col("need")
         hit = ~below & (F.col("upto") - F.col("words") <= F.col("need"))
-        name = F.lpad(F.lower(F.hex("digit")), 3, "0")
-        best = sums.groupBy("source_key", "repeats", "need", "prefix", "cut").agg(
-            F.max(F.when(below, F.concat("prefix", name))).alias("whole"),
-            F.max(F.when(hit, F.struct("words", F.col("upto").alias("upto"), name.alias("name"), "single"))).alias("hit"),
+        best = sums.groupBy("source_key", "need", "prefix", "cut", "after", "most").agg(
+            F.max(F.when(below, F.concat("prefix", "digit"))).alias("whole"),
+            F.max(F.when(below, F.col("upto"))).alias("fits"),
+            F.max(F.when(hit, F.struct("digit", "single", "words", "first"))).alias("hit"),
         )
-        best = best.withColumn("cut", F.coalesce("whole", "cut"))
-        left = F.col("need") - (F.col("hit.upto") - F.col("hit.words"))
-        ends = F.col("hit").isNull() | F.col("hit.single") | F.lit(k == ROUNDS - 1)
-        # One hash is left: it is taken if that brings the sum nearer to the budget.
-        taken = F.when(F.col("hit").isNotNull() & (2 * left >= F.col("hit.words")), F.concat("prefix", "hit.name")).otherwise(F.col("cut"))
-        best = scratch.keep(best.withColumn("left", left).withColumn("ends", ends).withColumn("final", taken), f"best{k}")
-        part = best.where("ends").select("source_key", "repeats", F.rpad("final", 3 * ROUNDS, "f").alias("padded"), "final")
-        part = part.select("source_key", "repeats", F.when(F.col("final") == "", "").otherwise(F.col("padded")).alias("cut"))
+        best = best.withColumn("cut", F.coalesce(F.rpad("whole", WIDTH * ROUNDS, "f"), "cut")).withColumn("left", F.col("need") - F.coalesce("fits", F.lit(0)))
+        best = scratch.keep(best.withColumn("ends", F.col("hit").isNull() | F.col("hit.single")), f"{name}-best{k}")
+        part = best.where("ends").select("source_key", "cut", "left", F.col("hit.first").alias("boundary"), "hit.words")
         done = part if done is None else done.unionByName(part)
-        open_ = best.where("not ends").select("source_key", "repeats", F.col("left").alias("need"), F.concat("prefix", "hit.name").alias("prefix"), "cut")
+        open_ = best.where("not ends").select("source_key", F.col("left").alias("need"), "after", "most", F.concat("prefix", "hit.digit").alias("prefix"), "cut")
         if open_.isEmpty():
             break
     return done
 
 
-def hex_of(h: Column, groups: int) -> Column:
-    return F.concat(*[F.lpad(F.lower(F.hex(digits(h, k))), 3, "0") for k in range(groups)])
+def taken_once(passes: str, extra: str) -> Column:
+    """Whether one of the passes, or the last document, takes a row beyond the whole repeats."""
+    h = F.col("h")
+    inside = F.exists(passes, lambda p: (h > p["after"]) & (h <= p["upto"]) & (F.col("size") <= p["most"]))
+    return F.coalesce(inside | (h == F.col(extra)), inside, F.lit(False))
+
+
+def thresholds(rows: DataFrame, sources: DataFrame, scratch: Scratch, near: float | None) -> DataFrame:
+    """``source_key, repeats, passes, extra``: whole repeats of every document, and which are taken once more.
+
+    The first pass takes all documents up to a threshold.  Without ``near``, the document there is taken too where that
+    brings the sum nearer.  With it, while a source is off its target by more than ``near`` of it, another pass goes on
+    behind the document that did not fit, through those that fit into the rest.  Each pass takes a document at least.
+    Last, the smallest document left is taken where that brings the sum nearer.
+    """
+    need = F.col("target") - F.col("repeats") * F.col("source_size")
+    state = sources.where("source_size > 0").withColumn("repeats", F.floor(F.col("target") / F.col("source_size")).cast("long"))
+    no_pass = F.array().cast("array<struct<after:string,upto:string,most:long>>")
+    state = state.select("source_key", "repeats", "target", need.alias("left"), F.lit("").alias("boundary"), F.lit(0).cast("long").alias("words"), no_pass.alias("passes"))
+    narrow = rows.where("size > 0").select("source_key", "h", "size")
+    off = F.col("left") > (near or 0.0) * F.col("target")
+    k = 0
+    while True:
+        state = scratch.keep(state, f"state{k}")
+        active = state.where(off & F.col("boundary").isNotNull()) if k else state
+        if active.isEmpty() or k and near is None:
+            break
+        most = F.floor("left").cast("long") if k else F.lit((1 << 63) - 1)
+        wanted = active.select("source_key", F.col("left").alias("need"), F.col("boundary").alias("after"), most.alias("most"))
+        found = narrowed(narrow, wanted, scratch, f"pass{k}").select("source_key", "cut", F.col("left").alias("rest"), F.col("boundary").alias("next"), F.col("words").alias("next_words"))
+        both = state.join(found.withColumn("more", F.lit(True)), "source_key", "left").join(wanted.select("source_key", "after", "most"), "source_key", "left")
+        passes = F.concat("passes", F.array(F.struct("after", F.col("cut").alias("upto"), "most")))
+        state = both.select(
+            *["source_key", "repeats", "target", F.coalesce("rest", "left").alias("left"), F.col("next").alias("boundary"), F.col("next_words").alias("words")],
+            F.when(F.col("more"), passes).otherwise(F.col("passes")).alias("passes"),
+        )
+        k += 1
+    if near is None:
+        return state.select("source_key", "repeats", "passes", F.when(2 * F.col("left") >= F.col("words"), F.col("boundary")).alias("extra"))
+    short = narrow.join(state.drop("words").where(off), "source_key")
+    short = short.withColumn("extra", F.lit(None).cast("string")).where((F.col("size") < 2 * F.col("left")) & ~taken_once("passes", "extra"))
+    last = short.groupBy("source_key", "left", "h").agg(F.sum("size").alias("words")).groupBy("source_key", "left").agg(F.min(F.struct("words", "h")).alias("last"))
+    last = last.where("last.words < 2 * left").select("source_key", F.col("last.h").alias("extra"))
+    return state.join(last, "source_key", "left").select("source_key", "repeats", "passes", "extra")
 
 
-def mix(docs: DataFrame, scratch: Scratch, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, share: float = 1.0, near: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of each document a mix of ``share`` times all words takes.
 
     Returns ``doc_id, source, text_hash, size, source_size, target, taken``: ``taken`` is a whole number of times
-    ``size``, three at most.  The threshold of a source for a larger share is never lower.
+    ``size``, three at most.  The threshold of a source for a larger share is never lower, so a larger share takes all
+    that a smaller one takes; a source is off its target by half of the document at its threshold at most.  With
+    ``near``, a source that is off by more than that share of its target also gets documents behind the threshold that
+    fit the rest; these may differ between shares.
 
     A null text has no words and is never taken; a null source is a source of its own, last in the order.  Repeated
     rows share a hash and are taken together, or not; so are ties.  An empty table gives no rows.  Other columns are
@@ -123,15 +170,15 @@ def mix(docs: DataFrame, scratch: Scratch, share: float = 1.0, id_col: str = "do
         F.coalesce(F.concat(F.lit("="), source_col), F.lit("")).alias("source_key"),
         F.xxhash64(text).alias("text_hash"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-    ).withColumn("hash", F.xxhash64(F.lit("mix"), "doc_id", "text_hash"))
+    ).withColumn("h", digits(F.xxhash64(F.lit("mix"), "doc_id", "text_hash")))
     rows = scratch.keep(rows, "rows")
     sizes = rows.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
     sources = scratch.keep(ranked(scratch.keep(sizes, "sizes"), scratch), "ranked")
     sources = scratch.keep(targets(sources, share), "targets")
-    cuts = scratch.keep(thresholds(rows, sources, scratch), "cuts")
-    plan = sources.join(cuts, "source_key", "left").select("source_key", "source_size", "target", F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("cut", F.lit("")).alias("cut"))
+    cuts = scratch.keep(thresholds(rows, sources, scratch, near), "cuts")
+    plan = sources.join(cuts, "source_key", "left").select("source_key", "source_size", "target", F.coalesce("repeats", F.lit(0)).alias("repeats"), "passes", "extra")
     plan = scratch.keep(plan, "plan")
-    once = (hex_of(F.col("hash"), ROUNDS) <= F.col("cut")).cast("long")
+    once = taken_once("passes", "extra").cast("long")
     # A source that takes three repeats of everything has no room for one more.
     times = F.least(F.lit(MOST_REPEATS), F.col("repeats") + once)
     return rows.join(plan, "source_key").select("doc_id", "source", "text_hash", "size", "source_size", "target", (times * F.col("size")).alias("taken"))
@@ -139,7 +186,7 @@ def mix(docs: DataFrame, scratch: Scratch, share: float = 1.0, id_col: str = "do
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents in which the sources share all words."""
-    mixed = mix(documents(spark, sf_dir), Scratch(spark, "mixing"))
+    mixed = mix(documents(spark, sf_dir), Scratch(spark, "mixing"), near=NEAR)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -91,6 +91,24 @@ def price(weights: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), pattern
 
 
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row exchange, without LAPACK: its threads can block for good in a driver beside Spark."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= np.multiply.outer(factor, both[k])
+    return both[:, n:]
+
+
 def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """``uses, {class: pieces}`` so that every piece of every class has a place."""
     weights = np.array(sorted(counts))
@@ -98,22 +116,22 @@ def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     if not len(weights):
         return []
     basis = np.diag((capacity // weights).astype(float))  # a column for each pattern
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / np.diag(basis))
     for k in range(50 * len(weights)):
         value, column = price(weights, inverse.sum(axis=0), capacity)
         if value <= WORTH:
             break
-        uses, change = inverse @ need, inverse @ column
+        uses, change = times(inverse, need), times(inverse, column)
         ratio = np.where(change > 1e-9, uses / np.where(change > 1e-9, change, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
         if k % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
         else:
             row = inverse[out] / change[out]
             inverse = inverse - np.outer(change, row)
             inverse[out] = row
-    uses = np.floor(np.linalg.solve(basis, need) + 1e-6).astype(int).clip(0)
+    uses = np.floor(times(inverted(basis), need) + 1e-6).astype(int).clip(0)
     left, out = need.astype(int), []
     for k in np.argsort(-uses):
         column = basis[:, k].astype(int)

@@ -61,6 +61,27 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
 
 
+def test_mixing_fills_the_gap_behind_a_large_document(spark):
+    """Where one document is larger than the rest of the source, smaller ones behind it close the gap."""
+    sizes = {"a": [2770, 16, 47, 71, 275, 350, 619, 665], "b": [5] * 40, "c": [400] * 30, None: [9000, 1], "d": [0, 0], "e": [700, 3, 2]}
+    docs = [(i, " ".join(["w"] * n) + f" {i}" * bool(n), s) for i, (s, n) in enumerate((s, n) for s, v in sizes.items() for n in v)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    for share in (0.3, 1.0):
+        got = mixing.mix(df, Scratch(spark, "t"), share, near=mixing.NEAR).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(df.repartition(5), Scratch(spark, "t"), share, near=mixing.NEAR).collect()))
+        taken, target, free = Counter(), {}, defaultdict(list)
+        for r in got:
+            assert r["size"] == 0 or r["taken"] % r["size"] == 0 and 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+            if r["size"] and r["taken"] // r["size"] == r["target"] // r["source_size"]:
+                free[r["source"]].append(r["size"])  # not taken once more
+        for s, t in target.items():
+            under = t - taken[s]
+            assert -under <= max(sizes[s]) / 2 + 1, (s, share)
+            assert under <= mixing.NEAR * t + 1 or all(f >= 2 * under for f in free[s]), (s, share)
+
+
 def test_mixing_narrows_down_to_one_hash(spark, monkeypatch):
     """With few bits a round, several rounds are needed, and the result is the same."""
     whole = Counter(map(tuple, mixing.mix(frame(spark), Scratch(spark, "t")).collect()))

@@ -84,6 +84,20 @@ def test_packing(spark, library, length):
     assert packing.pack(spark.createDataFrame([], SCHEMA), Scratch(spark, "t"), PATH).count() == 0
 
 
+def test_patterns_beside_spark(spark):
+    """All classes of lengths, in a driver that has run a Spark job."""
+    assert spark.range(1000).selectExpr("sum(id)").first()[0] == 499500
+    counts = {w: 20_000 // w + 1 for w in range(1, 257)}
+    placed = Counter()
+    for uses, pattern in packing.patterns(counts, 256):
+        for w, n in pattern.items():
+            placed[w] += uses * n
+    assert placed == counts
+    rng = np.random.default_rng(2)
+    m = rng.random((257, 257))
+    assert np.abs(packing.times(packing.inverted(m), m @ np.arange(257.0)) - np.arange(257)).max() < 1e-6
+
+
 def test_patterns_hold_every_piece_and_are_near_the_bound():
     rng = random.Random(4)
     counts = Counter(min(256, int(rng.paretovariate(1.1) * 20)) for _ in range(30_000))
