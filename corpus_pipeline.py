@@ -55,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs, Scratch(spark, "pipeline-mixing")).where("taken > 0")
+    taken = mixing.mix(docs, Scratch(spark, "pipeline-mixing"), near=mixing.NEAR).where("taken > 0")
     taken = taken.select("doc_id", "source", "text_hash", (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct()
     keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     on = [keyed[c].eqNullSafe(taken[c]) for c in ("doc_id", "source")] + [keyed["text_hash"] == taken["text_hash"]]
