@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokens", "mixing", "packing", "linededup", "sharding", "jaccard", "repeats", "quality", "licenses", "topk", "bestfit", "lloyd")
+MODULES = ("tokens", "mixing", "packing", "linededup", "sharding", "jaccard", "repeats", "quality", "licenses", "topk", "bestfit", "lloyd", "turns")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
