@@ -206,10 +206,35 @@ def _(s):
     return _entries(made)
 
 
-@query("ml_smote_border")
+# A fixed separator through the origin for vectors of 64 entries, shifted so that its margin takes one side.
+BORDER = [((7 * i) % 5 - 2) / 10 for i in range(64)], 1.0
+BORDER_SQL = f"""
+    , minority as (select id, vec from fourclass where label = 1),
+    line as (select {BORDER[0]}::double[] as w),
+    margins as (select id, round({BORDER[1]} + list_sum(list_transform(list_zip(vec, w), lambda z: z[1] * z[2])), {resample.MARGIN_DIGITS}) as margin
+      from minority, line),
+    votes as (select left_id as id, sum(other) as against from knn_all join margins on id = left_id
+      where margin <= {resample.MARGIN} and rank <= {resample.VOTERS} group by left_id),
+    seeds as (select v.id, vec, case when 2 * against >= {resample.VOTERS} then 'danger' else 'safe' end as kind,
+        row_number() over (order by md5(v.id || ':0')) as r, count(*) over () as n
+      from votes v join minority m on m.id = v.id where against < {resample.VOTERS}),
+    sizes as (select count(*) filter (label = 0) - count(*) filter (label = 1) as missing from fourclass),
+    made as (select id as seed_id, vec as seed_vec, kind, cast(unnest(range(0, missing // n + case when r <= missing % n then 1 else 0 end)) as int) as copy
+      from seeds, sizes),
+    drawn as (select m.seed_id, k.right_id as neighbour_id, m.copy, kind, seed_vec, b.vec as near_vec,
+        ('0x' || substr(md5(concat_ws(':', m.seed_id, k.right_id, m.copy, 0)), 1, 12))::bigint / 281474976710656.0 as lam
+      from made m join knn_all k on k.left_id = m.seed_id and k.other = 0 and k.class_rank = 1 + m.copy % 5 join minority b on b.id = k.right_id),
+    stepped as (select *, case when kind = 'safe' then -{resample.OUT_STEP} * lam else lam end as step from drawn)
+    select seed_id, neighbour_id, copy, kind, {R('step')} as step, i, {R('seed_vec[i + 1] + (near_vec[i + 1] - seed_vec[i + 1]) * step', 5)} as x
+    from (select *, unnest(range(0, len(seed_vec))) as i from stepped) t"""
+
+
+@query("ml_smote_border", sql(["fourclass", "knn_all"], BORDER_SQL))
 def _(s):
-    made = resample.ml_smote(binary_vectors(s), "label", variant="svm")
-    return _entries(made)
+    rows = s.vectors().withColumn("label", (F.col("label") <= 3).cast("int"))
+    made = resample.ml_smote(rows, "label", variant="svm", border=BORDER)
+    long = made.select("seed_id", "neighbour_id", "copy", "kind", r6("step").alias("step"), F.posexplode("vec").alias("i", "x"))
+    return long.withColumns({"i": F.col("i").cast("bigint"), "x": F.round("x", 5)})
 
 
 @query("ml_nearmiss", sql(["twoclass", "knn_far"], f"""

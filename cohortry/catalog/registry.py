@@ -222,6 +222,13 @@ PARTS: dict[str, tuple[list[str], str]] = {
           and {age_sql(f"'{standin.COHORT_DATE}'")} < {standin.COHORT_AGE[1]}"""),
     "vectors": ([], "select vec_id as id, cast(embedding as double[]) as vec, label from embeddings"),
     "twoclass": (["vectors"], "select id, vec, case when label = 3 then 1 else 0 end as label from vectors"),
+    "fourclass": (["vectors"], "select id, vec, case when label <= 3 then 1 else 0 end as label from vectors"),
+    "knn_all": (["fourclass"], f"""
+        select left_id, right_id, other, row_number() over (partition by left_id order by distance, right_id) as rank,
+          row_number() over (partition by left_id, other order by distance, right_id) as class_rank
+        from (select p.id as left_id, q.id as right_id, 1 - q.label as other,
+                {R("sqrt(list_sum(list_transform(list_zip(p.vec, q.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))")} as distance
+              from fourclass p join fourclass q on p.label = 1 and p.id <> q.id) t"""),
     "knn_far": (["twoclass"], f"""
         select left_id, right_id, distance, row_number() over (partition by left_id order by distance, right_id) as rank
         from (select p.id as left_id, q.id as right_id,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
@@ -13,6 +15,10 @@ from cohortry.session import stage
 # Copies of one seed row are laid out in runs of this length.
 RUN = 1_000
 MARGIN = 1.0
+# Rows that vote on a seed, and how far beyond a safe seed a made row may lie.
+VOTERS = 10
+OUT_STEP = 0.5
+MARGIN_DIGITS = 9
 
 
 def class_sizes(df: DataFrame, label: str) -> tuple[int, int, int, int]:
@@ -23,18 +29,36 @@ def class_sizes(df: DataFrame, label: str) -> tuple[int, int, int, int]:
     return rows[0][label], rows[0]["count"], rows[1][label], rows[1]["count"]
 
 
-def border_rows(df: DataFrame, minority: DataFrame, label: str, minority_value, vec_col: str = "vec") -> DataFrame:
-    """Minority rows on or inside the margin of a linear separator."""
+def linear_border(df: DataFrame, label: str, minority_value, vec_col: str = "vec") -> tuple[list[float], float]:
+    """Weights and intercept of a linear separator, positive on the minority's side."""
     signed = F.when(F.col(label) == minority_value, 1.0).otherwise(0.0)
     prepared = df.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"), signed.alias("y"))
     model = LinearSVC(labelCol="y", featuresCol="features", maxIter=20, regParam=0.01).fit(prepared)
-    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    return [float(w) for w in model.coefficients], float(model.intercept)
+
+
+def border_rows(minority: DataFrame, border: tuple[Sequence[float], float], vec_col: str = "vec") -> DataFrame:
+    """Minority rows on or inside the margin of a linear separator."""
+    weights, intercept = border
     margin = F.aggregate(
-        F.zip_with(F.col(vec_col), weights, lambda a, w: a.cast("double") * w),
-        F.lit(float(model.intercept)),
+        F.zip_with(F.col(vec_col), F.array(*[F.lit(float(w)) for w in weights]), lambda a, w: a.cast("double") * w),
+        F.lit(float(intercept)),
         lambda acc, v: acc + v,
     )
-    return minority.where(margin <= MARGIN)
+    return minority.where(F.round(margin, MARGIN_DIGITS) <= MARGIN)
+
+
+def vote_on_seeds(seeds: DataFrame, rows: DataFrame, label: str, minority_value, voters: int = VOTERS) -> DataFrame:
+    """Seeds with their ``kind``, by the classes of their nearest rows among all rows.
+
+    ``noise`` where all of them are of the majority, ``danger`` where at least half are, else ``safe``.  The votes are
+    counted by seed after a join on the neighbour's id, so no row's class is collected anywhere.
+    """
+    near = join_knn(seeds, rows, voters, exclude_self=True).select(F.col("left_id").alias("id"), F.col("right_id").alias("voter"))
+    classes = rows.select(F.col("id").alias("voter"), (F.col(label) != minority_value).alias("other"))
+    votes = near.join(classes, "voter").groupBy("id").agg(F.count_if("other").alias("against"), F.count("*").alias("votes"))
+    kind = F.when(F.col("against") == F.col("votes"), "noise").when(2 * F.col("against") >= F.col("votes"), "danger").otherwise("safe")
+    return seeds.join(votes.select("id", kind.alias("kind")), "id")
 
 
 def ml_smote(
@@ -46,26 +70,34 @@ def ml_smote(
     k: int = 5,
     variant: str = "svm",
     seed: int = 0,
+    border: tuple[Sequence[float], float] | None = None,
+    voters: int = VOTERS,
+    out_step: float = OUT_STEP,
 ) -> DataFrame:
     """Synthetic minority rows that bring the classes to equal size.
 
-    A synthetic row lies between a minority row and one of its ``k`` nearest minority
-    rows.  The seed rows are all minority rows (``plain``) or those near a linear class
-    border (``svm``).  Seeds share the copies evenly, the remainder going to the first in
+    A synthetic row lies on the line through a minority row, its seed, and one of the seed's ``k`` nearest
+    minority rows.  With ``plain`` the seeds are all minority rows and made rows lie between the two.  With ``svm`` they are
+    those near a linear class border, fitted unless ``border`` (weights, intercept) is given, on which the
+    ``voters`` nearest rows of both classes vote: noise is no seed, made rows of an endangered seed lie
+    between the two, those of a safe seed lie beyond it, away from the neighbour, by up to ``out_step`` of the distance.
+    Without any seed left all minority rows serve, as in ``plain``.  Seeds share the copies evenly, the remainder going to the first in
     digest order; copy ``c`` goes to neighbour ``1 + c mod k``, at a distance drawn from the
     digest of seed, neighbour and copy.
 
-    Returns ``seed_id, neighbour_id, copy, lambda, vec, label`` for the new rows only.
+    Returns ``seed_id, neighbour_id, copy, lambda, kind, step, vec, label`` for the new rows only; ``step`` is the signed
+    share of the way to the neighbour.
     """
     if variant not in ("svm", "plain"):
         raise ValueError("variant is 'svm' or 'plain'")
     minority_value, n_min, _, n_maj = class_sizes(df, label)
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), label)
     minority = rows.where(F.col(label) == minority_value).select("id", "vec")
-    seeds = minority
+    seeds = minority.withColumn("kind", F.lit("danger"))
     if variant == "svm":
-        near = border_rows(rows, minority, label, minority_value)
-        seeds = minority if near.isEmpty() else near
+        near = border_rows(minority, border or linear_border(rows, label, minority_value))
+        judged = stage(vote_on_seeds(near, rows, label, minority_value, voters).where("kind <> 'noise'"), "seeds")
+        seeds = seeds if judged.isEmpty() else judged
     n_seeds = seeds.count()
     missing = n_maj - n_min
     each, rest = divmod(missing, n_seeds)
@@ -79,6 +111,7 @@ def ml_smote(
     made = runs.select(
         F.col("id").alias("seed_id"),
         F.col("vec").alias("seed_vec"),
+        "kind",
         F.explode(F.sequence(first, F.least(first + RUN, F.col("copies")) - 1)).alias("copy"),
     )
     near = join_knn(seeds, minority, k, exclude_self=True)
@@ -92,10 +125,11 @@ def ml_smote(
     text = F.md5(F.concat_ws(":", "seed_id", "neighbour_id", "copy", F.lit(seed)))
     mixed = F.zip_with(
         "seed_vec", "near_vec",
-        lambda a, b: a.cast("double") + (b.cast("double") - a.cast("double")) * F.col("lambda"),
+        lambda a, b: a.cast("double") + (b.cast("double") - a.cast("double")) * F.col("step"),
     )
-    return drawn.withColumn("lambda", digest_fraction(text)).select(
-        "seed_id", "neighbour_id", "copy", "lambda", mixed.alias("vec"), F.lit(minority_value).alias(label)
+    step = F.when(F.col("kind") == "safe", -out_step * F.col("lambda")).otherwise(F.col("lambda"))
+    return drawn.withColumn("lambda", digest_fraction(text)).withColumn("step", step).select(
+        "seed_id", "neighbour_id", "copy", "lambda", "kind", "step", mixed.alias("vec"), F.lit(minority_value).alias(label)
     )
 
 

@@ -102,7 +102,7 @@ def test_folds_are_balanced_and_disjoint(spark):
         assert len(sizes) == 3 and max(sizes) - min(sizes) <= 1
 
 
-def test_smote_balances_and_stays_on_segments(spark):
+def test_smote_balances_and_stays_on_lines(spark):
     rows, frame = vectors(spark, 120)
     by_id = {i: np.array(v) for i, v, _ in rows}
     for variant in ("plain", "svm"):
@@ -111,10 +111,29 @@ def test_smote_balances_and_stays_on_segments(spark):
         for r in made:
             a, b = by_id[r.seed_id], by_id[r.neighbour_id]
             assert r.seed_id != r.neighbour_id and 0 <= r["lambda"] < 1
-            assert np.allclose(np.array(r.vec), a + (b - a) * r["lambda"])
+            assert r.step == (-resample.OUT_STEP * r["lambda"] if r.kind == "safe" else r["lambda"])
+            assert variant == "svm" or r.kind == "danger"
+            assert np.allclose(np.array(r.vec), a + (b - a) * r.step)
         assert rows[made[0].seed_id][2] == rows[made[0].neighbour_id][2] == 1
 
 
+def test_votes_on_seeds(spark):
+    """A minority row among the majority is noise, one at the border is endangered, one among its own is safe."""
+    spots = [(0.0, 0)] * 30 + [(10.0, 1)] * 12 + [(20.0, 0)] * 6 + [(20.0, 1)] * 5 + [(0.0, 1)]
+    rng = np.random.default_rng(3)
+    rows = [(i, [x + float(rng.normal(0, 0.01)), float(rng.normal(0, 0.01))], y) for i, (x, y) in enumerate(spots)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>, label int").repartition(4)
+    minority = frame.where("label = 1").select("id", "vec")
+    got = {r.id: r.kind for r in resample.vote_on_seeds(minority, frame, "label", 1).collect()}
+    want = {i: "noise" if x == 0 else "safe" if x == 10 else "danger" for i, (x, y) in enumerate(spots) if y}
+    assert got == want
+    made = resample.ml_smote(frame, "label", border=([0.0, 0.0], 0.0)).collect()
+    assert {r.seed_id for r in made} <= {i for i, k in want.items() if k != "noise"} and len(made) == 36 - 18
+    # Beyond the margin of the given separator there are no seeds; then all minority rows serve.
+    made = resample.ml_smote(frame, "label", border=([0.0, 0.0], 5.0)).collect()
+    assert len(made) == 18 and {r.kind for r in made} == {"danger"}
+
+
 def test_smote_runs_of_many_copies(spark, monkeypatch):
     monkeypatch.setattr(resample, "RUN", 3)
     rows, frame = vectors(spark, 100)
