@@ -33,7 +33,7 @@ HEADLINE = [
 ]
 
 
-INPUTS = ("stats", "season", "edges", "league", "era")
+INPUTS = ("stats", "season", "edges", "league", "era", "rates", "clusters")
 
 
 def literal_points(s: StandIn):
@@ -118,7 +118,7 @@ def main() -> None:
         inputs[name] = round(time.perf_counter() - start, 3)
 
     def fresh(name: str):
-        data.forget(INPUTS)
+        data.forget((*INPUTS, "rates-F", "clusters-F"))
         return BUILDERS[name](data)
 
     times = {name: timed(lambda: fresh(name), runs) for name in HEADLINE}

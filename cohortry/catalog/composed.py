@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from cohortry import standin
 from cohortry.catalog.aggregates import poly_sql
-from cohortry.catalog.learning import LEVELS, TREES, body_models, cluster_rates
+from cohortry.catalog.learning import TREES, body_models
 from cohortry.catalog.projections import stored_frame
 from cohortry.catalog.registry import R, query, r6, rounded, sql
-from cohortry.plans import body, clusters, models, tables
+from cohortry.plans import body, models, tables
 
 
 @query("season_enrich", sql(["sss"], "select player_id, season, team, league_name, league_id, gp, g, a, p, age, age2, g_gp, a_gp, p_gp from sss"))
@@ -79,9 +79,9 @@ def _(s):
     return body.body_training_set(s.draft(), s.bios(), s.height_weight())
 
 
-@query("player_clusters")
+@query("player_clusters", sql(["clusters"], "select player_id, 'F' as pos, clusters50, clusters100, clusters200 from clusters"))
 def _(s):
-    return clusters.player_clusters(cluster_rates(s), "F", LEVELS, seed=1)
+    return s.clusters()
 
 
 @query("train_eval_classifier")

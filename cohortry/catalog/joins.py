@@ -51,11 +51,12 @@ def _(s):
     return rounded(joined.select("player_id", "season", "team", "league_name", "le", "era_adj_p_gp"), "le", "era_adj_p_gp")
 
 
-@query("join_feature_left", sql(["frame", "draft"], f"""
-    select f.player_id, {R('adj_p_a18')} as adj_p_a18, wjc_18, classifier1 from frame f left join draft d on d.player_id = f.player_id"""))
+@query("join_feature_left", sql(["frame_k", "draft"], f"""
+    select f.player_id, {R('adj_p_a18')} as adj_p_a18, wjc_18, classifier1, clusters50, clusters100, clusters200
+    from frame_k f left join draft d on d.player_id = f.player_id"""))
 def _(s):
-    frame = train_frame(s, dedupe_draft=False)
-    return rounded(frame.select("player_id", "adj_p_a18", "wjc_18", "classifier1"), "adj_p_a18")
+    frame = train_frame(s, clustered=True, dedupe_draft=False)
+    return rounded(frame.select("player_id", "adj_p_a18", "wjc_18", "classifier1", *ff.CLUSTER_COLUMNS), "adj_p_a18")
 
 
 @query("join_filtered_right", sql(["bios", "career"], f"""

@@ -9,7 +9,7 @@ from cohortry import standin
 from cohortry.catalog.aggregates import MOMENTS
 from cohortry.catalog.joins import binary_vectors
 from cohortry.catalog.projections import stored_frame
-from cohortry.catalog.registry import R, query, r6, rounded, sql
+from cohortry.catalog.registry import R, lloyd_sql, query, r6, rounded, sql
 from cohortry.operators import prepare, resample
 from cohortry.operators.metrics import agg_confusion, agg_r2
 from cohortry.plans import body, clusters, features as ff, models
@@ -38,33 +38,27 @@ def as_vectors(rows):
     return rows.select("id", array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"))
 
 
-@query("feat_frame_train", sql(["frame"], f"""
+@query("feat_frame_train", sql(["frame_k"], f"""
     select player_id, height, weight, age, pos, country, league_id17, league_id18, g_gp17, a_gp17, g_gp18, a_gp18,
       {', '.join(f'{R(c)} as {c}' for c in ALL_ADJ)}, wjc_18, wjc_20, clusters50, clusters100, clusters200,
-      classifier1, classifier2, classifier3, p_gp, g_gp, a_gp from frame"""))
+      classifier1, classifier2, classifier3, p_gp, g_gp, a_gp from frame_k"""))
 def _(s):
-    return rounded(stored_frame(s), *ALL_ADJ)
+    return rounded(stored_frame(s, clustered=True), *ALL_ADJ)
 
 
-@query("feat_frame_cohort", sql(["cohort"], f"""
+@query("feat_frame_cohort", sql(["cohort_k"], f"""
     select player_id, height, weight, age, age1, pos, country, league_id17, league_id18, g_gp17, a_gp17, g_gp18, a_gp18,
       {', '.join(f'{R(c)} as {c}' for c in ALL_ADJ)}, wjc_18, wjc_20, clusters50, clusters100, clusters200,
-      classifier1, classifier2, classifier3, p_gp, g_gp, a_gp from cohort"""))
+      classifier1, classifier2, classifier3, p_gp, g_gp, a_gp from cohort_k"""))
 def _(s):
-    return rounded(stored_frame(s, mode="cohort"), *ALL_ADJ)
+    return rounded(stored_frame(s, mode="cohort", clustered=True), *ALL_ADJ)
 
 
 def cluster_rates(s, pos: str = "F"):
-    return s.staged(f"rates-{pos}", lambda: ff.feat_frame_cluster(
-        s.season(), s.bios(), s.league(), s.era(), pos=pos, ages=standin.AGES, min_gp=standin.MIN_GP, max_birth_year=standin.MAX_BIRTH_YEAR
-    ))
+    return s.rates(pos)
 
 
-@query("feat_frame_cluster", sql(["adj_wide"], f"""
-    select w.player_id, {R('adj_g_a17')} as g_a17, {R('adj_g_a18')} as g_a18, {R('adj_a_a17')} as a_a17, {R('adj_a_a18')} as a_a18
-    from adj_wide w join bios b on b.player_id = w.player_id
-    where pos2 = 'F' and try_cast(left(dob, 4) as int) <= {standin.MAX_BIRTH_YEAR} and adj_g_a17 is not null and adj_g_a18 <> 0
-      and adj_a_a17 is not null and adj_a_a18 is not null and adj_gp_a18 >= {standin.MIN_GP}"""))
+@query("feat_frame_cluster", sql(["rates"], f"select player_id, {', '.join(f'{R(c)} as {c}' for c in clusters.RATE_COLUMNS)} from rates"))
 def _(s):
     return rounded(cluster_rates(s), *clusters.RATE_COLUMNS)
 
@@ -251,10 +245,10 @@ def _(s):
     return rounded(models.ml_cv(class_rows(s), imb=2, trees=TREES), "accuracy", "precision", "recall", "f1")
 
 
-@query("ml_kmeans")
+@query("ml_kmeans", sql(["clusters"], "select player_id, clusters50, clusters100, clusters200 from clusters"))
 def _(s):
-    model = clusters.ml_kmeans(cluster_rates(s), LEVELS, seed=1)
-    return clusters.ml_kmeans_assign(cluster_rates(s), model).select("player_id", *[f"clusters{k}" for k in LEVELS])
+    centres = clusters.lloyd(cluster_rates(s), LEVELS, seed=1)
+    return clusters.lloyd_assign(cluster_rates(s), centres).select("player_id", *[f"clusters{k}" for k in LEVELS])
 
 
 # Fixed centres: the mean vector of each label, so that both engines start from the same table.
@@ -271,7 +265,9 @@ def _(s):
     return clusters.nearest_centre(points.select("id", "vec"), centres).select("id", "cluster", F.round("gap", 4).alias("gap"))
 
 
-@query("ml_elbow")
+@query("ml_elbow", sql(["rates"], f"""
+    , near as ({lloyd_sql(clusters.ELBOW_GRID, 0)})
+    select level as k, {R(f"sum(gap) / {float(clusters.GRAIN) ** 2:.1f}")} as cost from near group by level"""))
 def _(s):
     return rounded(clusters.ml_elbow(cluster_rates(s)), "cost")
 

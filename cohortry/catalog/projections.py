@@ -18,14 +18,14 @@ from cohortry.sources import json_pages
 ADJ = ["adj_g_a17", "adj_g_a18", "adj_a_a17", "adj_a_a18", "adj_p_a17", "adj_p_a18"]
 
 
-def train_frame(s, **kw):
+def train_frame(s, clustered=False, **kw):
     options = dict(
         pos="F", ages=standin.AGES, min_gp=standin.MIN_GP, max_birth_year=standin.MAX_BIRTH_YEAR,
         target_league=standin.ANCHOR, label_min_gp=standin.LABEL_MIN_GP, label_min_rate=standin.LABEL_MIN_RATE,
         cohort_date=standin.COHORT_DATE, cohort_age=standin.COHORT_AGE,
     )
     options.update(kw)
-    return ff.feat_frame(s.season(), s.bios(), s.league(), s.era(), s.awards(), s.career(), None, s.draft(), **options)
+    return ff.feat_frame(s.season(), s.bios(), s.league(), s.era(), s.awards(), s.career(), s.clusters() if clustered else None, s.draft(), **options)
 
 
 def stored_frame(s, **kw):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortry import standin
+from cohortry.plans import clusters
 from cohortry.standin import StandIn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +59,31 @@ def rate_sql(num: str) -> str:
     return R(f"{inner} / nullif(cast(gp as double), 0)", 2)
 
 
+def lloyd_sql(levels, seed: int, rounds: int = clusters.ROUNDS) -> str:
+    """``player_id, level, centre, gap``: nearest centres after that many rounds, each round a relation of its own."""
+    grain, weights = clusters.GRAIN, clusters.AGE_WEIGHTS
+    far = " + ".join(f"{w} * (p[{i}] - c[{i}]) * (p[{i}] - c[{i}])" for i, w in enumerate(weights, 1))
+    means = ", ".join(f"(2 * s{i} + n) // (2 * n)" for i in range(1, 5))
+    steps = [f"""
+      pts as materialized (select player_id, [{", ".join(f"cast(round({R(c)} * {grain}) as bigint)" for c in clusters.RATE_COLUMNS)}] as p from rates),
+      c0 as materialized (
+        select level, centre, p as c from (select p, cast(row_number() over (order by md5(player_id || ':{seed}'), p) - 1 as int) as centre from pts) t,
+          (values {", ".join(f"({k})" for k in levels)}) v(level) where centre < level)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+      n{r} as materialized (
+        select player_id, level, best.centre as centre, best.gap as gap from (
+          select player_id, level, min({{'gap': cast({far} as bigint), 'centre': centre}}) as best from pts, c{r} group by player_id, level) t)""")
+        if r < rounds:
+            steps.append(f"""
+      c{r + 1} as materialized (
+        select c.level, c.centre, coalesce(m.c, c.c) as c from c{r} c left join (
+          select level, centre, [{means}]::bigint[] as c from (
+            select level, centre, count(*) as n, {", ".join(f"sum(p[{i}]) as s{i}" for i in range(1, 5))}
+            from n{r} join pts using (player_id) group by level, centre) t) m on m.level = c.level and m.centre = c.centre)""")
+    return f"with {','.join(steps)} select player_id, level, centre, gap from n{rounds}"
+
+
 # Shared relations in dependency order; each query names the ones it starts from.
 PARTS: dict[str, tuple[list[str], str]] = {
     "bios": ([], """
@@ -197,6 +223,20 @@ PARTS: dict[str, tuple[list[str], str]] = {
           max(case when age2 = {A17} then g_gp end) as g_gp17, max(case when age2 = {A18} then g_gp end) as g_gp18,
           max(case when age2 = {A17} then a_gp end) as a_gp17, max(case when age2 = {A18} then a_gp end) as a_gp18
         from main_row where age2 in ({A17}, {A18}) group by player_id"""),
+    "rates": (["adj_wide", "bios"], f"""
+        select w.player_id, adj_g_a17 as g_a17, adj_g_a18 as g_a18, adj_a_a17 as a_a17, adj_a_a18 as a_a18
+        from adj_wide w join bios b on b.player_id = w.player_id
+        where pos2 = 'F' and try_cast(left(dob, 4) as int) <= {standin.MAX_BIRTH_YEAR} and adj_g_a17 is not null and adj_g_a18 <> 0
+          and adj_a_a17 is not null and adj_a_a18 is not null and adj_gp_a18 >= {standin.MIN_GP}"""),
+    "clusters": (["rates"], f"""
+        select player_id, {", ".join(f"max(centre) filter (level = {k}) as clusters{k}" for k in clusters.LEVELS)}
+        from ({lloyd_sql(clusters.LEVELS, 1)}) t group by player_id"""),
+    "frame_k": (["frame", "clusters"], f"""
+        select f.* replace ({", ".join(f"coalesce(k.clusters{n}, 0) as clusters{n}" for n in clusters.LEVELS)})
+        from frame f left join clusters k on k.player_id = f.player_id"""),
+    "cohort_k": (["cohort", "clusters"], f"""
+        select f.* replace ({", ".join(f"coalesce(k.clusters{n}, 0) as clusters{n}" for n in clusters.LEVELS)})
+        from cohort f left join clusters k on k.player_id = f.player_id"""),
     "labels_f": (["career"], f"""
         select player_id, case when gp < 1 then 0 else 1 end as classifier1,
           case when gp <= {standin.LABEL_MIN_GP} or p_gp < {standin.LABEL_MIN_RATE} then 0 else 1 end as classifier2,

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry.functions.scalar import safe_div
+from cohortry.operators.ordering import digest
 from cohortry.session import stage
 
 # Numbers of clusters, elbow grid, games of a season and of a career.
@@ -19,6 +22,12 @@ ELBOW_GRID = tuple(range(25, 351, 25))
 SEASON_GAMES = 82
 CAREER_GAMES = 164
 RATE_COLUMNS = ["g_a17", "g_a18", "a_a17", "a_a18"]
+AGE_WEIGHTS = (1, 2, 1, 2)
+GRAIN = 1_000_000
+ROUNDS = 20
+POINTS_A_SLICE = 1_000
+# The centres of each level, in whole millionths.
+Centres = dict[int, np.ndarray]
 
 
 def cluster_inputs(rates: DataFrame) -> DataFrame:
@@ -40,8 +49,84 @@ def _assembled(rates: DataFrame) -> DataFrame:
     )
 
 
+def whole_rates(rates: DataFrame) -> DataFrame:
+    """``player_id, p``: the rates as whole millionths, so that sums and distances do not depend on their order."""
+    whole = [F.round(F.round(F.col(c).cast("double"), 6) * GRAIN).cast("bigint") for c in RATE_COLUMNS]
+    return rates.select(F.col("player_id").cast("bigint").alias("player_id"), F.array(*whole).alias("p"))
+
+
+def _gaps(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, in which the second age weighs twice."""
+    return ((points[:, None, :] - centres[None]) ** 2 * np.array(AGE_WEIGHTS)).sum(axis=2)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    for at in range(0, batch.num_rows, POINTS_A_SLICE):
+        part = batch.slice(at, POINTS_A_SLICE)
+        yield part.column(0), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+
+
+def _centre_sums(points: DataFrame, centres: Centres) -> DataFrame:
+    """``level, centre, n, s0..s3``: the points nearest to each centre of every level, added up within each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros((len(c), 1 + len(RATE_COLUMNS)), np.int64) for k, c in centres.items()}
+        for batch in batches:
+            for _, p in _slices(batch):
+                for k, c in centres.items():
+                    label = _gaps(p, c).argmin(axis=1)
+                    np.add.at(sums[k], label, np.hstack([np.ones((len(p), 1), np.int64), p]))
+        for k, total in sums.items():
+            hit = np.flatnonzero(total[:, 0])
+            columns = [np.full(len(hit), k, np.int32), hit.astype(np.int32), *total[hit].T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["level", "centre", "n", "s0", "s1", "s2", "s3"])
+
+    parts = points.mapInArrow(run, "level int, centre int, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return parts.groupBy("level", "centre").agg(*[F.sum(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
+
+
+def lloyd(rates: DataFrame, levels: Sequence[int] = LEVELS, seed: int = 0, rounds: int = ROUNDS) -> Centres:
+    """Centres of every level after at most ``rounds`` rounds of nearest centre and mean.
+
+    The first centres of a level are the first entities by digest, as many as the level or as there are.  Ties go to
+    the lower centre, means are rounded half up to whole millionths, a centre without points stays.  All levels share
+    a pass over the points; each round's centres are a stored table, and the rounds end when none moves.  Only centres
+    go to the driver: the sum of the levels.
+    """
+    points = stage(whole_rates(rates), "points")
+    first = points.select(digest("player_id", seed).alias("text"), "p").orderBy("text", "p").limit(max(levels)).collect()
+    centres = {k: np.array([r.p for r in first[:k]], np.int64).reshape(-1, len(RATE_COLUMNS)) for k in levels}
+    for r in range(rounds if first else 0):
+        means = [F.expr(f"(2 * s{i} + n - pmod(2 * s{i} + n, 2 * n)) div (2 * n)") for i in range(len(RATE_COLUMNS))]
+        found = stage(_centre_sums(points, centres).select("level", "centre", F.array(*means).alias("c")), f"centres{r}").collect()
+        moved = {k: c.copy() for k, c in centres.items()}
+        for x in found:
+            moved[x.level][x.centre] = x.c
+        if all((moved[k] == centres[k]).all() for k in levels):
+            break
+        centres = moved
+    return centres
+
+
+def lloyd_assign(rates: DataFrame, centres: Centres) -> DataFrame:
+    """``player_id``, and for each level ``clusters<k>`` and ``gap<k>``, the squared distance in square millionths."""
+    names = [f(k) for k in centres for f in (lambda k: f"clusters{k}", lambda k: f"gap{k}")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, p in _slices(batch):
+                columns = [ids]
+                for c in centres.values():
+                    gaps = _gaps(p, c)
+                    columns += [pa.array(gaps.argmin(axis=1).astype(np.int32)), pa.array(gaps.min(axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, ["player_id", *names])
+
+    kinds = ", ".join(f"clusters{k} int, gap{k} bigint" for k in centres)
+    return whole_rates(rates).mapInArrow(run, f"player_id bigint, {kinds}")
+
+
 def ml_kmeans(rates: DataFrame, levels: Sequence[int] = LEVELS, seed: int = 0, max_iter: int = 20) -> PipelineModel:
-    """One fitted clustering per level; outputs ``clusters<k>``."""
+    """One clustering per level fitted by the library instead, from its own first centres; outputs ``clusters<k>``."""
     rows = _assembled(rates).select("cluster_features").cache()
     try:
         fits = [
@@ -78,9 +163,9 @@ def nearest_centre(points: DataFrame, centres: DataFrame, vec_col: str = "vec")
     )
 
 
-def player_clusters(rates: DataFrame, pos: str, levels: Sequence[int] = LEVELS, seed: int = 0) -> DataFrame:
+def player_clusters(rates: DataFrame, pos: str, levels: Sequence[int] = LEVELS, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
     """Cluster of every entity at the three levels, with the columns of the default levels."""
-    assigned = ml_kmeans_assign(rates, ml_kmeans(rates, levels, seed))
+    assigned = lloyd_assign(rates, lloyd(rates, levels, seed, rounds))
     return assigned.select(
         "player_id", F.lit(pos).alias("pos"),
         *[F.col(f"clusters{k}").alias(f"clusters{name}") for k, name in zip(levels, LEVELS)],
@@ -95,17 +180,13 @@ def join_cluster_levels(*levels: DataFrame) -> DataFrame:
     return wide
 
 
-def ml_elbow(rates: DataFrame, grid: Sequence[int] = ELBOW_GRID, seed: int = 0, max_iter: int = 20) -> DataFrame:
-    """Within-cluster squared distance for a range of cluster numbers."""
-    rows = _assembled(rates).select("cluster_features").cache()
-    costs = []
-    try:
-        for k in grid:
-            model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="cluster_features").fit(rows)
-            costs.append((int(k), float(model.summary.trainingCost)))
-    finally:
-        rows.unpersist()
-    return rates.sparkSession.createDataFrame(costs, "k int, cost double")
+def ml_elbow(rates: DataFrame, grid: Sequence[int] = ELBOW_GRID, seed: int = 0, rounds: int = ROUNDS) -> DataFrame:
+    """Within-cluster squared distance for a range of cluster numbers, all from the same passes."""
+    rates = stage(rates, "rates")
+    assigned = lloyd_assign(rates, lloyd(rates, grid, seed, rounds))
+    sums = assigned.agg(*[F.sum(f"gap{k}").alias(f"gap{k}") for k in grid])
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), (F.coalesce(f"gap{k}", F.lit(0)) / F.lit(float(GRAIN) ** 2)).alias("cost")) for k in grid])
+    return sums.select(F.inline(entries))
 
 
 def _outcomes(clusters: DataFrame, career: DataFrame, league: str, cluster: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortry.plans import tables
+from cohortry.plans import clusters, features, tables
 from cohortry.session import apply_settings, stage
 
 # Parameters under which the derived data gives non-empty results.
@@ -24,6 +24,7 @@ LABEL_MIN_RATE = 0.5
 COHORT_DATE = "2001-09-15"
 COHORT_AGE = (20, 25)
 
+
 class StandIn:
     """Lazy frames over one data folder."""
 
@@ -148,6 +149,14 @@ class StandIn:
     def era(self) -> DataFrame:
         return self.staged("era", lambda: tables.era_adjust(self.season()))
 
+    def rates(self, pos: str = "F") -> DataFrame:
+        return self.staged(f"rates-{pos}", lambda: features.feat_frame_cluster(
+            self.season(), self.bios(), self.league(), self.era(), pos=pos, ages=AGES, min_gp=MIN_GP, max_birth_year=MAX_BIRTH_YEAR
+        ))
+
+    def clusters(self, pos: str = "F") -> DataFrame:
+        return self.staged(f"clusters-{pos}", lambda: clusters.player_clusters(self.rates(pos), pos, seed=1))
+
     def award_rows(self) -> DataFrame:
         """Award type rows: one per order of an entity."""
         kind = F.element_at(

@@ -1,5 +1,7 @@
 """Invariants of the fitted parts, on the small data."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -31,6 +33,48 @@ def test_clusters_cover_everyone_once_with_the_nearest_centre(data):
         assert np.argmin(((centres - at) ** 2).sum(axis=1)) == r[f"clusters{LEVELS[0]}"]
 
 
+def brute_lloyd(rows, k, seed, rounds):
+    """Plain rounds over whole numbers; gaps count the second age twice."""
+    points = {i: [round(x * 1_000_000) for x in v] for i, v in rows}
+    order = sorted(points, key=lambda i: (hashlib.md5(f"{i}:{seed}".encode()).hexdigest(), points[i]))
+    centres = [points[i] for i in order[:k]]
+    gap = lambda p, c: sum(w * (a - b) ** 2 for w, a, b in zip((1, 2, 1, 2), p, c))
+    nearest = lambda p: min((gap(p, c), j) for j, c in enumerate(centres))
+    for _ in range(rounds):
+        of = {i: nearest(p)[1] for i, p in points.items()}
+        mine = [[points[i] for i in points if of[i] == j] for j in range(len(centres))]
+        centres = [[(2 * sum(x) + len(m)) // (2 * len(m)) for x in zip(*m)] if m else c for m, c in zip(mine, centres)]
+    return {i: nearest(p)[::-1] for i, p in points.items()}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 20])
+def test_rounds_against_plain_rounds(spark, rounds):
+    """Copies (a third of the rows), ties, more centres than points."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [round(float(x), 6) for x in rng.random(4)]) for i in range(60)] + [(100 + i, [0.5, -0.25, 0.125, 0.0]) for i in range(30)]
+    frame = spark.createDataFrame([(i, *v) for i, v in rows], "player_id int, g_a17 double, g_a18 double, a_a17 double, a_a18 double").repartition(5)
+    levels = (3, 8, 500)
+    got = clusters.lloyd_assign(frame, clusters.lloyd(frame, levels, 4, rounds)).collect()
+    assert len(got) == len(rows)
+    for k in levels:
+        assert {r.player_id: (r[f"clusters{k}"], r[f"gap{k}"]) for r in got} == brute_lloyd(rows, k, 4, rounds)
+    costs = {r.k: r.cost for r in clusters.ml_elbow(frame, levels, 4, rounds).collect()}
+    assert all(np.isclose(costs[k], sum(r[f"gap{k}"] for r in got) / 1e12) for k in levels)
+
+
+def test_rounds_on_nothing(spark):
+    frame = spark.createDataFrame([], "player_id int, g_a17 double, g_a18 double, a_a17 double, a_a18 double")
+    assert clusters.player_clusters(frame, "F").count() == 0
+    assert {r.cost for r in clusters.ml_elbow(frame, (2, 3)).collect()} == {0.0}
+
+
+def test_clusters_reach_the_frame(data):
+    frame = stored_frame(data, clustered=True)
+    want = {r.player_id: r[1:] for r in data.clusters().select("player_id", *ff.CLUSTER_COLUMNS).collect()}
+    got = {r.player_id: r[1:] for r in frame.select("player_id", *ff.CLUSTER_COLUMNS).collect()}
+    assert got == {i: want.get(i, (0, 0, 0)) for i in got} and len(set(got.values())) > 50
+
+
 def test_doubled_dimension_equals_scaled_dimension(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0), (0.5, 0.1, 0.7, 2.0)], "g_a17 double, g_a18 double, a_a17 double, a_a18 double")
     a, b = [np.array([r.c1, r.c2, r.c3, r.c4]) for r in clusters.cluster_inputs(rows).collect()]
