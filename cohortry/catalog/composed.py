@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from cohortry import standin
 from cohortry.catalog.aggregates import poly_sql
-from cohortry.catalog.learning import TREES, body_models
+from cohortry.catalog.learning import BODY_SQL, TREES, body_models
 from cohortry.catalog.projections import stored_frame
-from cohortry.catalog.registry import R, query, r6, rounded, sql
-from cohortry.plans import body, models, tables
+from cohortry.catalog.registry import R, dot_sql, lsq_sql, query, rounded, sql
+from cohortry.plans import body, features as ff, models, tables
 
 
 @query("season_enrich", sql(["sss"], "select player_id, season, team, league_name, league_id, gp, g, a, p, age, age2, g_gp, a_gp, p_gp from sss"))
@@ -90,12 +92,54 @@ def _(s):
     return rounded(quality, "accuracy", "precision", "recall", "f1")
 
 
-@query("train_eval_regressor")
+def regression_sql(adj: int, target: str, name: str = "fit") -> tuple[str, list[str]]:
+    """Split, scaled rows and the two fits of the linear regressor, categories left out; and its inputs."""
+    dropped = ff.variant_drop_list(adj, 0, "regr")
+    others = [*ff.CATEGORICAL, *ff.ADJUSTED_PARTS, "player_id", *dropped]
+    inputs = [c for c in ff.FEATURE_COLUMNS if c not in others]
+    scaled = [c for c in inputs if c in ff.SCALED_REGR]
+    z = ", ".join(f"({c} - m_{c}) / s_{c} as {c}" if c in scaled else c for c in inputs)
+    return f"""
+      rows_{name} as (select *, row_number() over (order by md5(player_id || ':0')) <= ceil(0.3 * count(*) over ()) as is_test from frame where classifier3 = 1),
+      stats_{name} as (select {", ".join(f"avg({c}) as m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}" for c in scaled)} from rows_{name} where not is_test),
+      z_{name} as (select player_id, is_test, {target} as y, {z} from rows_{name}, stats_{name}),
+      train_{name} as (select * from z_{name} where not is_test), {lsq_sql(f"train_{name}", inputs, "y", name=f"all_{name}")},
+      sel_{name} as (
+        select case when len(list_filter(k, lambda x: x)) = 0 then list_transform(k, lambda x: true) else k end as keep
+        from (select list_transform(answer[2:], lambda x: abs(x) >= {models.COEFFICIENT_MIN}) as k from all_{name}) t),
+      {lsq_sql(f"train_{name}", inputs, "y", masked=f"sel_{name}", name=name)}""", inputs
+
+
+def quality_sql(adj: int, target: str, name: str = "fit") -> tuple[str, str]:
+    parts, inputs = regression_sql(adj, target, name)
+    return parts, f"""
+      select count(*) as n, {R("1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))")} as r2
+      from (select y, {dot_sql(inputs, name)} as p from z_{name}, {name} where is_test) t"""
+
+
+PLAIN_REGRESSION = quality_sql(1, "p_gp")
+
+
+@query("train_eval_regressor", sql(["frame"], f", {PLAIN_REGRESSION[0]} {PLAIN_REGRESSION[1]}"))
 def _(s):
     _model, quality, _p, _weights = models.train_eval_regressor(stored_frame(s, labelled_only=True), encode="drop")
     return rounded(quality, "r2")
 
 
+VARIANTS = [(adj, target) for adj in (1, 0) for target in ff.TARGET_COLUMNS]
+
+
+@query("train_eval_regressor_variants", sql(["frame"], ", " + ", ".join(quality_sql(a, t, f"fit_{a}_{t}")[0] for a, t in VARIANTS) + " union all ".join(
+    f"select {a} as adj, '{t}' as target, n, r2 from ({quality_sql(a, t, f'fit_{a}_{t}')[1]}) q" for a, t in VARIANTS)))
+def _(s):
+    """Every target, from adjusted and from raw rates."""
+    parts = [
+        models.train_eval_regressor(stored_frame(s, labelled_only=True), adj=a, target=t, encode="drop")[1].select(F.lit(a).alias("adj"), F.lit(t).alias("target"), "n", "r2")
+        for a, t in VARIANTS
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), "r2")
+
+
 @query("score_cohort_classifier")
 def _(s):
     model, _quality, _weights = models.train_eval_classifier(stored_frame(s), imb=2, trees=TREES)
@@ -103,14 +147,22 @@ def _(s):
     return rounded(scored, "probability")
 
 
-@query("score_cohort_regressor")
+def scored_sql(adj: int, target: str) -> str:
+    """The cohort with the missing rate filled and the body figures projected, scored by the regressor."""
+    parts, inputs = regression_sql(adj, target)
+    z = [f"(({c} - m_{c}) / s_{c})" if c in ff.SCALED_REGR else "coalesce(adj_p_a17, middle)" if c == "adj_p_a17" else c for c in inputs]
+    return sql(["frame", "cohort", "draft", "hw"], f"""{BODY_SQL}, {parts}
+      select player_id, {R(dot_sql(z))} as {target} from projected, stats_fit, fit, (select median(adj_p_a17) as middle from cohort) t""")
+
+
+@query("score_cohort_regressor", scored_sql(1, "p_gp"))
 def _(s):
     model, *_rest = models.train_eval_regressor(stored_frame(s, labelled_only=True), encode="drop")
     return rounded(models.score_cohort_regressor(stored_frame(s, mode="cohort"), model, *body_models(s)), "p_gp")
 
 
-@query("ml_score_cohort")
+@query("ml_score_cohort", scored_sql(0, "g_gp"))
 def _(s):
-    model, *_rest = models.train_eval_regressor(stored_frame(s), encode="onehot")
-    scored = models.score_cohort_regressor(stored_frame(s, mode="cohort"), model, *body_models(s))
-    return scored.select("player_id", r6("p_gp").alias("p_gp"))
+    """Another target, from the raw rates; as always, trained on labelled rows only."""
+    model, *_rest = models.train_eval_regressor(stored_frame(s, labelled_only=True), adj=0, target="g_gp", encode="drop")
+    return rounded(models.score_cohort_regressor(stored_frame(s, mode="cohort"), model, *body_models(s), name="g_gp"), "g_gp")

@@ -9,7 +9,7 @@ from cohortry import standin
 from cohortry.catalog.aggregates import MOMENTS
 from cohortry.catalog.joins import binary_vectors
 from cohortry.catalog.projections import stored_frame
-from cohortry.catalog.registry import R, lloyd_sql, query, r6, rounded, sql
+from cohortry.catalog.registry import R, dot_sql, lloyd_sql, lsq_sql, query, r6, rounded, sql
 from cohortry.operators import prepare, resample
 from cohortry.operators.metrics import agg_confusion, agg_r2
 from cohortry.plans import body, clusters, features as ff, models
@@ -116,12 +116,19 @@ def _(s):
     return s.spark.createDataFrame([(i, w, w >= models.IMPORTANCE_MIN) for i, w in enumerate(weights)], "feature int, weight double, kept boolean")
 
 
-@query("ml_select_coef")
+NB_SCALED = ", ".join(
+    f"({c} - (select avg({c}) from frame)) / (select stddev_pop({c}) from frame) as {c}" if c in ff.SCALED_CLASS else c
+    for c in ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"])
+
+
+@query("ml_select_coef", sql(["frame"], f"""
+    , z as (select classifier2, {NB_SCALED} from frame), {lsq_sql("z", ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"], "classifier2")}
+    select i as feature, {R('answer[i + 2]')} as weight, abs(answer[i + 2]) >= {models.COEFFICIENT_MIN} as kept
+    from fit, (select cast(unnest(range(0, 7)) as int) as i) t"""))
 def _(s):
-    weights = models.ml_select_coef(as_vectors(class_rows(s)), "label", features="features")
-    return s.spark.createDataFrame(
-        [(i, w, abs(w) >= models.COEFFICIENT_MIN) for i, w in enumerate(weights)], "feature int, weight double, kept boolean"
-    )
+    weights = models.ml_select_coef(as_vectors(class_rows(s)), "label", NB_INPUTS, features="features")
+    rows = [(i, w, abs(w) >= models.COEFFICIENT_MIN) for i, w in enumerate(weights)]
+    return rounded(s.spark.createDataFrame(rows, "feature int, weight double, kept boolean"), "weight")
 
 
 def _predicted(df):
@@ -282,9 +289,24 @@ def _(s):
     return rounded(s.spark.createDataFrame([(float(fitted.coefficients[0]), float(fitted.intercept))], "slope double, intercept double"), "slope", "intercept")
 
 
-@query("ml_ols_pvalues")
+OLS_INPUTS = ["height", "weight", "adj_p_a17", "adj_p_a18"]
+
+
+# The probability of a larger t is a ratio of integrals of a power of the cosine, here by Simpson's rule.
+@query("ml_ols_pvalues", sql(["frame"], f"""
+    , {lsq_sql("frame", OLS_INPUTS, "p_gp", intercept=False)},
+    tested as (
+      select {OLS_INPUTS}[i] as feature, answer[i + 1] as coefficient, freedom, answer[i + 1] / sqrt(rest / freedom * m[i + 1][{len(OLS_INPUTS) + 2} + i + 1]) as t_value
+      from fit, (select unnest(range(1, {len(OLS_INPUTS) + 1})) as i) k),
+    angles as (select *, atan(abs(t_value) / sqrt(freedom)) as angle from tested),
+    areas as (
+      select feature, sum(w * pow(cos(angle * k / 20000), freedom - 1)) * angle / sum(w * pow(cos(pi() / 2 * k / 20000), freedom - 1)) / (pi() / 2) as area
+      from angles, (select k, case when k = 0 or k = 20000 then 1 when k % 2 = 1 then 4 else 2 end as w from range(0, 20001) r(k)) r
+      group by feature, angle)
+    select feature, {R('coefficient')} as coefficient, {R('t_value', 5)} as t_value, {R('1 - area')} as p_value from tested join areas using (feature)"""))
 def _(s):
-    return rounded(models.ml_ols_pvalues(stored_frame(s), ["height", "weight", "adj_p_a17", "adj_p_a18"], "p_gp"), "coefficient", "p_value")
+    fitted = rounded(models.ml_ols_pvalues(stored_frame(s), OLS_INPUTS, "p_gp"), "coefficient", "p_value")
+    return fitted.withColumn("t_value", F.round("t_value", 5))
 
 
 def body_models(s):
@@ -292,7 +314,22 @@ def body_models(s):
     return [body.fit_body(training, var)[0] for var in ("height", "weight")]
 
 
-@query("ml_project_body")
+BODY_SQL = f"""
+    , body0 as (
+      select d.player_id, case when length(dob) > 4 then {R("cast(date_diff('day', try_cast(dob as date), cast(d.year || '-09-15' as date)) as double) / 365.25", 2)} end as age0,
+        h.height as height0, h.weight as weight0, b.height as height1, b.weight as weight1, case when pos2 = 'D' then 1 else 0 end as pos_flag,
+        md5(d.player_id || ':0') as text
+      from draft d join bios b on b.player_id = d.player_id join hw h on h.year = d.year and h.ov = d.ov
+      where d.year between {body.YEARS[0]} and {body.YEARS[1]}),
+    body_cut as (select text as last from (select text, row_number() over (order by text) as r, count(*) over () as n from body0) t where r = ceil(0.3 * n)),
+    body_train as (select * from body0, body_cut where text > last), {lsq_sql("body_train", body.INPUTS, "height1", name="tall")}, {lsq_sql("body_train", body.INPUTS, "weight1", name="heavy")},
+    projected as (
+      select c.* replace ({dot_sql(["age1", "c.height", "c.weight", "(case when pos = 'D' then 1 else 0 end)"], "tall")} as height,
+        {dot_sql(["age1", "c.height", "c.weight", "(case when pos = 'D' then 1 else 0 end)"], "heavy")} as weight)
+      from cohort c, tall, heavy where age1 is not null)"""
+
+
+@query("ml_project_body", sql(["cohort", "draft", "hw"], f"{BODY_SQL} select player_id, {R('height')} as height, {R('weight')} as weight from projected"))
 def _(s):
     projected = body.ml_project_body(stored_frame(s, mode="cohort"), *body_models(s))
     return rounded(projected.select("player_id", "height", "weight"), "height", "weight")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortry import standin
+from cohortry.operators import leastsq
 from cohortry.plans import clusters
 from cohortry.standin import StandIn
 
@@ -84,6 +85,39 @@ def lloyd_sql(levels, seed: int, rounds: int = clusters.ROUNDS) -> str:
     return f"with {','.join(steps)} select player_id, level, centre, gap from n{rounds}"
 
 
+def lsq_sql(source: str, inputs: list[str], target: str, intercept: bool = True, masked: str = "", name: str = "fit") -> str:
+    """Relations that end in ``name (answer, used, m, freedom, rest)``: normal equations of ``source``, eliminated input after input.
+
+    ``answer`` is a list, the intercept first (0 without).  ``masked``: a relation with a list ``keep`` of the inputs in use.
+    """
+    k, u = len(inputs) + 1, f"u_{name}"
+    entry = "case when {0} then cast({1} as double) else 0 end" if masked else "cast({1} as double)"
+    listed = ", ".join(entry.format(f"keep[{i}]", x) for i, x in enumerate(inputs, 1))
+    rows = ", ".join("[" + ", ".join(f"sum(u[{i}] * u[{j}])" for j in range(1, k + 2)) + f", {', '.join('1.0' if i == j else '0.0' for j in range(1, k + 1))}]" for i in range(1, k + 1))
+    steps = [f"""
+      {u} as (select [{"1.0" if intercept else "0.0"}, {listed}, cast({target} as double)]::double[] as u from {source}{", " + masked if masked else ""}
+        where {" and ".join(f"{c} is not null" for c in [*inputs, target])}),
+      {name}0 as materialized (select [{rows}]::double[][] as m, []::boolean[] as used, [{", ".join(f"sum(u[{i}] * u[{i}])" for i in range(1, k + 2))}] as squares, count(*) as n from {u})"""]
+    for i in range(1, k + 1):
+        steps.append(f"""
+      {name}{i} as materialized (
+        select case when m[{i}][{i}] > {leastsq.TOLERANCE} * squares[{i}] then list_transform(m, lambda row, spot: case when spot = {i}
+            then list_transform(row, lambda x: x / m[{i}][{i}])
+            else list_transform(row, lambda x, j: x - row[{i}] * m[{i}][j] / m[{i}][{i}]) end) else m end as m,
+          list_append(used, m[{i}][{i}] > {leastsq.TOLERANCE} * squares[{i}]) as used, squares, n from {name}{i - 1})""")
+    steps.append(f"""
+      {name} as materialized (
+        select list_transform(m, lambda row, spot: case when used[spot] then row[{k + 1}] else 0 end) as answer, used, m,
+          n - list_sum(list_transform(used, lambda x: cast(x as int))) as freedom,
+          squares[{k + 1}] - list_sum(list_transform(range(1, {k + 1}), lambda spot: case when used[spot] then m[spot][{k + 1}] * f.m0[spot][{k + 1}] else 0 end)) as rest
+        from {name}{k}, (select m as m0 from {name}0) f)""")
+    return ",".join(steps)
+
+
+def dot_sql(inputs: list[str], fit: str = "fit") -> str:
+    return " + ".join([f"{fit}.answer[1]", *(f"{fit}.answer[{i}] * {x}" for i, x in enumerate(inputs, 2))])
+
+
 # Shared relations in dependency order; each query names the ones it starts from.
 PARTS: dict[str, tuple[list[str], str]] = {
     "bios": ([], """

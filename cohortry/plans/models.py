@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.ml import PipelineModel, classification as mc, regression as mr
 from pyspark.ml import feature as mf
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from cohortry.operators.leastsq import LeastSquares
 from cohortry.operators.metrics import agg_confusion, agg_r2
 from cohortry.operators.prepare import OneHot, Standardiser, ml_folds, ml_impute_median, ml_split
 from cohortry.operators.resample import ml_nearmiss, oversample
@@ -140,39 +140,16 @@ def ml_select_importance(train: DataFrame, label: str, trees: int = BOOST_TREES,
     return [float(v) for v in fitted.featureImportances.toArray()]
 
 
-def ml_select_coef(train: DataFrame, label: str, features: str = "all_features") -> list[float]:
-    """Coefficient of every input in a linear fit."""
-    fitted = mr.LinearRegression(featuresCol=features, labelCol=label, regParam=0.0).fit(train)
-    return [float(v) for v in fitted.coefficients.toArray()]
-
-
-def independent(train: DataFrame, inputs: Sequence[str], tolerance: float = 1e-9) -> list[str]:
-    """The inputs that are no linear combination of those before them.
-
-    One aggregate sums the products of all pairs of inputs; elimination on that small matrix finds the dependent ones.
-    """
-    known = train.dropna(subset=list(inputs))
-    sums = known.agg(*[F.sum(F.col(a).cast("double") * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(inputs) for j, b in enumerate(inputs) if j <= i]).first()
-    gram = np.array([[sums[f"{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(len(inputs))] for i in range(len(inputs))])
-    scale = np.sqrt(np.diag(gram).clip(1e-300))
-    gram, kept = gram / np.outer(scale, scale), []
-    for i in range(len(inputs)):
-        if gram[i, i] > tolerance:
-            kept.append(inputs[i])
-            gram = gram - np.outer(gram[:, i], gram[i]) / gram[i, i]
-    return kept
+def ml_select_coef(train: DataFrame, label: str, names: Sequence[str], features: str = "all_features") -> list[float]:
+    """Coefficient of every input in a linear fit; 0 for inputs that depend on earlier ones."""
+    fitted = LeastSquares.fit(train, names, vector_to_array(features), F.col(label))
+    return [c or 0.0 for c in fitted.coefficients]
 
 
 def ml_ols_pvalues(train: DataFrame, inputs: Sequence[str], target: str) -> DataFrame:
-    """Coefficients and p-values of a least-squares fit without intercept; NULL for inputs that depend on earlier ones."""
-    used = independent(train, inputs)
-    schema = "feature string, coefficient double, p_value double"
-    if not used:
-        return train.sparkSession.createDataFrame([(n, None, None) for n in inputs], schema)
-    rows = VectorAssembler(inputCols=used, outputCol="_x", handleInvalid="skip").transform(train)
-    fitted = mr.LinearRegression(featuresCol="_x", labelCol=target, fitIntercept=False, solver="normal", regParam=0.0).fit(rows)
-    found = {n: (float(c), float(p)) for n, c, p in zip(used, fitted.coefficients, fitted.summary.pValues)}
-    return train.sparkSession.createDataFrame([(n, *found.get(n, (None, None))) for n in inputs], schema)
+    """Coefficients, t and p-values of a least-squares fit without intercept; NULL for inputs that depend on earlier ones."""
+    fitted = LeastSquares.fit(train, inputs, F.array(*[F.col(c).cast("double") for c in inputs]), F.col(target), intercept=False)
+    return fitted.frame(train.sparkSession)
 
 
 def rebalance(rows: DataFrame, imb: int, seed: int = 0) -> DataFrame:
@@ -263,19 +240,18 @@ def train_eval_regressor(
 ) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
     """Split, scale, encode, select, fit and test a linear regressor.
 
-    Returns the model, its r2 on the held-out part, p-values of the numeric inputs and
-    the selected inputs with their coefficients.
+    Returns the model, its r2 on the held-out part, t and p-values of the selected inputs in a fit without
+    intercept, and the selected inputs with their coefficients.
     """
     split = stage(ml_split(features, "player_id", frac, seed), "split")
     train, test = split.where("not is_test"), split.where("is_test")
     drop = ff.variant_drop_list(adj, clusters, "regr")
     prep = Preparation.fit(train, [test], ff.SCALED_REGR, drop, clusters, encode)
     encoded = prep.model().transform(train)
-    numeric = [n for n in prep.names if "=" not in n]
-    columns = [f"z_{n}" if n in ff.SCALED_REGR else n for n in numeric]
-    pvalues = ml_ols_pvalues(encoded, columns, target)
-    prep.select(ml_select_coef(encoded, target), threshold)
-    rows = prep.model().transform(train)
+    prep.select(ml_select_coef(encoded, target, prep.names), threshold)
+    rows = stage(prep.model().transform(train).select("features", target), "selected")
+    plain = LeastSquares.fit(rows, prep.names, vector_to_array("features"), F.col(target), intercept=False)
+    pvalues = plain.frame(features.sparkSession)
     linear = mr.LinearRegression(featuresCol="features", labelCol=target, predictionCol="prediction", regParam=0.0).fit(rows)
     model = prep.model(linear)
     quality = agg_r2(model.transform(test), target, "prediction")

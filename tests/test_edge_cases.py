@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.catalog import QUERIES
-from cohortry.operators import ordering, pairs, prepare
+from cohortry.operators import leastsq, ordering, pairs, prepare
 from cohortry.plans import features, models, tables
 from cohortry.sources import html_tables, json_pages
 
@@ -100,3 +100,27 @@ def test_roster_members_without_awards_have_zeros(spark, small):
     roster = {r.player_id for r in QUERIES["award_roster"](spark, small).collect()}
     assert roster and all((r.hart is None) == (p not in roster) for p, r in rows.items())
     assert tables.AWARD_TYPES
+
+
+def test_least_squares_against_elimination_by_hand(spark):
+    """Copies of inputs, indicator columns that add up to one, unknown numbers, and known tail probabilities."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(10, 3, (400, 3))
+    kind = rng.integers(0, 3, 400)
+    y = 2 + x @ [1.0, -2.0, 0.0] + kind * 0.5 + rng.normal(0, 0.3, 400)
+    names = ["a", "b", "c", "a again", "kind 0", "kind 1", "kind 2"]
+    design = np.column_stack([x, x[:, 0] * 2 - 1, kind == 0, kind == 1, kind == 2]).astype(float)
+    rows = [([float(v) for v in u], float(t)) for u, t in zip(design, y)] + [([None] + [1.0] * 6, 3.0), ([1.0] * 7, None), ([float("nan")] * 7, 1.0)]
+    frame = spark.createDataFrame(rows, "x array<double>, y double").repartition(6)
+    fit = leastsq.LeastSquares.fit(frame, names, F.col("x"), F.col("y"))
+    used = [0, 1, 2, 4, 5]
+    assert [c is not None for c in fit.coefficients] == [i in used for i in range(7)]
+    m = np.column_stack([np.ones(400), design[:, used]])
+    want = np.linalg.solve(m.T @ m, m.T @ y)
+    rest = ((y - m @ want) ** 2).sum() / (400 - 6)
+    errors = np.sqrt(rest * np.diag(np.linalg.inv(m.T @ m)))
+    assert np.allclose([fit.intercept, *(fit.coefficients[i] for i in used)], want, atol=1e-7)
+    assert np.allclose([fit.t_values[i] for i in used], (want / errors)[1:], rtol=1e-5)
+    assert leastsq.LeastSquares.fit(frame.limit(0), names, F.col("x"), F.col("y")).coefficients == (None,) * 7
+    for t, freedom, p in ((2.0, 10, 0.07338803477074), (0.0, 5, 1.0), (12.706204736, 1, 0.05), (-1.0, 1, 0.5), (2.228138852, 10, 0.05), (1.96, 1e6, 0.0499958)):
+        assert leastsq.two_sided(t, freedom) == pytest.approx(p, rel=2e-4)

@@ -126,7 +126,20 @@ def test_regressor(data):
     frame = stored_frame(data, labelled_only=True)
     _model, quality, pvalues, _weights = models.train_eval_regressor(frame, encode="drop")
     assert quality.first().r2 <= 1.0
-    assert all(0 <= r.p_value <= 1 for r in pvalues.collect())
+    tested = pvalues.collect()
+    assert tested and all(0 <= r.p_value <= 1 for r in tested)
+    # With indicator columns, the tests are of the selected inputs, some of which depend on others without an intercept.
+    _model, quality, pvalues, weights = models.train_eval_regressor(stored_frame(data), target="g_gp", clusters=1)
+    assert [r.feature for r in pvalues.collect()] == [r.feature for r in weights.collect()] and quality.first().n > 50
+    assert {r.feature.split("=")[0] for r in pvalues.collect()} >= {"league_id17", "country"}
+
+
+def test_regressor_uses_clusters(data):
+    frame = stored_frame(data, clustered=True)
+    for level, name in zip((1, 2, 3), ff.CLUSTER_COLUMNS):
+        _model, _quality, _p, weights = models.train_eval_regressor(frame, clusters=level)
+        used = {r.feature.split("=")[0] for r in weights.collect()}
+        assert name in used and not used & {c for c in ff.CLUSTER_COLUMNS if c != name}
 
 
 def test_draft_twice_keeps_or_drops_copies(spark, data):
