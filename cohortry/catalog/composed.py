@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortry import standin
 from cohortry.catalog.aggregates import poly_sql
-from cohortry.catalog.learning import BODY_SQL, TREES, body_models
+from cohortry.catalog.learning import BODY_SQL, NB_INPUTS, TREES, body_models, folds_sql
 from cohortry.catalog.projections import stored_frame
-from cohortry.catalog.registry import R, dot_sql, lsq_sql, query, rounded, sql
+from cohortry.catalog.registry import CONFUSION, R, dot_sql, gauss_sql, lsq_sql, query, rounded, sql
 from cohortry.plans import body, features as ff, models, tables
 
 
@@ -86,12 +86,48 @@ def _(s):
     return s.clusters()
 
 
-@query("train_eval_classifier")
+def classification_sql(label: str = "classifier2") -> str:
+    """Stratified split, scaled inputs, those selected by a linear fit, and the training rows as ``c_train``."""
+    m, sd = ", ".join(f"avg({c}) as m_{c}" for c in NB_INPUTS), ", ".join(f"coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}" for c in NB_INPUTS)
+    return f"""
+      c_split as (select *, row_number() over (partition by {label} order by md5(player_id || ':0')) <= ceil(0.3 * count(*) over (partition by {label})) as is_test from frame),
+      c_stats as (select {m}, {sd} from c_split where not is_test),
+      c_scaled as (select player_id as id, {label} as label, is_test, {", ".join(f"({c} - m_{c}) / s_{c} as {c}" for c in NB_INPUTS)} from c_split, c_stats),
+      c_fit as (select * from c_scaled where not is_test), {lsq_sql("c_fit", NB_INPUTS, "label", name="chosen")},
+      c_keep as (
+        select case when len(list_filter(k, lambda x: x)) = 0 then list_transform(k, lambda x: true) else k end as keep
+        from (select list_transform(answer[2:], lambda x: abs(x) >= {models.IMPORTANCE_MIN}) as k from chosen) t),
+      c_rows as (select id, label, is_test, [{", ".join(NB_INPUTS)}]::double[] as u, case when is_test then -1 else -2 end as fold from c_scaled),
+      c_train as (select * from c_rows where not is_test)"""
+
+
+@query("train_eval_classifier", sql(["frame"], f"""
+    , {classification_sql()}, {folds_sql("c_train")}, held as (select distinct fold as f from folded), tested as (select -1 as f),
+    by_fold as (with {gauss_sql("folded", "held", "c_keep")} select * from voted),
+    on_test as (with {gauss_sql("c_rows", "tested", "c_keep")} select * from voted),
+    parts as (select 'fold' || fold as part, label, probability from by_fold union all select 'test', label, probability from on_test),
+    {CONFUSION.strip()}"""))
+def _(s):
+    _model, quality, _weights = models.train_eval_classifier(stored_frame(s), imb=0, encode="drop", voters="gaussian")
+    return rounded(quality, "accuracy", "precision", "recall", "f1")
+
+
+@query("train_eval_classifier_boosted")
 def _(s):
     _model, quality, _weights = models.train_eval_classifier(stored_frame(s), imb=1, trees=TREES)
     return rounded(quality, "accuracy", "precision", "recall", "f1")
 
 
+@query("train_eval_classifier_variants")
+def _(s):
+    """Every label, and every level of clusters as an input."""
+    parts = []
+    for label, level, adj in ((1, 0, 1), (3, 0, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1), (2, 0, 0)):
+        _model, quality, _weights = models.train_eval_classifier(stored_frame(s, clustered=True), adj=adj, clusters=level, label=label, imb=0, voters="gaussian")
+        parts.append(quality.select(F.lit(label).alias("label"), F.lit(level).alias("clusters"), F.lit(adj).alias("adj"), "*"))
+    return rounded(reduce(DataFrame.unionByName, parts), "accuracy", "precision", "recall", "f1")
+
+
 def regression_sql(adj: int, target: str, name: str = "fit") -> tuple[str, list[str]]:
     """Split, scaled rows and the two fits of the linear regressor, categories left out; and its inputs."""
     dropped = ff.variant_drop_list(adj, 0, "regr")
@@ -140,7 +176,22 @@ def _(s):
     return rounded(reduce(DataFrame.unionByName, parts), "r2")
 
 
-@query("score_cohort_classifier")
+READY = {c: "coalesce(adj_p_a17, middle)" if c == "adj_p_a17" else c for c in NB_INPUTS}
+
+
+@query("score_cohort_classifier", sql(["frame", "cohort", "draft", "hw"], f"""{BODY_SQL}, {classification_sql()}, tested as (select -1 as f),
+    c_cohort as (
+      select player_id as id, cast(null as int) as label, -1 as fold, [{", ".join(f"({x} - m_{c}) / s_{c}" for c, x in READY.items())}]::double[] as u
+      from projected, c_stats, (select median(adj_p_a17) as middle from cohort) t),
+    c_both as (select id, label, fold, u from c_train union all select id, label, fold, u from c_cohort), {gauss_sql("c_both", "tested", "c_keep")}
+    select id as player_id, cast(probability > 0.5 as int) as prediction, {R("probability")} as probability from voted"""))
+def _(s):
+    model, _quality, _weights = models.train_eval_classifier(stored_frame(s), imb=0, encode="drop", voters="gaussian")
+    scored = models.score_cohort_classifier(stored_frame(s, mode="cohort"), model, *body_models(s))
+    return rounded(scored, "probability")
+
+
+@query("score_cohort_classifier_boosted")
 def _(s):
     model, _quality, _weights = models.train_eval_classifier(stored_frame(s), imb=2, trees=TREES)
     scored = models.score_cohort_classifier(stored_frame(s, mode="cohort"), model, *body_models(s))

@@ -9,7 +9,7 @@ from cohortry import standin
 from cohortry.catalog.aggregates import MOMENTS
 from cohortry.catalog.joins import binary_vectors
 from cohortry.catalog.projections import stored_frame
-from cohortry.catalog.registry import R, dot_sql, lloyd_sql, lsq_sql, query, r6, rounded, sql
+from cohortry.catalog.registry import CONFUSION, R, dot_sql, gauss_sql, lloyd_sql, lsq_sql, query, r6, rounded, sql
 from cohortry.operators import prepare, resample
 from cohortry.operators.metrics import agg_confusion, agg_r2
 from cohortry.plans import body, clusters, features as ff, models
@@ -116,13 +116,12 @@ def _(s):
     return s.spark.createDataFrame([(i, w, w >= models.IMPORTANCE_MIN) for i, w in enumerate(weights)], "feature int, weight double, kept boolean")
 
 
-NB_SCALED = ", ".join(
-    f"({c} - (select avg({c}) from frame)) / (select stddev_pop({c}) from frame) as {c}" if c in ff.SCALED_CLASS else c
-    for c in ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"])
+NB_INPUTS = ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"]
+NB_SCALED = ", ".join(f"({c} - (select avg({c}) from frame)) / (select stddev_pop({c}) from frame) as {c}" for c in NB_INPUTS)
 
 
 @query("ml_select_coef", sql(["frame"], f"""
-    , z as (select classifier2, {NB_SCALED} from frame), {lsq_sql("z", ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"], "classifier2")}
+    , z as (select classifier2, {NB_SCALED} from frame), {lsq_sql("z", NB_INPUTS, "classifier2")}
     select i as feature, {R('answer[i + 2]')} as weight, abs(answer[i + 2]) >= {models.COEFFICIENT_MIN} as kept
     from fit, (select cast(unnest(range(0, 7)) as int) as i) t"""))
 def _(s):
@@ -141,9 +140,6 @@ def _(s):
     return _predicted(models.booster(TREES).fit(rows).transform(rows))
 
 
-NB_INPUTS = ["height", "weight", "age", "adj_p_a17", "adj_p_a18", "wjc_18", "wjc_20"]
-
-
 @query("ml_gaussian_nb", sql(["frame"], f"""
     , long as ({' union all '.join(f"select player_id as id, classifier2 as label, '{c}' as name, cast({c} as double) as v from frame" for c in NB_INPUTS)}),
     shape as (select label as c, name, avg(v) as m, var_pop(v) as s from long group by label, name),
@@ -176,7 +172,18 @@ def _vote(s):
     return models.SoftVote.fit(rows, {"boosted": models.booster(TREES), "gaussian": models.CLASSIFIERS["gaussian"]()}), rows
 
 
-@query("ml_soft_vote")
+NB_ROWS = f"nb_rows as (select player_id as id, classifier2 as label, [{', '.join(NB_INPUTS)}]::double[] as u, -1 as fold from (select player_id, classifier2, {NB_SCALED} from frame) t)"
+
+
+@query("ml_soft_vote", sql(["frame"], f"""
+    , {NB_ROWS}, everyone as (select -2 as f),
+    {gauss_sql("nb_rows", "everyone").replace("s.f = e.fold", "s.f = -2")}
+    select id, cast(probability > 0.5 as int) as prediction, {R('probability')} as probability from voted"""))
+def _(s):
+    return rounded(models.gaussian_vote(class_rows(s), len(NB_INPUTS)).select("id", "prediction", "probability"), "probability")
+
+
+@query("ml_soft_vote_boosted")
 def _(s):
     vote, rows = _vote(s)
     return vote.transform(rows).select("id", "prediction", r6("probability").alias("probability"))
@@ -247,7 +254,23 @@ def _(s):
     return resample.ml_nearmiss(binary_vectors(s), "label").select("id", "label")
 
 
-@query("ml_cv")
+def folds_sql(rows: str, label: str = "label", key: str = "id") -> str:
+    """``folded``: the rows with a stratified fold each."""
+    return f"""
+      line as (select {label} as y, row_number() over (order by {label}) - 1 as spot from {rows}),
+      slots as (select y, cast(spot % 3 as int) as place, row_number() over (partition by y order by spot % 3, spot) as r from line),
+      ordered as (select *, row_number() over (partition by {label} order by md5({key} || ':0')) as r from {rows}),
+      folded as (select o.* exclude (r, fold), place as fold from ordered o join slots s on s.y = o.{label} and s.r = o.r)"""
+
+
+@query("ml_cv", sql(["frame"], f"""
+    , {NB_ROWS}, {folds_sql("nb_rows")}, held as (select distinct fold as f from folded), {gauss_sql("folded", "held")},
+    parts as (select 'fold' || fold as part, label, probability from voted), {CONFUSION.strip()}"""))
+def _(s):
+    return rounded(models.ml_cv(class_rows(s), imb=0, voters="gaussian", width=len(NB_INPUTS)), "accuracy", "precision", "recall", "f1")
+
+
+@query("ml_cv_boosted")
 def _(s):
     return rounded(models.ml_cv(class_rows(s), imb=2, trees=TREES), "accuracy", "precision", "recall", "f1")
 

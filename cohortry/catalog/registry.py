@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortry import standin
 from cohortry.operators import leastsq
-from cohortry.plans import clusters
+from cohortry.plans import clusters, models
 from cohortry.standin import StandIn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,39 @@ def dot_sql(inputs: list[str], fit: str = "fit") -> str:
     return " + ".join([f"{fit}.answer[1]", *(f"{fit}.answer[{i}] * {x}" for i, x in enumerate(inputs, 2))])
 
 
+def gauss_sql(rows: str, folds: str, keep: str = "") -> str:
+    """``fold, id, label, probability``: the vote of two Gaussian classifiers on inputs dealt in turn.
+
+    ``rows (id, label, u, fold)``; ``folds (f)``: each row of fold f is judged by the models of the rows of other folds.
+    ``keep``: a relation with a list of the inputs in use.
+    """
+    used = f"(select i, cast(row_number() over (order by i) - 1 as int) % 2 as part from {keep}, (select unnest(range(1, 1000)) as i) t where i <= len(keep) and keep[i])" if keep else (
+        f"(select i, cast((i - 1) % 2 as int) as part from (select unnest(range(1, 1000)) as i) t where i <= (select max(len(u)) from {rows}))")
+    return f"""
+      entries as (select id, label, fold, k.i, part, u[k.i] as x from {rows}, {used} k),
+      least_spread as (
+        select f, part, {models.VARIANCE_SHARE} * max(v) as e from (select f, part, i, var_pop(x) as v from entries, {folds} where fold <> f group by f, part, i) t group by f, part),
+      shape as (select s.*, v + e as spread from (
+        select f, part, label as c, i, avg(x) as m, var_pop(x) as v from entries, {folds} where fold <> f group by f, part, label, i) s
+        join least_spread l on l.f = s.f and l.part = s.part),
+      prior as (select f, label as c, ln(count(*) / sum(count(*)) over (partition by f)) as lp from {rows}, {folds} where fold <> f group by f, label),
+      score as (
+        select e.id, e.label, e.fold, e.part, s.c, any_value(lp) + sum(-0.5 * ln(2 * pi() * spread) - (x - m) * (x - m) / (2 * spread)) as score
+        from entries e join shape s on s.f = e.fold and s.part = e.part and s.i = e.i join prior p on p.f = s.f and p.c = s.c group by all),
+      chance as (
+        select id, label, fold, part, 1 / (1 + exp(least(max(score) filter (c = 0) - max(score) filter (c = 1), 700))) as p from score group by id, label, fold, part),
+      voted as (select id, label, fold, avg(p) as probability from chance group by id, label, fold)"""
+
+
+CONFUSION = f"""
+    counted as (select *, count(*) filter (label = 1 and hit) as tp, count(*) filter (label = 0 and hit) as fp,
+        count(*) filter (label = 1 and not hit) as fn, count(*) filter (label = 0 and not hit) as tn
+      from (select part, label, probability > 0.5 as hit from parts) t group by all),
+    summed as (select part, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, cast(sum(tn) as bigint) as tn from counted group by part)
+    select part, tp, fp, fn, tn, {R('coalesce((tp + tn) / nullif(tp + fp + fn + tn, 0), 0)')} as accuracy, {R('coalesce(tp / nullif(tp + fp, 0), 0)')} as precision,
+      {R('coalesce(tp / nullif(tp + fn, 0), 0)')} as recall, {R('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} as f1 from summed"""
+
+
 # Shared relations in dependency order; each query names the ones it starts from.
 PARTS: dict[str, tuple[list[str], str]] = {
     "bios": ([], """

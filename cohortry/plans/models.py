@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.ml import PipelineModel, classification as mc, regression as mr
 from pyspark.ml import feature as mf
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry.operators.leastsq import LeastSquares
 from cohortry.operators.metrics import agg_confusion, agg_r2
@@ -25,6 +26,8 @@ BOOST_DEPTH = 3
 BOOST_RATE = 0.1
 IMPORTANCE_MIN = 0.01
 COEFFICIENT_MIN = 1e-5
+# Share of the largest variance that is added to each, as the library's Gaussian classifier has it.
+VARIANCE_SHARE = 1e-9
 FOLDS = 3
 
 
@@ -58,31 +61,41 @@ SCALERS = {
 }
 
 
+def dealt_parts(width: int, members: int = 2) -> list[list[int]]:
+    """Inputs dealt out to members in turn; a member without any gets them all."""
+    return [list(range(m, width, members)) or list(range(width)) for m in range(members)]
+
+
 class SoftVote:
-    """Mean of the class probabilities of several fitted classifiers."""
+    """Mean of the class probabilities of several fitted classifiers, each on all inputs or on its own."""
 
-    def __init__(self, members: Sequence):
-        self.members = list(members)
+    def __init__(self, members: Sequence, slicers: Sequence[VectorSlicer] = ()):
+        self.members, self.slicers = list(members), list(slicers)
 
     @classmethod
-    def fit(cls, train: DataFrame, estimators: dict) -> "SoftVote":
-        """``train`` holds ``features`` and ``label``."""
-        fitted = []
-        for name, estimator in estimators.items():
-            estimator = estimator.setFeaturesCol("features").setLabelCol("label").setPredictionCol(f"_pred_{name}")
+    def fit(cls, train: DataFrame, estimators: dict, parts: Sequence[Sequence[int]] | None = None) -> "SoftVote":
+        """``train`` holds ``features`` and ``label``; ``parts`` are the inputs of each estimator."""
+        fitted, slicers = [], []
+        for k, (name, estimator) in enumerate(estimators.items()):
+            features = "features"
+            if parts is not None:
+                features = f"_part_{name}"
+                slicers.append(VectorSlicer(inputCol="features", outputCol=features, indices=list(parts[k])))
+            rows = slicers[-1].transform(train) if parts is not None else train
+            estimator = estimator.setFeaturesCol(features).setLabelCol("label").setPredictionCol(f"_pred_{name}")
             estimator = estimator.setProbabilityCol(f"_prob_{name}").setRawPredictionCol(f"_raw_{name}")
-            fitted.append(estimator.fit(train))
-        return cls(fitted)
+            fitted.append(estimator.fit(rows))
+        return cls(fitted, slicers)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
-        for member in self.members:
-            out = member.transform(out)
+        for step in [*self.slicers, *self.members]:
+            out = step.transform(out)
         shares = [vector_to_array(m.getProbabilityCol())[1] for m in self.members]
         mean = reduce(lambda a, b: a + b, shares) / float(len(shares))
         out = out.withColumn("probability", mean).withColumn("prediction", (mean > 0.5).cast("int"))
         scratch = [c for m in self.members for c in (m.getPredictionCol(), m.getProbabilityCol(), m.getRawPredictionCol())]
-        return out.drop(*scratch)
+        return out.drop(*scratch, *[x.getOutputCol() for x in self.slicers])
 
 
 def scale_stage(scaler: Standardiser) -> SQLTransformer:
@@ -152,6 +165,57 @@ def ml_ols_pvalues(train: DataFrame, inputs: Sequence[str], target: str) -> Data
     return fitted.frame(train.sparkSession)
 
 
+def gaussian_vote(rows: DataFrame, width: int, fold: str | None = None) -> DataFrame:
+    """``id, label, prediction, probability`` (and the fold) by a vote of two Gaussian classifiers on different inputs.
+
+    With ``fold``, each row is judged by the models of the rows outside its fold, all folds in one pass: the sums of a
+    fold are taken off the sums of all.  ``rows``: ``id, vec, label`` (0 or 1) and the fold.  To the driver go sums per
+    fold, class and input.  A class that a training part lacks has no probability.
+    """
+    by = [fold] if fold else []
+    entry = lambda i: F.col("vec")[i].cast("double")
+    sums = rows.groupBy(*by, F.col("label").cast("int").alias("label")).agg(
+        F.count("*").alias("n"),
+        F.array(*[F.sum(entry(i)) for i in range(width)]).alias("s"),
+        F.array(*[F.sum(entry(i) * entry(i)) for i in range(width)]).alias("q"),
+    ).collect()
+    figures = []
+    for held in sorted({r[fold] for r in sums}) if fold else [None]:
+        mine = [r for r in sums if not fold or r[fold] != held]
+        of = {c: [[sum(x) for x in zip(*((r.n, *r.s, *r.q) for r in mine if r.label == c))]] for c in (0, 1)}
+        total = sum(r.n for r in mine)
+        for part in dealt_parts(width):
+            whole = [[sum(getattr(r, a)[i] for r in mine) for i in part] for a in ("s", "q")] if mine else [[], []]
+            floor = VARIANCE_SHARE * max((q / total - (x / total) ** 2 for x, q in zip(*whole)), default=0.0)
+            shapes = []
+            for c in (0, 1):
+                n, *rest = of[c][0] or [0] * (2 * width + 1)
+                means = [rest[i] / n for i in part] if n else [0.0] * len(part)
+                spreads = [max(0.0, rest[width + i] / n - m * m) + floor for i, m in zip(part, means)] if n else [1.0] * len(part)
+                start = math.log(n / total) - 0.5 * sum(math.log(2 * math.pi * max(v, 1e-300)) for v in spreads) if n else None
+                shapes.append((start, [[float(i), m, max(v, 1e-300)] for i, m, v in zip(part, means, spreads)]))
+            figures.append((held, shapes))
+    spark = rows.sparkSession
+    kinds = f"{fold + ' int, ' if fold else ''}start0 double, shape0 array<array<double>>, start1 double, shape1 array<array<double>>"
+    table = [(*([held] if fold else []), zero[0], zero[1], one[0], one[1]) for held, (zero, one) in figures]
+    # Two rows per fold, gathered into one array of members.
+    members = spark.createDataFrame(table, kinds).groupBy(*by).agg(F.collect_list(F.struct("start0", "shape0", "start1", "shape1")).alias("members"))
+
+    def score(m: Column, c: int) -> Column:
+        def far(acc: Column, s: Column) -> Column:
+            gap = F.get(F.col("vec"), s[0].cast("int")).cast("double") - s[1]
+            return acc - gap * gap / (2 * s[2])
+
+        return F.aggregate(m[f"shape{c}"], m[f"start{c}"], far)
+
+    members = stage(members, "members")
+    judged = rows.join(members, fold) if fold else rows.withColumn("members", members.select("members").scalar())
+    chance = F.transform("members", lambda m: 1 / (1 + F.exp(F.least(score(m, 0) - score(m, 1), F.lit(700.0)))))
+    mean = F.aggregate(chance, F.lit(0.0), lambda a, x: a + x) / F.size(chance)
+    judged = judged.withColumn("probability", mean).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    return judged.select(*by, "id", "label", "prediction", "probability")
+
+
 def rebalance(rows: DataFrame, imb: int, seed: int = 0) -> DataFrame:
     """``vec, label`` after oversampling (1), undersampling (2) or nothing (0)."""
     if imb == 1:
@@ -161,9 +225,11 @@ def rebalance(rows: DataFrame, imb: int, seed: int = 0) -> DataFrame:
     return rows.select("vec", "label")
 
 
-def _vote_fit(rows: DataFrame, imb: int, trees: int, seed: int) -> SoftVote:
+def _vote_fit(rows: DataFrame, imb: int, trees: int, seed: int, voters: str = "boosted", width: int = 0) -> SoftVote:
     balanced = rebalance(rows, imb, seed).select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"))
     balanced = stage(balanced, "balanced")
+    if voters == "gaussian":
+        return SoftVote.fit(balanced, {"first": CLASSIFIERS["gaussian"](), "second": CLASSIFIERS["gaussian"]()}, dealt_parts(width))
     return SoftVote.fit(balanced, {"boosted": booster(trees, seed), "gaussian": CLASSIFIERS["gaussian"]()})
 
 
@@ -173,15 +239,21 @@ def _scored(vote: SoftVote, rows: DataFrame) -> DataFrame:
     )
 
 
-def ml_cv(rows: DataFrame, imb: int = 1, trees: int = BOOST_TREES, seed: int = 0, folds: int = FOLDS) -> DataFrame:
+def ml_cv(
+    rows: DataFrame, imb: int = 1, trees: int = BOOST_TREES, seed: int = 0, folds: int = FOLDS, voters: str = "boosted", width: int = 0
+) -> DataFrame:
     """Metrics per fold; each fold's training part is rebalanced on its own.
 
-    ``rows`` is a stored frame of ``id, vec, label``.
+    ``rows`` is a stored frame of ``id, vec, label``.  With Gaussian voters (on vectors of ``width`` numbers) and no
+    rebalancing, the models of all folds come from one pass.
     """
     folded = stage(ml_folds(rows, "id", "label", folds, seed), "folds")
+    if voters == "gaussian" and imb == 0:
+        scored = gaussian_vote(folded, width, "fold")
+        return agg_confusion(scored.withColumn("part", F.concat(F.lit("fold"), "fold")), by=["part"])
     parts = []
     for fold in range(folds):
-        vote = _vote_fit(folded.where(F.col("fold") != fold).drop("fold"), imb, trees, seed)
+        vote = _vote_fit(folded.where(F.col("fold") != fold).drop("fold"), imb, trees, seed, voters, width)
         parts.append(_scored(vote, folded.where(F.col("fold") == fold)).withColumn("part", F.lit(f"fold{fold}")))
     return agg_confusion(reduce(DataFrame.unionByName, parts), by=["part"])
 
@@ -198,9 +270,13 @@ def train_eval_classifier(
     frac: float = 0.3,
     trees: int = BOOST_TREES,
     seed: int = 0,
+    voters: str = "boosted",
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Split, scale, encode, select, cross-validate, fit and test a classifier.
 
+    ``voters``: boosted trees and a Gaussian classifier, inputs selected by importance (``boosted``); or two Gaussian
+    classifiers on different inputs, selected by their coefficients in a linear fit (``gaussian``), all in closed form.
+
     Returns the model, the metrics (``part`` is ``fold0..`` or ``test``) and the selected
     inputs with their importance.  ``imb`` is 0 for none, 1 for over-, 2 for undersampling.
     """
@@ -209,19 +285,23 @@ def train_eval_classifier(
     train, test = split.where("not is_test"), split.where("is_test")
     drop = ff.variant_drop_list(adj, clusters, "class")
     prep = Preparation.fit(train, [test], ff.SCALED_CLASS, drop, clusters, encode)
-    importances = ml_select_importance(prep.model().transform(train), target, trees, seed)
-    chosen = prep.select(importances, threshold)
+    encoded = prep.model().transform(train)
+    if voters == "gaussian":
+        weights = ml_select_coef(encoded, target, prep.names)
+    else:
+        weights = ml_select_importance(encoded, target, trees, seed)
+    chosen = prep.select(weights, threshold)
     prepared = prep.model().transform(split).select(
         F.col("player_id").alias("id"), vector_to_array("features").alias("vec"), F.col(target).alias("label"), "is_test"
     )
     prepared = stage(prepared, "prepared")
     fit_rows = prepared.where("not is_test").drop("is_test")
-    cv = ml_cv(fit_rows, imb, trees, seed)
-    vote = _vote_fit(fit_rows, imb, trees, seed)
+    cv = ml_cv(fit_rows, imb, trees, seed, voters=voters, width=len(prep.names))
+    vote = _vote_fit(fit_rows, imb, trees, seed, voters, len(prep.names))
     tested = agg_confusion(_scored(vote, prepared.where("is_test")).withColumn("part", F.lit("test")), by=["part"])
     spark = features.sparkSession
     return (
-        prep.model(*vote.members),
+        prep.model(*vote.slicers, *vote.members),
         cv.unionByName(tested),
         spark.createDataFrame(chosen, "feature string, weight double"),
     )

@@ -97,6 +97,37 @@ def test_soft_vote_is_the_mean(spark, data):
         assert np.isclose(r.probability, want[r.id]) and r.prediction == int(want[r.id] > 0.5)
 
 
+def test_gaussian_vote_is_the_library_s(spark):
+    """All folds in one pass against a fit per fold, with a constant input and one class nearly absent."""
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 11 == 0), i % 3, [float(x) for x in rng.normal(i % 11 == 0, 1 + i % 2, 4)] + [7.0]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id int, label int, fold int, vec array<double>").repartition(5)
+    got = {r.id: r.probability for r in models.gaussian_vote(frame, 5, "fold").collect()}
+    vectors = frame.select("id", "fold", array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label"))
+    for fold in range(3):
+        two = {name: models.CLASSIFIERS["gaussian"]() for name in ("first", "second")}
+        vote = models.SoftVote.fit(vectors.where(F.col("fold") != fold), two, models.dealt_parts(5))
+        want = vote.transform(vectors.where(F.col("fold") == fold)).collect()
+        assert want and all(np.isclose(got[r.id], r.probability, atol=1e-9) for r in want)
+        assert {c for c in want[0].__fields__} == {"id", "fold", "features", "label", "probability", "prediction"}
+    one = frame.where("label = 0").limit(20)
+    assert {r.probability for r in models.gaussian_vote(one, 5).collect()} == {None}
+    assert models.gaussian_vote(frame.limit(0), 5, "fold").count() == 0
+
+
+def test_gaussian_classifier_stores_and_scores(data, tmp_path):
+    model, quality, weights = models.train_eval_classifier(stored_frame(data), imb=0, voters="gaussian")
+    assert {r["part"] for r in quality.collect()} == {"fold0", "fold1", "fold2", "test"} and weights.count() > 7
+    model.save(str(tmp_path / "m"))
+    height, weight = body_models(data)
+    cohort = stored_frame(data, mode="cohort")
+    first = models.score_cohort_classifier(cohort, model, height, weight).collect()
+    again = models.score_cohort_classifier(cohort, PipelineModel.load(str(tmp_path / "m")), height, weight).collect()
+    assert first == again and len(first) == cohort.count()
+
+
 @pytest.mark.parametrize("adj, level, task, gone", [
     (1, 0, "class", ff.RAW_RATES + ff.CLUSTER_COLUMNS),
     (0, 1, "class", ff.ADJUSTED_SUMS + ff.ADJUSTED_PARTS + ["clusters100", "clusters200"]),
