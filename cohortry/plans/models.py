@@ -210,7 +210,11 @@ def gaussian_vote(rows: DataFrame, width: int, fold: str | None = None) -> DataF
 
     members = stage(members, "members")
     judged = rows.join(members, fold) if fold else rows.withColumn("members", members.select("members").scalar())
-    chance = F.transform("members", lambda m: 1 / (1 + F.exp(F.least(score(m, 0) - score(m, 1), F.lit(700.0)))))
+    def chance_of(m: Column) -> Column:
+        lead = score(m, 0) - score(m, 1)
+        return 1 / (1 + F.exp(F.when(lead > 700, 700.0).otherwise(lead)))
+
+    chance = F.transform("members", chance_of)
     mean = F.aggregate(chance, F.lit(0.0), lambda a, x: a + x) / F.size(chance)
     judged = judged.withColumn("probability", mean).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
     return judged.select(*by, "id", "label", "prediction", "probability")
