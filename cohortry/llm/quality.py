@@ -1,10 +1,10 @@
 """Quality rules: simple counts of words, symbols, repeated lines and passages, and the distance of a document's
 character classes and common words from its language's own (Jensen-Shannon distance).
 
-The references come from the corpus: the most frequent short words of each language and, over all documents that
-pass the simple rules, the language's shares of character classes and of those words.  They are plain sums, as in the
-query's SQL; with ``balanced`` shares are averaged over the distinct texts, so that neither a long document nor one with
-many copies weighs more than another.
+The references come from the corpus: the most frequent words of each language and, over all documents that pass the
+simple rules, the language's shares of character classes and of those words.  Shares are averaged over the distinct
+texts, so that neither a long document nor one with many copies weighs more than another.  To each language's average
+come a few texts' worth of the average of all languages, which stands in where a language has few texts of its own.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ MOST_REPEATED = 20  # percent of the words
 CLASSES = ("[a-z]+", SPACES, "[A-Z]+", "[0-9]+", r"[!-/:-@\[-`{-~]+")
 COMMON = 32
 LETTERS = [chr(48 + k) for k in range(COMMON + 1)]
-SHORT = 8  # code points of a common word at most
 GUARD_WORDS = 50  # shorter documents are not held against the references
-GUARD_REFERENCE = 5_000  # words that a language's reference must rest on
+POOLED = 20  # texts' worth of the average of all languages in each language's reference
 MOST_CLASS = 0.29
 MOST_WORD = 0.45
 UNIT = 10**10  # weight of a text; whole numbers add up alike in any order
@@ -40,17 +39,13 @@ def copied_texts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("lang_key", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def common_words(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
-    """``lang_key, common``: the most frequent short words of each language, most frequent first, ties by word.
-
-    With ``copied``, those with the largest average share of a distinct text; one of fewer than ``MIN_WORDS`` words
-    counts less.
+def common_words(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """``lang_key, common``: the words of each language with the largest average share of a distinct text, largest first,
+    ties by word; a text of fewer than ``MIN_WORDS`` words counts less.
     """
-    df, weight = docs.withColumn("words", words_of(F.col("text"))), F.lit(1)
-    if copied is not None:
-        df = df.join(copied, ["lang_key", "text_key"], "left")
-        weight = F.lit(UNIT) / (F.greatest(F.size("words"), F.lit(MIN_WORDS)) * F.coalesce("copies", F.lit(1)))
-    words = df.select("lang_key", weight.cast("long").alias("weight"), F.explode("words").alias("word")).where(F.char_length("word") <= SHORT)
+    df = docs.withColumn("words", words_of(F.col("text"))).join(copied, ["lang_key", "text_key"], "left")
+    weight = F.lit(UNIT) / (F.greatest(F.size("words"), F.lit(MIN_WORDS)) * F.coalesce("copies", F.lit(1)))
+    words = df.select("lang_key", weight.cast("long").alias("weight"), F.explode("words").alias("word"))
     best = Window.partitionBy("lang_key").orderBy(F.desc("n"), "word")
     top = words.groupBy("lang_key", "word").agg(F.sum("weight").alias("n")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON)
     ranked = F.sort_array(F.collect_list(F.struct("rank", "word")))
@@ -126,48 +121,47 @@ def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     )
 
 
-def references(measured: DataFrame, copied: DataFrame | None = None) -> DataFrame:
-    """Summed histograms of each language over its documents that pass the simple rules; with ``copied``, shares of its
-    distinct texts instead, as whole numbers."""
-    n = len(CLASSES) + 1
-    df = measured.where(~F.col("base_failed"))
-    if copied is not None:
-        df = df.join(copied, ["lang_key", "text_key"], "left")
+def references(measured: DataFrame, copied: DataFrame) -> DataFrame:
+    """Shares of each language, summed over its distinct texts that pass the simple rules, as whole numbers, and the
+    pooled shares of all languages with the weight of ``POOLED`` texts."""
+    df = measured.where(~F.col("base_failed")).join(copied, ["lang_key", "text_key"], "left")
+    widths = {"classes": len(CLASSES) + 1, "bins": COMMON + 1}
 
-    def sums(name: str, size: int) -> list[Column]:
+    def sums(name: str) -> Column:
         total = F.greatest(F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-        part = F.lit(1) if copied is None else F.lit(UNIT) / (total * F.coalesce("copies", F.lit(1)))
-        return [F.sum((F.get(name, F.lit(i)) * part).cast("long")).alias(f"{name}{i}") for i in range(size)]
+        part = F.lit(UNIT) / (total * F.coalesce("copies", F.lit(1)))
+        return F.array(*[F.sum((F.get(name, F.lit(i)) * part).cast("long")) for i in range(widths[name])]).alias(f"own_{name}")
 
-    df = df.groupBy("lang_key").agg(F.sum("n_words").alias("ref_words"), *sums("classes", n), *sums("bins", COMMON + 1))
-    return df.select(
-        "lang_key",
-        "ref_words",
-        F.array(*[f"classes{i}" for i in range(n)]).alias("ref_classes"),
-        F.array(*[f"bins{i}" for i in range(COMMON + 1)]).alias("ref_bins"),
-    )
+    return df.groupBy("lang_key").agg(*[sums(name) for name in widths])
+
+
+def pooled(refs: DataFrame) -> DataFrame:
+    """Adds the pool, one row of sums over the languages, to each reference."""
+    for name, width in (("classes", len(CLASSES) + 1), ("bins", COMMON + 1)):
+        pool = refs.agg(F.array(*[F.sum(F.get(f"own_{name}", F.lit(i))) for i in range(width)]).alias("pool")).scalar()
+        refs = refs.withColumn("pool", pool).withColumn("whole", F.aggregate("pool", F.lit(0).cast("long"), lambda a, x: a + x))
+        share = F.transform("pool", lambda x: x / F.greatest("whole", F.lit(1)) * F.lit(POOLED * UNIT))
+        refs = refs.withColumn(f"ref_{name}", F.zip_with(f"own_{name}", share, lambda a, b: a + b)).drop("pool", "whole")
+    return refs.drop("own_classes", "own_bins")
 
 
-def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", balanced: bool = False) -> DataFrame:
+def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts, distances and verdict of every document.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
-    word_distance, kept``.  A document is rejected if a simple rule fails or if it has at least ``GUARD_WORDS`` words,
-    its language's reference rests on at least ``GUARD_REFERENCE`` words, and a distance is above its bound;
-    otherwise the distances are null.  ``balanced`` lets each distinct text weigh alike in the references.
+    word_distance, kept``.  A document is rejected if a simple rule fails or if it has at least ``GUARD_WORDS`` words
+    and a distance from its language's reference is above its bound; for shorter ones the distances are null.
 
     Null texts count as empty and fail the simple rules.  A null language is a language of its own.  Repeated rows
     are judged each.  Other columns are not read.  Only built-in functions are used.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("="), lang_col), F.lit("")).alias("lang_key"))
-    copied = None
-    if balanced:
-        docs = docs.withColumn("text_key", F.xxhash64("text"))
-        copied = scratch.keep(copied_texts(docs), "copied")
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    copied = scratch.keep(copied_texts(docs), "copied")
     common = scratch.keep(common_words(docs, copied), "common")
     measured = scratch.keep(measure(docs, common), "measured")
-    refs = scratch.keep(references(measured, copied), "references")
-    guarded = (F.col("n_words") >= GUARD_WORDS) & (F.col("ref_words") >= GUARD_REFERENCE)
+    refs = scratch.keep(pooled(scratch.keep(references(measured, copied), "sums")), "references")
+    guarded = F.col("n_words") >= GUARD_WORDS
     judged = measured.join(refs, "lang_key", "left").withColumns(
         {"class_distance": F.when(guarded, distance("classes", "ref_classes")), "word_distance": F.when(guarded, distance("bins", "ref_bins"))}
     )
@@ -190,7 +184,8 @@ CLASS_SQL = ["[a-z]", r"[\x20\x09-\x0D]", "[A-Z]", "[0-9]", r"[!-/:-@\[-`{-~]"]
 ORACLES = {
     "op8_quality_rules": f"""
 with d as (
-  select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce('=' || lang, '') as lang_key from documents),
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce('=' || lang, '') as lang_key,
+    count(*) over (partition by coalesce('=' || lang, ''), coalesce(text, '')) as copies from documents),
 w as (
   select rid, lang_key, unnest(ws) as word, generate_subscripts(ws, 1) as i
   from (select rid, lang_key, regexp_extract_all(text, '{WORD_SQL}') as ws from d)),
@@ -206,13 +201,14 @@ repeated as (select rid, count(distinct i + k) as n from starts, range({WINDOW})
 lines as (select rid, unnest(string_split(text, chr(10))) as line from d),
 dup as (select rid, count(*) - count(distinct line) as n from lines where regexp_matches(line, '{WORD_SQL}') group by rid),
 base as (
-  select rid, doc_id, lang_key, text, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
+  select rid, doc_id, lang_key, copies, text, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
     cast(coalesce(n_symbols, 0) as bigint) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(repeated.n, 0) as n_repeat_words,
     coalesce(n_words, 0) < {MIN_WORDS} or 100 * coalesce(repeated.n, 0) > {MOST_REPEATED} * coalesce(n_words, 0) as base_failed
   from d left join counted using (rid) left join repeated using (rid) left join dup using (rid)),
 common as (
-  select lang_key, word, row_number() over (partition by lang_key order by count(*) desc, word) as bin
-  from w where length(word) <= {SHORT} group by lang_key, word qualify bin <= {COMMON}),
+  select w.lang_key, word, row_number() over (
+      partition by w.lang_key order by sum(cast(floor({UNIT} / (greatest(n_words, {MIN_WORDS}) * copies)) as bigint)) desc, word) as bin
+  from w join base using (rid) group by w.lang_key, word qualify bin <= {COMMON}),
 found as (
   select rid, 'word' as kind, coalesce(bin, 0) as bin, count(*) as n from w left join common using (lang_key, word) group by rid, coalesce(bin, 0)
   union all select rid, 'class', bin, n from (
@@ -221,16 +217,17 @@ found as (
 bins as (
   select 'word' as kind, b as bin from range({COMMON + 1}) r(b) union all select 'class', b from range({len(CLASS_SQL) + 1}) r(b)),
 cells as (
-  select b.rid, lang_key, base_failed, n_words, bins.kind, bins.bin, coalesce(f.n, 0) as n
+  select b.rid, lang_key, copies, base_failed, n_words, bins.kind, bins.bin, coalesce(f.n, 0) as n,
+    sum(coalesce(f.n, 0)) over (partition by b.rid, bins.kind) as total
   from base b cross join bins left join found f on f.rid = b.rid and f.kind = bins.kind and f.bin = bins.bin),
-refs as (
-  select lang_key, kind, bin, sum(n) as n from cells where not base_failed group by all),
-ref_words as (select lang_key, sum(n_words) as n from base where not base_failed group by lang_key),
+own as (
+  select lang_key, kind, bin, sum(cast(floor(n * ({UNIT} / (greatest(total, 1) * copies))) as bigint)) as n
+  from cells where not base_failed group by all),
+pool as (select kind, bin, sum(n) / greatest(sum(sum(n)) over (partition by kind), 1) * {POOLED * UNIT} as n from own group by kind, bin),
+refs as (select o.lang_key, o.kind, o.bin, o.n + p.n as n from own o join pool p using (kind, bin)),
 shares as (
-  select c.rid, c.kind, c.n / greatest(sum(c.n) over (partition by c.rid, c.kind), 1) as p,
-    r.n / greatest(sum(r.n) over (partition by c.rid, c.kind), 1) as q
-  from cells c join refs r using (lang_key, kind, bin) join ref_words w using (lang_key)
-  where c.n_words >= {GUARD_WORDS} and w.n >= {GUARD_REFERENCE}),
+  select c.rid, c.kind, c.n / greatest(c.total, 1) as p, r.n / greatest(sum(r.n) over (partition by c.rid, c.kind), 1) as q
+  from cells c join refs r using (lang_key, kind, bin) where c.n_words >= {GUARD_WORDS}),
 far as (
   select rid, kind, sqrt(greatest(sum(
     (case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2), 0)) as apart

@@ -183,7 +183,7 @@ def judged_with(spark, added):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     more = spark.createDataFrame(added, "text string, lang string, times int")
     more = more.select(F.explode(F.sequence(F.lit(1), "times")).alias("k"), "text", "lang").select((-F.col("k")).cast("long").alias("doc_id"), "text", "lang")
-    got = quality.judge(docs.union(more), Scratch(spark, "t"), balanced=True).where("not base_failed and n_words >= 50")
+    got = quality.judge(docs.union(more), Scratch(spark, "t")).where("not base_failed and n_words >= 50")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
     return got.join(labels, "doc_id", "left").collect()
 

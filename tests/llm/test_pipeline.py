@@ -42,27 +42,31 @@ def classes(text):
 
 def brute_verdicts(docs):
     """``doc_id, text, lang`` and whether the rules and the distances keep it."""
-    counts = defaultdict(Counter)
+    copies = Counter((r["lang"], r["text"] or "") for r in docs)
+    weights, unit = defaultdict(Counter), quality.UNIT
     for r in docs:
-        counts[r["lang"]].update(w for w in WORD.findall(r["text"] or "") if len(w) <= quality.SHORT)
-    common = {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]] for k, c in counts.items()}
-    facts, refs = [], defaultdict(lambda: [0, [0] * 6, [0] * (quality.COMMON + 1)])
+        words = WORD.findall(r["text"] or "")
+        for w in words:
+            weights[r["lang"]][w] += int(unit / (max(len(words), quality.MIN_WORDS) * copies[r["lang"], r["text"] or ""]))
+    common = {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]] for k, c in weights.items()}
+    facts, refs = [], defaultdict(lambda: ([0] * 6, [0] * (quality.COMMON + 1)))
     for r in docs:
         words = WORD.findall(r["text"] or "")
-        place = {w: i + 1 for i, w in enumerate(common[r["lang"]])}
+        place = {w: i + 1 for i, w in enumerate(common.get(r["lang"], []))}
         bins = [0] * (quality.COMMON + 1)
         for w in words:
             bins[place.get(w, 0)] += 1
         failed = brute_quality(r["text"] or "")[-1]
-        facts.append((r, len(words), classes(r["text"] or ""), bins, failed))
+        facts.append((r, len(words), (classes(r["text"] or ""), bins), failed))
         if not failed:
-            ref = refs[r["lang"]]
-            ref[0] += len(words)
-            ref[1] = [a + b for a, b in zip(ref[1], facts[-1][2])]
-            ref[2] = [a + b for a, b in zip(ref[2], bins)]
-    for r, n, kinds, bins, failed in facts:
-        words, one, two = refs[r["lang"]]
-        far = n >= quality.GUARD_WORDS and words >= quality.GUARD_REFERENCE and (distance(kinds, one) > quality.MOST_CLASS or distance(bins, two) > quality.MOST_WORD)
+            for ref, mine in zip(refs[r["lang"]], facts[-1][2]):
+                part = unit / (max(sum(mine), 1) * copies[r["lang"], r["text"] or ""])
+                ref[:] = [a + int(b * part) for a, b in zip(ref, mine)]
+    pools = [[sum(x) for x in zip(*v)] for v in zip(*refs.values())]
+    blend = {k: [[a + b / max(sum(p), 1) * quality.POOLED * unit for a, b in zip(x, p)] for x, p in zip(v, pools)] for k, v in refs.items()}
+    for r, n, mine, failed in facts:
+        far = n >= quality.GUARD_WORDS and not failed
+        far = far and any(distance(a, b) > most for a, b, most in zip(mine, blend[r["lang"]], (quality.MOST_CLASS, quality.MOST_WORD)))
         yield r, not failed and not far
 
 
