@@ -8,6 +8,7 @@ rest is filled greedily by class, and the pieces of each class, ranked, are deal
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -16,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
 from cohortry.llm.scratch import Scratch, documents
-from cohortry.llm.tokens import LONGEST_CACHED, utf8
+from cohortry.llm.tokens import END, LONGEST_CACHED, PIECES as SPLIT, PLAIN, byte_letters, utf8
 
 LENGTH = 4096
 GRAIN = 16
@@ -37,22 +39,66 @@ CHUNKS = 1_000_000
 TEXTS = 256  # whose new chunks are encoded together
 
 
+WORD_END = b"\xff"  # stands for the end of a word; no byte of UTF-8
+
+
+def merge_ranks(model: dict) -> tuple[dict[bytes, int], np.ndarray]:
+    """The vocabulary's merges for a byte-pair encoder, with the end of a word as a byte, and the id of each rank.
+
+    Joining a word's last byte with its end comes before all merges, since the vocabulary starts from such pairs.
+    """
+    byte, vocab = {c: bytes([b]) for b, c in enumerate(byte_letters())}, model["vocab"]
+
+    def raw(token: str) -> bytes:
+        inner = token.removesuffix(END)
+        return b"".join(byte[c] for c in inner) + WORD_END * (inner != token)
+
+    ids = {raw(t): i for t, i in vocab.items() if not t.startswith("<|")}
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + WORD_END: 256 + b for b in range(256) if bytes([b]) + WORD_END in ids}
+    for m in model["merges"]:
+        left, right = m.split(" ") if isinstance(m, str) else m
+        ranks.setdefault(raw(left) + raw(right), 512 + len(ranks))
+    of = np.zeros(max(ranks.values()) + 1, "<u4")
+    for word, rank in ranks.items():
+        of[rank] = ids.get(word, 0)
+    return ranks, of
+
+
 class ChunkCoder:
-    """Token ids of texts.  Tokens never span white space, so a text's ids are those of its chunks between white space."""
+    """Token ids of texts.  Tokens never span white space, so a text's ids are those of its chunks between white space.
+
+    Chunks of plain letters are split into words here and encoded by the faster library; others by the vocabulary's own.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            ranks, self.id_of = merge_ranks(json.load(f)["model"])
+        self.words = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[bytes, bytes] = {}
 
+    def plain(self, chunk: str) -> bytes:
+        ranks: list[int] = []
+        for piece in SPLIT.findall(chunk.lower()):
+            ranks += self.words._encode_single_piece(piece.encode() + WORD_END)
+        return self.id_of[ranks].tobytes()
+
+    def coded(self, chunks: list[bytes]) -> Iterator[bytes]:
+        texts = [c.decode() for c in chunks]
+        plain = [len(t) <= LONGEST_CACHED and PLAIN.fullmatch(t) and "<|" not in t for t in texts]
+        rest = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        for t, p in zip(texts, plain):
+            yield self.plain(t) if p else array("I", next(rest).ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         chunks = [t.split() for t in texts]  # bytes: the six ASCII white-space characters
-        new = list({c for x in chunks for c in x if c not in self.known})
+        here = set().union(*chunks)
+        new = list(here.difference(self.known))
         if len(self.known) + len(new) > CHUNKS:
-            self.known, new = {}, list({c for x in chunks for c in x})
-        coded = self.library.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        self.known.update(zip(new, (array("I", e.ids).tobytes() for e in coded)))
+            self.known, new = {}, list(here)
+        self.known.update(zip(new, self.coded(new)))
         out = [b"".join(map(self.known.__getitem__, x)) for x in chunks]
         for c in new:
             if len(c) > LONGEST_CACHED:

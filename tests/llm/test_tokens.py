@@ -84,6 +84,20 @@ def test_packing(spark, library, length):
     assert packing.pack(spark.createDataFrame([], SCHEMA), Scratch(spark, "t"), PATH).count() == 0
 
 
+def test_chunk_ids_are_the_library_s(library):
+    """Every entry of the vocabulary as a text, random words, long runs, special strings and other scripts."""
+    rng = random.Random(9)
+    letters = {c: b for b, c in enumerate(tokens.byte_letters())}
+    raw = [bytes(letters[c] for c in t.removesuffix(tokens.END)) for t in library.get_vocab() if not t.startswith("<|")]
+    words = [r.decode() for r in raw if not r.decode(errors="replace").count("\ufffd")]
+    words += ["".join(rng.choices("abcdeghilmnorstuvé'ßİǅ09.,-!<|あ", k=rng.randint(1, 40))) for _ in range(5_000)]
+    words += ["x" * 5_000, "<|endoftext|>", "a<|startoftext|>b", "don't", "I'LL", "É́"]
+    coder = packing.ChunkCoder(PATH)
+    many = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    for text, coded in zip(many, coder.encode([t.encode() for t in many])):
+        assert np.frombuffer(coded, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_patterns_beside_spark(spark):
     """All classes of lengths, in a driver that has run a Spark job."""
     assert spark.range(1000).selectExpr("sum(id)").first()[0] == 499500
