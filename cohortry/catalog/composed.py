@@ -179,18 +179,31 @@ def _(s):
 READY = {c: "coalesce(adj_p_a17, middle)" if c == "adj_p_a17" else c for c in NB_INPUTS}
 
 
-@query("score_cohort_classifier", sql(["frame", "cohort", "draft", "hw"], f"""{BODY_SQL}, {classification_sql()}, tested as (select -1 as f),
+COHORT_SCORES = f"""{BODY_SQL}, {classification_sql()}, tested as (select -1 as f),
     c_cohort as (
       select player_id as id, cast(null as int) as label, -1 as fold, [{", ".join(f"({x} - m_{c}) / s_{c}" for c, x in READY.items())}]::double[] as u
       from projected, c_stats, (select median(adj_p_a17) as middle from cohort) t),
-    c_both as (select id, label, fold, u from c_train union all select id, label, fold, u from c_cohort), {gauss_sql("c_both", "tested", "c_keep")}
-    select id as player_id, cast(probability > 0.5 as int) as prediction, {R("probability")} as probability from voted"""))
-def _(s):
+    c_both as (select id, label, fold, u from c_train union all select id, label, fold, u from c_cohort), {gauss_sql("c_both", "tested", "c_keep")},
+    scored as (select id as player_id, cast(probability > 0.5 as int) as prediction, {R("probability")} as probability from voted)"""
+
+
+def cohort_scores(s):
     model, _quality, _weights = models.train_eval_classifier(stored_frame(s), imb=0, encode="drop", voters="gaussian")
     scored = models.score_cohort_classifier(stored_frame(s, mode="cohort"), model, *body_models(s))
     return rounded(scored, "probability")
 
 
+@query("score_cohort_classifier", sql(["frame", "cohort", "draft", "hw"], f"{COHORT_SCORES} select * from scored"))
+def _(s):
+    return cohort_scores(s)
+
+
+@query("rank_predictions", sql(["frame", "cohort", "draft", "hw"], f"""{COHORT_SCORES}
+    select *, row_number() over (order by prediction desc, probability desc, player_id) as rank from scored"""))
+def _(s):
+    return models.rank_all(cohort_scores(s))
+
+
 @query("score_cohort_classifier_boosted")
 def _(s):
     model, _quality, _weights = models.train_eval_classifier(stored_frame(s), imb=2, trees=TREES)

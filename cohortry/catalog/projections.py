@@ -142,7 +142,7 @@ def _(s):
     return rounded(s.league(), "le").orderBy(F.desc("le"), "league_name")
 
 
-@query("rank_predictions", sql(["frame"], f"""
+@query("rank_labels", sql(["frame"], f"""
     select player_id, classifier2 as prediction, {R('adj_p_a18')} as probability from frame order by prediction desc, probability desc, player_id"""))
 def _(s):
     scored = stored_frame(s).select("player_id", F.col("classifier2").alias("prediction"), F.round("adj_p_a18", 6).alias("probability"))

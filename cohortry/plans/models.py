@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel, classification as mc, regression as mr
 from pyspark.ml import feature as mf
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortry.operators.leastsq import LeastSquares
 from cohortry.operators.metrics import agg_confusion, agg_r2
@@ -354,6 +354,22 @@ def rank_predictions(scored: DataFrame, by: Sequence[str] = ("prediction", "prob
     return ordered if top_n is None else ordered.limit(top_n)
 
 
+def rank_all(scored: DataFrame, by: Sequence[str] = ("prediction", "probability"), key: str = "player_id") -> DataFrame:
+    """Every row with its ``rank`` in the order of ``rank_predictions``, from 1.
+
+    The order is cut into ranges; rows are numbered within their range and shifted by the sizes of the ranges before, so
+    no task sees more than a range.  Equal scores are told apart by the entity, so many of them are many ranges.
+    """
+    order = [*[F.desc_nulls_last(c) for c in by], F.asc(key)]
+    ranges = stage(scored.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row per range, which is one per shuffle partition.
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = ranges.withColumn("_inside", inside).join(stage(before, "range-sizes"), "_range")
+    return ranked.withColumn("rank", F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+
+
 def score_cohort_classifier(cohort: DataFrame, model: PipelineModel, height: PipelineModel, weight: PipelineModel) -> DataFrame:
     """Prediction and probability per entity of the cohort, ranked."""
     members = [s for s in model.stages if hasattr(s, "getProbabilityCol")]

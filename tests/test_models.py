@@ -210,3 +210,13 @@ def test_every_alternative_can_be_made():
 
 def test_standin_parameters_match_the_fixture():
     assert standin.AGES == (20, 21) and standin.ANCHOR == "1-URGENT"
+
+
+def test_rank_of_every_row(spark):
+    """Half of the rows share a score; some have none."""
+    rows = [(i, i % 2, None if i % 50 == 0 else 0.5 if i % 2 else round((i * 37 % 101) / 101, 6)) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "player_id int, prediction int, probability double").repartition(7)
+    got = models.rank_all(frame).collect()
+    order = sorted(rows, key=lambda r: (-r[1], r[2] is None, -(r[2] or 0), r[0]))
+    assert {r.player_id: r["rank"] for r in got} == {r[0]: k for k, r in enumerate(order, 1)} and len(got) == 1000
+    assert models.rank_all(frame.limit(0)).count() == 0
