@@ -23,6 +23,15 @@ def sink_replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def sink_parts(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Overwrite those partitions of a Parquet table that ``df`` has rows of; the others stay as they are.
+
+    For split frames and prediction tables that are stored per position, label and year and written one at a
+    time.  A partition of which ``df`` has no rows is not touched, so nothing is lost by writing an empty frame.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def sink_ctas(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Store a derived table in the catalog under a name, replacing an earlier one."""
     writer = df.write.mode("overwrite").format("parquet")

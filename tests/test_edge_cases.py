@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.catalog import QUERIES
 from cohortry.operators import leastsq, ordering, pairs, prepare
 from cohortry.plans import features, models, tables
-from cohortry.sources import html_tables, json_pages
+from cohortry.sources import html_tables, json_pages, tables as store
 
 
 def test_a_replaced_table_gives_new_rows(spark, small, tmp_path):
@@ -124,3 +124,15 @@ def test_least_squares_against_elimination_by_hand(spark):
     assert leastsq.LeastSquares.fit(frame.limit(0), names, F.col("x"), F.col("y")).coefficients == (None,) * 7
     for t, freedom, p in ((2.0, 10, 0.07338803477074), (0.0, 5, 1.0), (12.706204736, 1, 0.05), (-1.0, 1, 0.5), (2.228138852, 10, 0.05), (1.96, 1e6, 0.0499958)):
         assert leastsq.two_sided(t, freedom) == pytest.approx(p, rel=2e-4)
+
+
+def test_parts_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, "FD"[i % 2], 2010 + i % 3) for i in range(60)], "id int, pos string, year int")
+    store.sink_parts(rows, path, ["pos", "year"])
+    store.sink_parts(rows.where("year = 2011 and pos = 'F'").limit(1).withColumn("id", F.col("id") + 1000), path, ["pos", "year"])
+    store.sink_parts(rows.where("false"), path, ["pos", "year"])
+    got = {(r.pos, r.year): r.n for r in spark.read.parquet(path).groupBy("pos", "year").agg(F.count("*").alias("n")).collect()}
+    assert got == {(p, y): 1 if (p, y) == ("F", 2011) else 10 for p in "FD" for y in (2010, 2011, 2012)}
+    store.sink_replace(rows.where("year = 2010"), path, ["pos", "year"])
+    assert spark.read.parquet(path).count() == 20
