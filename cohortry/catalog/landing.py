@@ -20,7 +20,7 @@ PAGE = 1_000
 HTML_PAGE = 200
 
 
-def draft_pages(s: StandIn) -> DataFrame:
+def draft_pages(s: StandIn, *keep: str) -> DataFrame:
     """Draft pages of at most two thousand picks, with some picks lacking the player."""
     draft = s.draft()
     totals = draft.groupBy("year").agg(F.count(F.lit(1)).alias("total"))
@@ -34,7 +34,7 @@ def draft_pages(s: StandIn) -> DataFrame:
     )
     pages = draft.groupBy("year", F.floor(F.col("player_id") / PAGE).alias("page")).agg(F.collect_list(item).alias("data"))
     doc = F.struct(F.struct(F.col("total").alias("totalCount")).alias("metadata"), "data")
-    return pages.join(totals, "year").select("year", F.to_json(doc).alias("raw"))
+    return pages.join(totals, "year").select("year", *keep, F.to_json(doc).alias("raw"))
 
 
 def _detail(pos2: str = "pos2"):
@@ -202,11 +202,18 @@ def _(s):
     return html_tables.read_years(s.spark, path).select(s.draft().columns)
 
 
-@query("src_page_merge", sql(["draft"], """
-    select year, count(distinct floor(player_id / 1000)) as pages, count(*) as rows_read, count(*) as distinct_rows, count(*) as total_count, true as complete
-    from draft group by year"""))
+# The pages of 2013 are landed twice, the first page of 2015 is missing.
+@query("src_page_merge", sql(["draft"], f"""
+    , paged as (select *, floor(player_id / {PAGE}) as page, count(*) over (partition by year) as total from draft),
+    landed as (select * from paged where not (year = 2015 and page = 0))
+    select year, count(distinct page) * case when year = 2013 then 2 else 1 end as pages,
+      count(*) * case when year = 2013 then 2 else 1 end as rows_read, count(distinct cast(ov as int)) as distinct_rows,
+      max(total) as total_count, count(distinct ov) >= max(total) as complete
+    from landed group by year"""))
 def _(s):
-    return json_pages.merge_pages(draft_pages(s), ["year"], json_pages.DRAFT_PAGE, "overall")
+    pages = draft_pages(s, "page")
+    landed = pages.where("not (year = 2015 and page = 0)").unionByName(pages.where("year = 2013"))
+    return json_pages.merge_pages(landed.drop("page"), ["year"], json_pages.DRAFT_PAGE, "overall")
 
 
 @query("src_table", sql(["sss"], "select player_id, season, gp, p from sss"))
