@@ -78,9 +78,9 @@ def cells(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * BITMAP, np.uint8)
-    bits[(s & np.uint64(64 * BITMAP - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+    """Whether an odd number of shingles falls on each bit, so that what two documents share cancels out at any size."""
+    hits = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP)
+    return np.packbits((hits & 1).astype(np.uint8)).view(np.int64)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
