@@ -2,8 +2,9 @@
 
 Documents are dealt into tiles of two neighbouring size bands; only such pairs can be similar enough.  Within a tile the
 hash range of the shingles is cut into more parts than a linked pair can differ in, so a linked pair agrees on all
-shingles of some part and meets in a cell, the tile with the hash of that part.  In a cell, hashed bitmaps bound the
-overlap of a pair from above; what passes is checked exactly by intersecting the sorted shingle arrays.
+shingles of several parts and meets in as many cells, each the tile with the hash of a part.  A document leaves its most
+frequent cells, one less than it must share, so that a passage of many documents does not bring them together.  In a cell,
+hashed bitmaps bound the overlap of a pair from above; what passes is checked exactly by intersecting the sorted arrays.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cohortry.llm.components import components
 from cohortry.llm.scratch import Scratch, documents
 
 BITMAP = 16  # words of 64 bits
+SPARE = 8  # a pair must share a cell more than one for so many shingles that it may differ in
 BLOCK = 1_024  # documents of a cell that are compared with as many others in one group
 ROWS_OUT = 1 << 10  # rows of an output batch
 
@@ -55,26 +57,35 @@ def band_of(size: int, percent: int) -> tuple[int, int, int]:
         first, band = after, band + 1
 
 
-def cells(s: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a document with the shingles ``s``."""
+def cells(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """The cells of a document with the shingles ``s``, and how many of them are to spare in its even and its odd tile.
+
+    The lowest bit of a cell tells the tile's.  In a common tile, a linked pair shares more cells than either has to spare.
+    """
+    free = [0, 0]
     if not len(s):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), free
     band, top, above = band_of(len(s), percent)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + np.uint64(1)))])
     out = []
     for tile, most in ((band, top), (band + 1, above)):
         apart = 2 * most * (100 - percent) // (100 + percent)
         # A pair agrees on more than ``spare`` parts; a document with no more empty parts than that can leave them out.
-        spare = 1 + apart // 25
+        # What is then left of ``spare`` it need not share; one that keeps its empty parts may share one with the other.
+        spare = 1 + apart // SPARE
         parts = apart + 1 + spare
         at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         edge = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
         filled = edge[1:] > edge[:-1]
-        if parts - filled.sum() > spare:
+        empty = parts - int(filled.sum())
+        if empty > spare:
             filled[:] = True
+        else:
+            free[tile & 1] = spare - empty
         key = mixed(np.arange(parts, dtype=np.uint64) + np.uint64((tile + 1) << 32))
-        out.append(mixed((sums[edge[1:]] - sums[edge[:-1]]) ^ key)[filled])
-    return np.concatenate(out)
+        hashed = mixed((sums[edge[1:]] - sums[edge[:-1]]) ^ key)[filled]
+        out.append(hashed & ~np.uint64(1) | np.uint64(tile & 1))
+    return np.concatenate(out), free
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -88,28 +99,32 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, set1, set2, cells, b0..``: the shingle set's size, hash, cells and bitmap."""
-    schema = "doc_id long, n_shingles long, set1 long, set2 long, cells array<long>, " + ", ".join(f"b{i} long" for i in range(BITMAP))
+    """``doc_id, n_shingles, set1, set2, cells, free0, free1, b0..``: the shingle set's size, hash, cells and bitmap."""
+    schema = "doc_id long, n_shingles long, set1 long, set2 long, cells array<long>, free0 int, free1 int, " + ", ".join(f"b{i} long" for i in range(BITMAP))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
-                sizes, hashes, lists, maps = [], [], [], []
+                sizes, hashes, lists, spared, maps = [], [], [], [], []
                 for text in utf8(part.column(1)):
                     s = shingles(text, width)
                     sizes.append(len(s))
                     hashes.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
-                    lists.append(cells(s, percent).view(np.int64))
+                    own, free = cells(s, percent)
+                    lists.append(own.view(np.int64))
+                    spared.append(free)
                     maps.append(bitmap(s))
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
                 both = np.array(hashes, np.int64).reshape(-1, 2)
+                spared = np.array(spared, np.int32).reshape(-1, 2)
                 bits = np.array(maps, np.int64).reshape(-1, BITMAP)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                    + [pa.array(spared[:, 0]), pa.array(spared[:, 1])]
                     + [pa.array(bits[:, i]) for i in range(BITMAP)],
-                    ["doc_id", "n_shingles", "set1", "set2", "cells", *(f"b{i}" for i in range(BITMAP))],
+                    ["doc_id", "n_shingles", "set1", "set2", "cells", "free0", "free1", *(f"b{i}" for i in range(BITMAP))],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -180,11 +195,20 @@ def link(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, i
     sizes = scratch.keep(facts.select("doc_id", "n_shingles"), "sizes")
     scratch.drop("facts")
     entries = mine.select("doc_id", F.explode("cells").alias("cell"))
+    shared = scratch.keep(entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    common = scratch.keep(entries.join(shared, "cell"), "common")
+    # Of a pair's cells the rarest stays on both sides: a document leaves fewer cells than it shares with any linked one.
+    free = mine.select("doc_id", "free0", "free1")
+    own = Window.partitionBy("doc_id", F.expr("cell & 1")).orderBy(F.desc("n"), "cell")
+    entries = common.withColumn("place", F.row_number().over(own)).join(free, "doc_id")
+    entries = entries.where("place > if(cell & 1 = 0, free0, free1)").select("cell", "doc_id")
+    entries = scratch.keep(entries, "entries")
+    scratch.drop("mine", "shared", "common", "classes")
     groups = entries.groupBy("cell").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("cell", "leader")
     groups = scratch.keep(groups, "groups")
     # Each member of a cell against the cell's first document.
     met = scratch.keep(entries.join(groups, "cell").select("cell", "doc_id", "leader"), "met")
-    scratch.drop("mine", "groups", "classes")
+    scratch.drop("groups", "entries")
     pairs = met.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("cells"))
     tried = scratch.keep(pairs, "pairs0")
     near = scratch.keep(filtered(tried, narrow, percent), "near0")

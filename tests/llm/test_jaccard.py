@@ -57,7 +57,7 @@ def test_components_like_all_pairs(spark, width, percent, monkeypatch):
     assert Counter(map(tuple, got.collect())) == brute(rows(values), width, percent)
 
 
-def test_linked_sets_share_a_cell():
+def test_linked_sets_share_more_cells_than_they_leave():
     rng = np.random.default_rng(1)
     for percent in (80, 90):
         for size in (1, 2, 5, 9, 19, 40, 100, 400, 2000):
@@ -67,7 +67,22 @@ def test_linked_sets_share_a_cell():
                 y = np.unique(np.concatenate([x[rng.permutation(len(x))[out:]], rng.integers(0, 2**64, rng.integers(0, size // 5 + 1), dtype=np.uint64)]))
                 both = len(np.intersect1d(x, y))
                 if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    assert len(np.intersect1d(jaccard.cells(x, percent), jaccard.cells(y, percent)))
+                    (cx, fx), (cy, fy) = jaccard.cells(x, percent), jaccard.cells(y, percent)
+                    same = np.intersect1d(cx, cy)
+                    tiles = [{jaccard.band_of(len(s), percent)[0] + k for k in (0, 1)} for s in (x, y)]
+                    for tile in set.intersection(*tiles):
+                        assert (same % 2 == tile % 2).sum() > max(fx[tile % 2], fy[tile % 2])
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for size in (1, 30, 800, 20_000):
+        for out in (0, 1, size // 10, size):
+            x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[out:], rng.integers(0, 2**64, out, dtype=np.uint64)]))
+            seen = int(np.bitwise_count((jaccard.bitmap(x) ^ jaccard.bitmap(y)).view(np.uint64)).sum())
+            assert seen <= len(np.setxor1d(x, y))
+            assert seen > 0 or not out
 
 
 def test_nothing_to_link(spark):
