@@ -7,7 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cohortry.session import ensure_checkpoint_dir, stage
+from cohortry.session import ensure_checkpoint_dir, remove_at_exit, stage
+
+LINKS_PER_BUCKET = 1_000_000
+MOST_BUCKETS = 4_096
+BUCKET = "link_bucket"
 
 
 def node_list(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -132,6 +136,11 @@ def league_factor(edges: DataFrame, anchor: str = "NHL", anchor_cycles: bool = T
     )
 
 
+def _opened(table: DataFrame, buckets: list[int]) -> DataFrame:
+    """The rows of a stored table in some of its buckets; no other file is read."""
+    return table.where(F.col(BUCKET).isin(buckets))
+
+
 def join_frontier(
     memberships: DataFrame,
     seeds: DataFrame,
@@ -140,36 +149,56 @@ def join_frontier(
     keys: tuple[str, ...] = ("league_id", "season"),
     expandable: Column | None = None,
     max_rounds: int | None = None,
+    links_per_bucket: int = LINKS_PER_BUCKET,
 ) -> DataFrame:
     """Entities reachable from the seeds through shared keys, with the round they were met in.
 
-    Only rows that satisfy ``expandable`` lead to new keys.  Rounds exchange keys and
-    entity ids.  Each round's new rows go to the shared folder as one part of a table, so
-    neither the plan nor the recovery after a lost executor grows with the rounds, and
-    the stored size tells Spark whether a round is small enough to broadcast.
+    Only rows that satisfy ``expandable`` lead to new keys; a row without entity or without one of
+    its keys links nothing.  The links are stored twice in hash buckets, the expandable ones by entity
+    and all of them by key, and so are the keys and entities met.  A round reads the buckets that its
+    frontier falls in, whose numbers (at most ``MOST_BUCKETS``) are all that the driver sees.  Each
+    round's new rows go to the shared folder as one part of a table, so neither the plan nor the
+    recovery after a lost executor grows with the rounds.
     """
     spark = memberships.sparkSession
     keys = list(keys)
     opens = F.lit(True) if expandable is None else expandable
-    links = stage(memberships.select(entity, *keys, opens.alias("_opens")).distinct(), "links")
+    links = memberships.dropna(subset=[entity, *keys]).select(entity, *keys, opens.alias("_opens")).distinct()
+    links = stage(links, "links")
+    buckets = min(MOST_BUCKETS, 1 + links.count() // links_per_bucket)
     base = f"{ensure_checkpoint_dir(spark)}/frontier-{uuid.uuid4().hex}"
-
-    def keep(df: DataFrame, table: str, step: int) -> DataFrame:
-        path = f"{base}/{table}/round={step}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    def so_far(df: DataFrame, table: str) -> DataFrame:
-        return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("round", T.IntegerType())])).parquet(f"{base}/{table}")
-
-    fresh = keep(seeds.select(entity).distinct(), "entities", 0)
+    remove_at_exit(spark, base)
+
+    def keep(df: DataFrame, table: str, by: list[str]) -> DataFrame:
+        """Store rows by the hash of some columns; a bucket that a hot key fills is several files."""
+        path = f"{base}/{table}"
+        placed = df.withColumn(BUCKET, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+        placed.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
+        return spark.read.schema(placed.schema).parquet(path)
+
+    def touched(df: DataFrame) -> list[int]:
+        return [r[0] for r in df.select(BUCKET).distinct().collect()]
+
+    def unmet(candidates: DataFrame, table: str, by: list[str], step: int) -> DataFrame:
+        """Of a round's candidates those that no earlier round met, as the round's part of the table."""
+        if step > 1 or table == "entities":
+            known = spark.read.schema(fresh.schema if table == "entities" else by_key.drop(entity).schema).parquet(f"{base}/{table}")
+            if buckets > 1:
+                candidates = keep(candidates, f"candidates/{table}-{step}", by)
+                known = _opened(known, touched(candidates))
+            candidates = candidates.select(*by).join(known.select(*by), by, "left_anti")
+        return keep(candidates, f"{table}/round={step}", by)
+
+    by_entity = keep(links.where("_opens").select(entity, *keys), "links/by_entity", [entity])
+    by_key = keep(links.select(*keys, entity), "links/by_key", keys)
+    first = seeds.select(F.col(entity).cast(links.schema[entity].dataType).alias(entity)).distinct()
+    fresh = keep(first, "entities/round=0", [entity])
     step = 0
-    while not fresh.isEmpty() and (max_rounds is None or step < max_rounds):
+    while (reached := touched(fresh)) and (max_rounds is None or step < max_rounds):
         step += 1
-        leads = links.where("_opens").select(entity, *keys).join(fresh, entity, "left_semi").select(*keys).distinct()
-        if step > 1:
-            leads = leads.join(so_far(leads, "keys").select(*keys), keys, "left_anti")
-        new_keys = keep(leads, "keys", step)
-        met = links.select(entity, *keys).join(new_keys, keys, "left_semi").select(entity).distinct()
-        fresh = keep(met.join(so_far(met, "entities").select(entity), entity, "left_anti"), "entities", step)
-    return so_far(fresh, "entities")
+        leads = _opened(by_entity, reached).join(fresh.select(entity), entity, "left_semi").select(*keys).distinct()
+        new_keys = unmet(leads, "keys", keys, step)
+        met = _opened(by_key, touched(new_keys)).join(new_keys.select(*keys), keys, "left_semi").select(entity).distinct()
+        fresh = unmet(met, "entities", [entity], step)
+    schema = T.StructType([*fresh.schema.fields, T.StructField("round", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{base}/entities").drop(BUCKET)

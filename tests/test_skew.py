@@ -156,6 +156,45 @@ def test_frontier_against_a_plain_search(spark):
     assert got == want
     once = graph.join_frontier(frame, seeds, max_rounds=1)
     assert once.agg(F.max("round")).first()[0] <= 1
+    for size in (1, 10):
+        split = graph.join_frontier(frame, seeds, expandable=F.col("player_id") % 2 == 1, links_per_bucket=size)
+        assert {r.player_id: r["round"] for r in split.collect()} == want
+
+
+def test_frontier_reads_what_its_round_opens(spark, monkeypatch):
+    """A wide first round, then a chain of single keys; rows without entity or key link nothing."""
+    links = [(0, f"wide{i}") for i in range(200)] + [(i + 1, f"wide{i}") for i in range(200)]
+    links += [(i, f"chain{i}") for i in range(200, 205)] + [(i + 1, f"chain{i}") for i in range(200, 205)]
+    links += [(None, "wide0"), (7, None), (900, None)] + [(5_000 + i, f"far{i // 2}") for i in range(400)]
+    frame = spark.createDataFrame(links, "player_id bigint, k string")
+    read, opened = [], graph._opened
+
+    def spy(table, buckets):
+        pruned = opened(table, buckets)
+        if "links" in "".join(table.inputFiles()):
+            plan = pruned._jdf.queryExecution().executedPlan().toString()
+            assert not buckets or "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan, plan
+            read.append(len(buckets))
+        return pruned
+
+    monkeypatch.setattr(graph, "_opened", spy)
+    seeds = spark.createDataFrame([(0,)], "player_id int")
+    got = {r.player_id: r["round"] for r in graph.join_frontier(frame, seeds, keys=("k",), links_per_bucket=20).collect()}
+    want = {0: 0, **{i: 1 for i in range(1, 201)}, **{200 + i: 1 + i for i in range(1, 6)}}
+    assert got == want
+    by_entity, by_key = read[0::2], read[1::2]
+    assert by_key[0] > 10 and all(n <= 1 for n in by_key[2:])
+    assert by_entity[1] > 10 and all(n == 1 for n in by_entity[2:])
+
+
+def test_frontier_of_a_hot_key_and_of_nothing(spark):
+    links = [(i, "hot" if i % 3 == 0 else f"k{i}") for i in range(900)]
+    frame = spark.createDataFrame(links, "player_id bigint, k string")
+    seeds = spark.createDataFrame([(3,)], "player_id bigint")
+    got = {r.player_id for r in graph.join_frontier(frame, seeds, keys=("k",), links_per_bucket=50).collect()}
+    assert got == set(range(0, 900, 3))
+    assert graph.join_frontier(frame, seeds.limit(0), keys=("k",)).isEmpty()
+    assert {tuple(r) for r in graph.join_frontier(frame.limit(0), seeds, keys=("k",)).collect()} == {(3, 0)}
 
 
 ROOT = Path(__file__).resolve().parents[1] / "cohortry"
