@@ -3,7 +3,8 @@
 A total order is taken over ``(value, digest)``, the digest being the md5 text of a
 seeded key.  Rows are counted per bucket of that order (combined map-side), the
 few bucket counts are accumulated, and only the bucket that holds a wanted position
-is sorted.  Wide rows never move: callers compare each row with the cut key.
+is sorted, after it has been narrowed to a bounded number of rows.  Wide rows never
+move: callers compare each row with the cut key.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from cohortry.session import stage
 
 HASH_BUCKETS = 65_536
 VALUE_SPLITS = 1_024
+SORT_ROWS = 1_000_000
 _DIGEST_HEX = 12
 _DIGEST_SPAN = float(16**_DIGEST_HEX)
 
@@ -63,6 +65,55 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(named, same, how).drop(*[f"__{k}" for k in keys])
 
 
+def _share(x: Column, low: Column, high: Column, parts: int) -> Column:
+    """In which of equal parts of ``[low, high]`` a number lies; never falls as it grows."""
+    whole = F.coalesce(F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * parts), F.lit(0))
+    halves = F.floor((x / 2 - low / 2) / (high / 2 - low / 2) * parts)
+    return F.when(high - low == float("inf"), halves).otherwise(whole)
+
+
+def _narrow(inside: DataFrame, groups: list[str], most: int, parts: int) -> DataFrame:
+    """Leave of each group's rows, by and by, at most ``most`` among which row ``_at`` of the group is.
+
+    Each round cuts a group's span of values into equal parts and keeps the part that holds row ``_at``;
+    a group of one value is cut by digest.  The extremes fall into different parts, so every round
+    leaves rows out; rows that agree in value and digest are copies and need no more rounds.
+    """
+    infinite = F.abs("_value") == float("inf")
+    finite = F.when(~infinite, F.col("_value"))
+    fraction = digest_fraction(F.col("_digest"))
+    while True:
+        inside = stage(inside, "cut-rows")
+        ends = inside.groupBy(*groups).agg(
+            F.min(finite).alias("_low"),
+            F.max(finite).alias("_high"),
+            (F.min("_value") == F.max("_value")).alias("_tied"),
+            F.min(fraction).alias("_first"),
+            F.max(fraction).alias("_last"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
+        ends = stage(ends, "cut-ends")
+        if ends.where((F.col("_rows") > most) & ~(F.col("_tied") & (F.col("_first") == F.col("_last")))).isEmpty():
+            return inside
+        by_value = (
+            F.when(~infinite, _share(F.col("_value"), F.col("_low"), F.col("_high"), parts))
+            .when(F.col("_value") < 0, F.lit(-1))
+            .otherwise(F.lit(parts + 1))
+        )
+        by_digest = _share(fraction, F.col("_first"), F.col("_last"), parts)
+        placed = null_safe_join(inside, ends.drop("_rows"), groups).withColumn(
+            "_part", F.when(F.col("_tied"), by_digest).otherwise(by_value).cast("bigint")
+        )
+        counts = placed.groupBy(*groups, "_at", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        running = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        held = (
+            counts.withColumn("_upto", F.sum("_n").over(running))
+            .where("_at > _upto - _n and _at <= _upto")
+            .select(*groups, "_part", (F.col("_at") - F.col("_upto") + F.col("_n")).alias("_at"))
+        )
+        inside = null_safe_join(placed.select(*inside.columns, "_part").drop("_at"), stage(held, "cut-parts"), [*groups, "_part"]).drop("_part")
+
+
 def order_cuts(
     df: DataFrame,
     key: str,
@@ -73,12 +124,15 @@ def order_cuts(
     seed: int = 0,
     buckets: int = HASH_BUCKETS,
     splits: int = VALUE_SPLITS,
+    sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
     """The rows at given 1-based positions of the order ``(value, digest(key))``.
 
     ``positions`` map the stratum size to a position.  Returns
     ``strata.., cut_no, n, position, cut_value, cut_digest``; a position of 0 has a NULL key.
     NULL is a stratum of its own; rows whose value is NULL or NaN are not counted.
+    A bucket of more than ``sort_rows`` rows is narrowed before it is sorted; copies of a row count
+    as one there.
     """
     strata = list(strata)
     base = df.select(
@@ -87,7 +141,9 @@ def order_cuts(
         digest(key, seed).alias("_digest"),
     )
     if value:
-        base = _value_buckets(base.where(F.col("_value").isNotNull() & ~F.isnan("_value")), splits)
+        # Read for the grid, for the counts and for the rows of the bucket: written narrow, once.
+        base = stage(base.where(F.col("_value").isNotNull() & ~F.isnan("_value")), "cut-base")
+        base = _value_buckets(base, splits)
     else:
         base = base.withColumn("_b", F.floor(digest_fraction(F.col("_digest")) * buckets)).withColumn(
             "_sub", F.lit(0).cast("bigint")
@@ -112,16 +168,21 @@ def order_cuts(
     )
     hit = spots.where(
         (F.col("position") > F.col("_upto") - F.col("_n")) & (F.col("position") <= F.col("_upto"))
-    ).select(*strata, *spot, "n", "cut_no", "position", (F.col("position") - F.col("_upto") + F.col("_n")).alias("_at"))
-    # Stored, so that its size is known: a few rows per stratum, normally broadcast.
-    inside = null_safe_join(base, stage(hit, "cut-buckets"), [*strata, *spot])
-    rank = F.row_number().over(
-        Window.partitionBy(*strata, *spot, "cut_no").orderBy("_value", "_digest")
+    ).select(
+        *strata, *spot, "n", "cut_no", "position", (F.col("position") - F.col("_upto") + F.col("_n")).alias("_at"), F.col("_n").alias("_rows")
     )
+    # Stored, so that its size is known: a few rows per stratum, normally broadcast.
+    hit = stage(hit, "cut-buckets")
+    inside = null_safe_join(base, hit.drop("_rows"), [*strata, *spot]).drop(*spot)
+    groups = [*strata, "cut_no"]
+    if not hit.where(F.col("_rows") > sort_rows).isEmpty():
+        inside = _narrow(inside, groups, sort_rows, splits)
+    copies = inside.groupBy(*groups, "n", "position", "_at", "_value", "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*groups).orderBy("_value", "_digest").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        inside.withColumn("_rank", rank)
-        .where("_rank = _at")
-        .select(*strata, "cut_no", "n", "position", F.col("_value").alias("cut_value"), F.col("_digest").alias("cut_digest"))
+        copies.withColumn("_upto", F.sum("_n").over(order))
+        .where("_at > _upto - _n and _at <= _upto")
+        .select(*groups, "n", "position", F.col("_value").alias("cut_value"), F.col("_digest").alias("cut_digest"))
     )
     return found
 

@@ -93,6 +93,36 @@ def test_median_of_a_heavy_value(spark):
     assert ordering.exact_median(frame, "v", "id").first()["median"] == float(np.median([v for _, v in data]))
 
 
+@pytest.mark.parametrize("kind", ["spread", "heavy", "copies", "wide"])
+def test_cuts_by_repeated_narrowing(spark, kind):
+    """Four parts a round and at most five rows to sort: several rounds, by value and by digest."""
+    data = {
+        "spread": [(i, (i * 37 % 1009) ** 3 / 7.0, i % 2) for i in range(600)],
+        "heavy": [(i, 2.0 if i % 3 else i * 1e-9, None if i % 5 else 1) for i in range(600)],
+        "copies": [(i % 4 if i % 2 else i, 7.0 if i % 3 else float(i % 11), 0) for i in range(600)],
+        "wide": [(i, [float("inf"), -1.7e308, 5e-324, 1.7e308, float("-inf"), 0.0, 1e-300 * i][i % 7], 0) for i in range(300)],
+    }[kind]
+    frame = spark.createDataFrame(data, "id bigint, v double, s int")
+    spots = [1, 40, 77, 100]
+    positions = [(lambda m: lambda n: F.lit(m))(m) for m in spots]
+    got = ordering.order_cuts(frame, "id", positions, strata=["s"], value="v", splits=4, sort_rows=5).collect()
+    want = set()
+    for group in {s for _, _, s in data}:
+        rows = sorted((v, hashlib.md5(f"{i}:0".encode()).hexdigest()) for i, v, s in data if s == group)
+        want |= {(group, c, len(rows), m, *rows[m - 1]) for c, m in enumerate(spots)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_narrowing_takes_rounds(spark, monkeypatch):
+    """One heavy value among others: more than two rounds, and few rows left to sort."""
+    staged, stage = [], ordering.stage
+    monkeypatch.setattr(ordering, "stage", lambda df, name: (staged.append((name, out := stage(df, name))), out)[1])
+    frame = spark.createDataFrame([(i, 5.0 if i % 3 else float(i)) for i in range(3000)], "id bigint, v double")
+    ordering.order_cuts(frame, "id", [lambda n: F.lit(1500)], value="v", splits=4, sort_rows=20).collect()
+    rounds = [out.count() for name, out in staged if name == "cut-rows"]
+    assert len(rounds) >= 3 and rounds == sorted(rounds, reverse=True) and rounds[-1] <= 20
+
+
 def test_folds_are_balanced_and_disjoint(spark):
     frame = spark.range(101).withColumn("label", (F.col("id") % 5 == 0).cast("int"))
     got = prepare.ml_folds(frame, "id", "label").groupBy("label", "fold").count().collect()
