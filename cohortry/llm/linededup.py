@@ -104,18 +104,21 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, id_co
     least ten code points that two or more documents have stay only in the document with the smallest id.
 
     A null or empty text is one empty line; a null id counts as the largest.  Rows with the same id are one document:
-    its lines are no repeats of each other.  Only built-in functions are used.
+    its lines are no repeats of each other.  Rows with a null id are one document too, so lines that only they share
+    stay.  A column ``line_dedup`` of the input is replaced, all others are kept whatever their names.  Only built-in
+    functions are used.
     """
-    frame = docs.withColumns(
-        {"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__text": F.coalesce(text_col, F.lit("")), "__hash": F.xxhash64(F.coalesce(text_col, F.lit("")))}
-    )
-    found = drops(frame.select(F.col("__doc").alias("doc"), F.col("__hash").alias("text_hash"), F.col("__text").alias("text")), scratch, batches)
-    found = found.groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("pos").alias("__pos"))
-    both = frame.join(found, ["__doc", "__hash"], "left").withColumn("__lines", F.split("__text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__pos"))
-    text = F.when(F.col("__pos").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    facts = F.struct(F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__pos"), F.lit(0)).cast("long").alias("n_dropped"))
-    return both.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.when(F.lit(True), facts).alias("line_dedup"))
+    text = F.coalesce(text_col, F.lit(""))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    frame = docs.select(rest.alias("rest"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    found = drops(frame.select("doc", "text_hash", "text"), scratch, batches)
+    found = found.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("out"))
+    both = frame.join(found, ["doc", "text_hash"], "left").withColumn("lines", F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out"))
+    text = F.when(F.col("out").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    facts = F.struct(F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("out"), F.lit(0)).cast("long").alias("n_dropped"))
+    columns = [text.alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns if c != "line_dedup"]
+    return both.select(*columns, F.when(F.lit(True), facts).alias("line_dedup"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,20 @@ def test_line_dedup(spark, batches):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    """Names that the operator or its callers use; long text, repeated rows and null ids (one document) among the rows."""
+    names = ["doc", "text_hash", "rest", "out", "lines", "__doc", "__text", "__hash", "pos", "a.b"]
+    long = "\n".join(f"line number {i} of a long text" for i in range(20_000))
+    data = [(1, "the very same line\nown line of one"), (2, "The very same line \nx"), (2, "The very same line \nx"), (None, "shared by nulls"), (None, "shared by nulls"), (3, long), (4, long + "\nnew at the end")]
+    df = spark.createDataFrame([(*r, 0, *[f"{n}{i}" for n in names]) for i, r in enumerate(data)], ["doc_id", "text", "line_dedup", *names])
+    out = linededup.dedup_lines(df, Scratch(spark, "t"))
+    assert out.columns == ["doc_id", "text", *names, "line_dedup"]
+    got = sorted((int(r["doc"][3:]), r["doc_id"], r["text"], r["line_dedup"]["n_dropped"], [r[n] for n in names]) for r in out.collect())
+    kept = ["the very same line\nown line of one", "x", "x", "shared by nulls", "shared by nulls", long, "new at the end"]
+    dropped = [0, 1, 1, 0, 0, 0, 20_000]
+    assert got == [(i, data[i][0], kept[i], dropped[i], [f"{n}{i}" for n in names]) for i in range(len(data))]
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA), Scratch(spark, "t")).count() == 0
 
