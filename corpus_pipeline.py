@@ -1,6 +1,7 @@
 """A training corpus from ``documents``: quality rules, line dedup, near duplicates, mixing, packing.
 
 Each stage takes what its predecessor kept, with the columns of ``documents``; the last lays the tokens into sequences.
+Other columns of its input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept.  A verdict belongs to an id, text and language."""
     keys = {"__text": F.xxhash64(F.coalesce("text", F.lit(""))), "__lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))}
-    scratch = Scratch(spark, "pipeline-quality")
+    docs, scratch = docs.select(*COLUMNS), Scratch(spark, "pipeline-quality")
     keyed = docs.withColumns(keys)
     named = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "lang").alias("doc_id"), "text", "lang")
     kept = quality.judge(named, scratch).where("kept").select("doc_id.*").distinct()
@@ -30,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that an earlier document has; ``n_chars`` follows the text."""
-    out = linededup.dedup_lines(docs, Scratch(spark, "pipeline-lines"))
+    out = linededup.dedup_lines(docs.select(*COLUMNS), Scratch(spark, "pipeline-lines"))
     return out.withColumn("n_chars", F.when(F.col("line_dedup.n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -41,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated rows one stays; empty texts are no duplicates.
     """
     scratch = Scratch(spark, "pipeline-jaccard")
-    docs = docs.withColumn("__node", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    docs = docs.select(*COLUMNS).withColumn("__node", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     groups = jaccard.link(docs.select("__node", "text"), scratch, 5, 80, id_col="__node").where("n_shingles > 0").distinct()
     nodes = docs.groupBy("__node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     nodes = scratch.keep(nodes.join(groups, F.col("__node") == groups["doc_id"]).select("__node", "id", "n", "component_id"), "nodes")
@@ -55,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    docs = docs.select(*COLUMNS)
     taken = mixing.mix(docs, Scratch(spark, "pipeline-mixing"), near=mixing.NEAR).where("taken > 0")
     taken = taken.select("doc_id", "source", "text_hash", (F.col("taken") / F.col("size")).cast("int").alias("times")).distinct()
     keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -65,7 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4,096 ids."""
-    return packing.pack(docs, Scratch(spark, "pipeline-packing"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs.select(*COLUMNS), Scratch(spark, "pipeline-packing"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
