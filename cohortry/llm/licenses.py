@@ -97,13 +97,13 @@ def scan(docs: DataFrame, scratch: Scratch, templates: dict[str, str] | None = N
     table = scratch.keep(template_table(spark, given + (license_texts.texts() if templates is None else []), least), "templates")
     # The templates are a parameter and stay small: a row for each, and a row for each template and band.
     bands = F.broadcast(table.select("template", "n_words", F.explode(bands_of(F.col("in_template"))).alias("band")))
-    known = F.broadcast(table.select(F.explode("in_template").alias("h")).agg(F.collect_set("h").alias("known")))
+    known = table.select(F.explode("in_template").alias("h")).agg(F.collect_set("h").alias("known"))
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # Rows without an id are told apart by their text.
     df = df.withColumn("text_key", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))).withColumn("words", words_of(F.col("text")))
     # Through the generator, so that the filters below are not pushed into the shingles' expression and computed per word.
     df = df.select("doc_id", "text_key", F.explode(F.array(shingles_of("words"))).alias("shingles"))
-    df = df.crossJoin(known).select("doc_id", "text_key", "shingles", F.explode(F.array(F.array_intersect("shingles", "known"))).alias("hits")).where(F.size("hits") > 0)
+    df = df.withColumn("known", known.scalar()).select("doc_id", "text_key", "shingles", F.explode(F.array(F.array_intersect("shingles", "known"))).alias("hits")).where(F.size("hits") > 0)
     # A text that lacks more of a template's shingles than a window may has no window with enough of them.
     small = F.broadcast(table.select("n_words", "in_template"))
     enough = (F.size("hits") >= least * F.size("in_template")) & (F.size(F.array_intersect("in_template", "hits")) >= least * F.size("in_template"))

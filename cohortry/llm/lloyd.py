@@ -169,7 +169,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = [(c, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centroids.tolist())]
     facts = spark.createDataFrame(hashes, "cluster int, centroid_sha256 string")
     sums = out.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    facts = facts.join(sums, "cluster").crossJoin(out.agg(F.sum("distance").alias("inertia")))
+    facts = facts.join(sums, "cluster").withColumn("inertia", out.agg(F.sum("distance").alias("inertia")).scalar())
     # A row per centroid: eight at most.
     return out.join(F.broadcast(facts), "cluster").select(*[c.split()[0] for c in OUT.split(", ")])
 
