@@ -9,7 +9,7 @@ from cohortry.llm.scratch import Scratch, documents
 
 OVERHEAD = 16
 OLD, NEW = 32, 40
-LEAST_BLOCKS = 16  # blocks of a size class in an old shard, at least
+LEAST_BLOCKS = 256  # blocks of a size class in an old shard, at least
 ROWS_A_BLOCK = 2_000
 BLOCK = ["old", "size_class", "block"]
 
@@ -66,37 +66,44 @@ def transfers(sizes: dict[int, int], shards: int) -> list[tuple[int, int, int, i
     return out
 
 
+def block_transfers(rows: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """Where each block goes as a whole: ``old, size_class, block, n, bytes, shard``.
+
+    Takes the documents' ``size`` with the block they are in.  The flow gives each old shard's stretches of bytes; a
+    block goes where its middle falls.  One total per old shard goes to the driver.
+    """
+    blocks = scratch.keep(rows.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "blocks")
+    totals = {r["old"]: r["bytes"] for r in blocks.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect()}
+    plan = scratch.spark.createDataFrame(transfers(totals, shards), "old int, shard int, first long, last long")
+    plan = plan.groupBy("old").agg(F.collect_list(F.struct("first", "last", "shard")).alias("plan"))
+    order = Window.partitionBy("old").orderBy("size_class", "block").rowsBetween(Window.unboundedPreceding, 0)
+    middle = blocks.withColumn("middle", F.sum("bytes").over(order) - F.col("bytes") / 2)
+    # A row for each old shard, with at most a stretch for each new one.
+    goes = F.filter("plan", lambda s: (F.col("middle") >= s["first"]) & (F.col("middle") < s["last"]))
+    return middle.join(F.broadcast(plan), "old").select(*BLOCK, "n", "bytes", F.get(goes, F.lit(0))["shard"].alias("shard"))
+
+
 def reshard(docs: DataFrame, old, shards: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Move documents from their ``old`` shards (a column or expression) to ``shards`` new ones of near equal bytes.
+    """Move blocks of documents from their ``old`` shards (a column or expression) to ``shards`` new ones of near equal bytes.
 
-    Returns ``doc_id, size, text_crc32, old, shard, slot``.  Within an old shard the documents lie by falling size
-    class, so the ends of the stretches that move fall among small documents; a document goes where its middle falls.
-    One total per old shard goes to the driver.
+    Returns ``doc_id, size, text_crc32, old, size_class, block, shard, slot``.  A block is a hash bucket of one size class
+    of an old shard and moves or stays as a whole.  Within an old shard the blocks lie by falling size class, so the ends
+    of the stretches that move fall among blocks of small documents.
 
-    A null text has no bytes; null ids are hashed as such; repeated rows are placed each; other columns are not read.
+    The bytes decide alone: equal texts with different ids are different documents and may part.  A null text has no
+    bytes; null ids are hashed as such; repeated rows are placed each, in one block; other columns are not read.
     """
     crc = F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + OVERHEAD).cast("long").alias("size"), crc.alias("text_crc32"), old.cast("int").alias("old"))
     rows = scratch.keep(rows, "rows")
-    totals = {r["old"]: (r["size"], r["n"]) for r in rows.groupBy("old").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    blocks = max(LEAST_BLOCKS, *(n // ROWS_A_BLOCK for _, n in totals.values()), 0) if totals else 1
+    most = rows.groupBy("old").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, most // ROWS_A_BLOCK)
     rows = rows.withColumns({"size_class": -F.floor(F.log2("size") * 2).cast("int"), "block": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int")})
-    # Where each block starts in its old shard.
-    sums = rows.groupBy(*BLOCK).agg(F.sum("size").alias("bytes"))
-    sums = sums.withColumn("start", F.sum("bytes").over(Window.partitionBy("old").orderBy("size_class", "block")) - F.col("bytes")).drop("bytes")
-    inside = Window.partitionBy(*BLOCK).orderBy("doc_id", "text_crc32")
-    placed = rows.join(sums, BLOCK).withColumn("middle", F.col("start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
-    plan = scratch.spark.createDataFrame(transfers({i: size for i, (size, _) in totals.items()}, shards), "old int, shard int, first long, last long")
-    plan = plan.groupBy("old").agg(F.collect_list(F.struct("first", "last", "shard")).alias("plan"))
-    # A row for each old shard, with at most a stretch for each new one.
-    goes = F.filter("plan", lambda s: (F.col("middle") >= s["first"]) & (F.col("middle") < s["last"]))
-    placed = placed.join(F.broadcast(plan), "old").withColumn("shard", F.get(goes, F.lit(0))["shard"]).drop("plan", "middle", "start")
-    placed = scratch.keep(placed, "placed")
-    counts = placed.groupBy("shard", *BLOCK).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy(*BLOCK)) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("shard", *BLOCK).orderBy("doc_id", "text_crc32")) - 1
-    slots = placed.join(counts, ["shard", *BLOCK]).withColumn("slot", (F.col("before") + rank).cast("long"))
-    return slots.select("doc_id", "size", "text_crc32", "old", "shard", "slot")
+    moves = scratch.keep(block_transfers(rows, shards, scratch), "moves")
+    first = F.sum("n").over(Window.partitionBy("shard").orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    rank = F.row_number().over(Window.partitionBy(*BLOCK).orderBy("doc_id", "text_crc32")) - 1
+    slots = rows.withColumn("rank", rank).join(moves.select(*BLOCK, "shard", first.alias("before")), BLOCK)
+    return slots.select("doc_id", "size", "text_crc32", *BLOCK, "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

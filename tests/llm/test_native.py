@@ -155,6 +155,22 @@ def test_resharding(spark, tmp_path):
     assert sharding.reshard(spark.createDataFrame([], SCHEMA), F.lit(0), 4, Scratch(spark, "t")).count() == 0
 
 
+def test_resharding_moves_whole_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST_BLOCKS", 16)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lpad(F.lit(""), 20, "x").alias("text"))
+    old = F.pmod("doc_id", F.lit(4))
+    got = sharding.reshard(df, old, 5, Scratch(spark, "t")).collect()
+    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(16))
+    where, shards = {r[0]: (r[1], r[2]) for r in df.select("doc_id", old, block).collect()}, defaultdict(set)
+    for r in got:
+        shards[where[r["doc_id"]]].add(r["shard"])
+    assert len(got) == 3000 and len(shards) == 64 and all(len(s) == 1 for s in shards.values())
+    largest = max(Counter(where[r["doc_id"]] for r in got).values())
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(5)) and max(abs(n - 600) for n in counts.values()) <= 2 * largest  # at most four ends, half a block each
+    assert sum(r["old"] != r["shard"] for r in got) <= 600 + 2 * largest
+
+
 def test_cheapest_flow_moves_the_least():
     assert sum(u for (i, j), u in sharding.cheapest_flow([10, 4, 7], [7, 7, 7], lambda i, j: int(i != j)).items() if i != j) == 3
     costs = [[4, 1, 3], [2, 0, 5], [3, 2, 2]]
