@@ -67,6 +67,7 @@ class PrefixCoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.prefixes: dict[str, tuple[int, int, int, int]] = {}
         self.steps = Cache(self.chunk_steps)
+        self.plain = Cache(self.piece_steps)
         self.ids = Cache(self.chunk_ids)
 
     # -- one word -----------------------------------------------------------------------------------------------
@@ -160,27 +161,43 @@ class PrefixCoder:
             return [len(self.chunk_ids(chunk[:k].encode())) // 4 for k in range(1, len(chunk) + 1)]
         out, before = [], 0
         for piece in PIECES.findall(chunk.lower()):
-            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
-                out += [before + sum(self.table(p)[-1][3] for p in PIECES.findall(piece[:k])) for k in range(1, len(piece) + 1)]
-            elif piece.isascii():
-                out += [before + row[3] for row in self.table(piece)[1:]]
-            else:
-                rows, at = self.table(self.shown(piece)), 0
-                for c in piece:
-                    at += len(c.encode())
-                    out.append(before + rows[at][3])
+            out += [before + n for n in self.piece_counts(piece)]
             before = out[-1]
         return out
 
+    def piece_counts(self, piece: str) -> list[int]:
+        """Token counts at every prefix of a plain piece, from one character on."""
+        if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
+            return [sum(self.table(p)[-1][3] for p in PIECES.findall(piece[:k])) for k in range(1, len(piece) + 1)]
+        if piece.isascii():
+            return [row[3] for row in self.table(piece)[1:]]
+        rows, at, out = self.table(self.shown(piece)), 0, []
+        for c in piece:
+            at += len(c.encode())
+            out.append(rows[at][3])
+        return out
+
+    def piece_steps(self, piece: str) -> bytes:
+        return self.signed(self.piece_counts(piece))
+
     def chunk_steps(self, raw: bytes) -> bytes:
-        """The change of the count at each character, as signed bytes (see ``text_steps`` for changes that do not fit)."""
-        steps: list[int] = []
-        for part in WORDS_AND_GAPS.findall(raw):
-            if part.isspace():
-                steps += [0] * len(part)
-            else:
-                counts = self.counts(part.decode())
-                steps += [n - m for m, n in zip([0, *counts], counts)]
+        """The change of the count at each character, as signed bytes (see ``text_steps`` for changes that do not fit).
+
+        Texts are cut at spaces; a run that holds other white space is put together from its own runs.
+        """
+        parts = WORDS_AND_GAPS.findall(raw)
+        if len(parts) != 1:
+            return b"".join([bytes(len(p)) if p.isspace() else self.steps[p] for p in parts])
+        chunk = raw.decode()
+        if raw.isspace():
+            return bytes(len(raw))
+        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            return b"".join(map(self.plain.__getitem__, PIECES.findall(chunk.lower())))
+        return self.signed(self.counts(chunk))
+
+    def signed(self, counts: list[int]) -> bytes:
+        """The changes of the counts as signed bytes."""
+        steps = [n - m for m, n in zip([0, *counts], counts)]
         if len(steps) > SIGNED and max(map(abs, steps)) > SIGNED:
             raise OverflowError
         return bytes([n & 255 for n in steps])

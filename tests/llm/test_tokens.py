@@ -43,6 +43,16 @@ def test_full_caches_change_nothing(library, monkeypatch):
         assert len(coder.text_ids(text.encode())) // 4 == coder.text_steps(text.encode()).sum(dtype=int) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_a_piece_is_encoded_once(library, monkeypatch):
+    coder = tokens.PrefixCoder(PATH)
+    asked, table = [], coder.table
+    monkeypatch.setattr(coder, "table", lambda word: asked.append(word) or table(word))
+    text = "hello Hello, (hello) hello.\nhello\n\thello's été,été hello\nhello.\n"
+    steps = coder.text_steps(text.encode())
+    assert np.cumsum(steps, dtype=int)[-1] == len(library.encode(text, add_special_tokens=False).ids) and len(steps) == len(text)
+    assert asked.count("hello") == 1 and asked.count(coder.shown("été")) == 1
+
+
 def test_prefix_table_answers_questions(spark, library):
     out = tokens.prefix_counts(frame(spark), PATH, 50).collect()
     assert len(out) == len(rows())
