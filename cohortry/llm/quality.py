@@ -97,16 +97,31 @@ def distance(counts: str, reference: str) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
+def places(common: DataFrame) -> DataFrame:
+    """Adds ``listed``, the common words between line breaks, and ``marks``, with a letter for each word where its line
+    break stands in ``listed``, one character on; the first letter is for words that are not listed.
+    """
+    padded = F.transform("common", lambda w, k: F.rpad(F.get(F.array(*map(F.lit, LETTERS)), k + 1), F.char_length(w) + 1, F.lit(" ")))
+    return common.withColumns(
+        {
+            "listed": F.concat(F.lit("\n"), F.array_join("common", "\n"), F.lit("\n")),
+            "marks": F.concat(F.lit(LETTERS[0]), F.array_join(padded, "")),
+            "longest": F.array_max(F.transform("common", lambda w: F.octet_length(w))),
+        }
+    )
+
+
 def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     """One narrow row per document with its counts and histograms."""
-    df = docs.join(common, "lang_key", "left").withColumn("words", words_of(F.col("text")))
+    df = docs.join(places(common), "lang_key", "left").withColumn("words", words_of(F.col("text")))
     joined, n = F.array_join("words", ""), F.size("words").cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     df = df.withColumn("n_words", n).withColumn("lines", lines).withColumn("joined", joined)
     # A letter for each word: its place among the common words, or the first letter.
-    letters = F.array(*map(F.lit, LETTERS))
-    places = F.array_join(F.transform("words", lambda w: F.get(letters, F.array_position("common", w).cast("int"))), "")
-    df = repeated_words(df.withColumn("places", places))
+    mark = lambda w: F.when(F.octet_length(w) > F.col("longest"), LETTERS[0]).otherwise(
+        F.substring("marks", F.instr("listed", F.concat(F.lit("\n"), w, F.lit("\n"))) + 1, F.lit(1))
+    )
+    df = repeated_words(df.withColumn("places", F.array_join(F.transform("words", mark), "")))
     bins = [F.octet_length("places") - F.octet_length(F.replace(F.col("places"), F.lit(x), F.lit(""))) for x in LETTERS]
     return df.select(
         *[c for c in docs.columns if c != "text"],

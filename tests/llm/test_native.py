@@ -178,6 +178,19 @@ def test_cheapest_flow_moves_the_least():
     assert sum(costs[i][j] * u for (i, j), u in flow.items()) == 5
 
 
+def test_common_words_are_found_without_a_search_per_list_entry(spark):
+    listed = ["the", "é", "0", "t", "ab c".replace(" ", "\u00a0"), "the,", "😀"]
+    texts = ["the the, t 0 e é éé 0 th he the\n😀 😀😀 ab\u00a0c ab", "1 2 ,", ""]
+    docs = spark.createDataFrame([(i, t, "=x", i) for i, t in enumerate(texts)], "doc_id long, text string, lang_key string, text_key long")
+    common = spark.createDataFrame([("=x", listed)], "lang_key string, common array<string>")
+    measured = quality.measure(docs, common)
+    for r in measured.collect():
+        words = texts[r["doc_id"]].replace("\n", " ").split(" ") if texts[r["doc_id"]] else []
+        want = [sum(w not in listed for w in words)] + [words.count(w) for w in listed]
+        assert r["bins"] == want + [0] * (quality.COMMON + 1 - len(want))
+    assert "array_position" not in measured._jdf.queryExecution().toString()
+
+
 def brute_quality(text):
     words = WORD.findall(text)
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
