@@ -1,7 +1,9 @@
 """Links and components against all pairs, on a small fixture."""
 
+import os
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -94,3 +96,22 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = dict(map(tuple, components(edges, Scratch(spark, "t"), "c").collect()))
     assert got == {**dict.fromkeys(range(41), 0), 100: 90, 90: 90, 95: 90}
+
+
+def test_the_cells_do_not_lie_on_disk_twice(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choices("abcdefghijklmnop", k=150))) for i in range(1200)]
+    data += [(5000 + i, data[i][1]) for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    scratch, keep, bytes_at = Scratch(spark, "t"), Scratch.keep, {}
+
+    def kept(self, df, name, *more):
+        out = keep(self, df, name, *more)
+        folder = self.root.removeprefix("file:")
+        bytes_at[name] = sum((Path(at) / f).stat().st_size for at, _, files in os.walk(folder) for f in files)
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    got = jaccard.link(docs, scratch, 5, 80)
+    assert Counter(map(tuple, got.collect())) == Counter((i, n, i % 5000) for i, n in ((r[0], len({tuple(r[1].split()[k : k + 5]) for k in range(146)})) for r in data))
+    assert max(bytes_at.values()) < 1.6 * bytes_at["facts"]
