@@ -115,3 +115,35 @@ def test_the_cells_do_not_lie_on_disk_twice(spark, monkeypatch):
     got = jaccard.link(docs, scratch, 5, 80)
     assert Counter(map(tuple, got.collect())) == Counter((i, n, i % 5000) for i, n in ((r[0], len({tuple(r[1].split()[k : k + 5]) for k in range(146)})) for r in data))
     assert max(bytes_at.values()) < 1.6 * bytes_at["facts"]
+
+
+def test_the_cells_are_not_shuffled_all_at_once(spark, monkeypatch):
+    rng = random.Random(9)
+    data = [(i, " ".join(rng.choices("abcdefghijklmnop", k=150))) for i in range(1200)]
+    data += [(5000 + i, data[i][1] + " end") for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    keep, sent, cells = Scratch.keep, {}, []
+
+    def shuffled():
+        found = {}
+        for d in folders:
+            found |= {p: p.stat().st_size for p in Path(d).glob("*/shuffle_*.data")}
+        return found
+
+    def kept(self, df, name, *more):
+        before = shuffled()
+        out = keep(self, df, name, *more)
+        sent[name] = sum(size for p, size in shuffled().items() if p not in before)
+        if name == "facts":
+            cells.append(8 * out.selectExpr("sum(size(cells))").first()[0])
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard.link(docs, Scratch(spark, "t"), 5, 80).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 5000 for i, _ in data}
+    assert 0 < max(sent.values()) < 0.5 * cells[0]
