@@ -147,3 +147,27 @@ def test_the_cells_are_not_shuffled_all_at_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 5000 for i, _ in data}
     assert 0 < max(sent.values()) < 0.5 * cells[0]
+
+
+def test_near_copies_are_not_all_compared(spark, monkeypatch):
+    """Copies of a text that differ in a word or two: few are linked with any one of them, all are with some."""
+    rng = random.Random(10)
+    base, docs = [f"w{rng.randrange(10**6)}" for _ in range(100)], []
+    for _ in range(240):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 2))):
+            words[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        docs.append(" ".join(words))
+    keep, found = Scratch.keep, {}
+
+    def kept(self, df, name, *more):
+        out = keep(self, df, name, *more)
+        if name == "pairs1":
+            found[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    data = [(i, x) for i, x in enumerate(docs)]
+    got = jaccard.link(spark.createDataFrame(data, "doc_id long, text string"), Scratch(spark, "t"), 5, 80)
+    assert Counter(map(tuple, got.collect())) == brute(data, 5, 80)
+    assert found["pairs1"] < len(docs)
