@@ -27,3 +27,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         both = scratch.keep(both, f"{name}-edges{k}")
         scratch.drop(f"{name}-labels{k}", f"{name}-edges{k - 1}", f"{name}-nodes{k - 1}")
     return nodes
+
+
+def extended(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``found`` (of ``components``) after further ``links`` (``a, b``), of which only those between components are followed."""
+    if links.isEmpty():
+        return found
+    one = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    across = links.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    across = across.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    across = scratch.keep(across, f"{name}-across")
+    if across.isEmpty():
+        return found
+    moved = components(across, scratch, name)
+    # A component's label is its smallest node, so a label that moves is a node of ``found``, or a node that is new.
+    to = moved.select(F.col("node").alias("label"), F.col("component").alias("to"))
+    old = found.join(to, F.col("component") == F.col("label"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    return scratch.keep(old.unionByName(moved.join(found, "node", "left_anti")), f"{name}-extended")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from cohortry.llm import jaccard
-from cohortry.llm.components import components
+from cohortry.llm.components import components, extended
 from cohortry.llm.scratch import Scratch
 from tests.llm.fixtures import SCHEMA, frame, rows, texts
 
@@ -171,3 +171,17 @@ def test_near_copies_are_not_all_compared(spark, monkeypatch):
     got = jaccard.link(spark.createDataFrame(data, "doc_id long, text string"), Scratch(spark, "t"), 5, 80)
     assert Counter(map(tuple, got.collect())) == brute(data, 5, 80)
     assert found["pairs1"] < len(docs)
+
+
+def test_components_extended_by_links(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]
+    frames = [spark.createDataFrame(part, "a long, b long") for part in (links[:160], links[160:])]
+    scratch = Scratch(spark, "t")
+    found = components(frames[0], scratch, "x")
+    want = dict(map(tuple, components(frames[0].union(frames[1]), scratch, "y").collect()))
+    got = extended(found, frames[1], scratch, "z").collect()
+    assert {n: c for n, c in got if n != c} == {n: c for n, c in want.items() if n != c}
+    assert len(got) == len({n for n, _ in got})
+    assert extended(found, frames[0], scratch, "v") is found
+    assert extended(found, frames[0].limit(0), scratch, "w") is found
