@@ -185,3 +185,23 @@ def test_components_extended_by_links(spark):
     assert len(got) == len({n for n, _ in got})
     assert extended(found, frames[0], scratch, "v") is found
     assert extended(found, frames[0].limit(0), scratch, "w") is found
+
+
+def test_links_within_components_start_no_rounds(spark, monkeypatch):
+    """Every table is some hundred tasks where there are as many partitions: components are found once, then extended."""
+    rng = random.Random(12)
+    base, docs = [f"w{rng.randrange(10**6)}" for _ in range(100)], []
+    for k in range(120):
+        words = list(base)
+        words[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        docs.append((k, " ".join(words)))
+    keep, names = Scratch.keep, []
+
+    def kept(self, df, name, *more):
+        names.append(name)
+        return keep(self, df, name, *more)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    got = jaccard.link(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "t"), 3, 90)
+    assert Counter(map(tuple, got.collect())) == brute(docs, 3, 90)
+    assert sum(name.endswith("-nodes0") for name in names) <= 1 + sum(name.endswith("-across") for name in names)
