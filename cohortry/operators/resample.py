@@ -118,10 +118,10 @@ def ml_smote(
     reach = min(k, n_min - 1)
     if reach < 1:
         raise ValueError("interpolation needs at least two minority rows")
-    pairs = near.join(minority.select(F.col("id").alias("right_id"), F.col("vec").alias("near_vec")), "right_id").select(
-        F.col("left_id").alias("seed_id"), F.col("right_id").alias("neighbour_id"), "rank", "near_vec"
-    )
+    # The neighbours' vectors meet the made rows only, not all pairs of seeds and neighbours.
+    pairs = near.select(F.col("left_id").alias("seed_id"), F.col("right_id").alias("neighbour_id"), "rank")
     drawn = made.withColumn("rank", (F.col("copy") % reach + 1).cast("int")).join(pairs, ["seed_id", "rank"])
+    drawn = drawn.join(minority.select(F.col("id").alias("neighbour_id"), F.col("vec").alias("near_vec")), "neighbour_id")
     text = F.md5(F.concat_ws(":", "seed_id", "neighbour_id", "copy", F.lit(seed)))
     mixed = F.zip_with(
         "seed_vec", "near_vec",
