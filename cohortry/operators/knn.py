@@ -1,7 +1,7 @@
 """Exact k nearest neighbours between two sets of vectors.
 
 Both sides are dealt into blocks of nearby rows: the leaves of a k-d tree over a bounded sample, a crowded
-leaf cut by a hash of the vector.  A task takes bounded many blocks of candidates and, one after the other, blocks of
+leaf cut by a hash.  A task takes bounded many blocks of candidates and, one after the other, blocks of
 queries; the pairs of tasks come from a cartesian product in which every block travels to a task once and which
 shuffles nothing.  In a task, the boxes of the blocks leave out what lies beyond a row's k-th distance, a matrix product
 with a bound on its rounding error picks the pairs that can matter, and only these get an exact distance.
@@ -20,6 +20,7 @@ from cohortry.session import stage, unstage
 
 SAMPLE_ROWS = 4_096
 BLOCK_ROWS = 2_048
+FILE_BLOCKS = 64
 # Candidates of one task, which holds them in memory.
 TASK_BYTES = 64 << 20
 DISTANCE_DIGITS = 6
@@ -28,8 +29,6 @@ _CHUNK_NUMBERS = 4_000_000
 _CHUNK_ROWS = 512
 # Numbers up to this size can be squared and added up in single precision.
 _PLAIN = 1e15
-# Copies in one batch of queries beyond which they are dealt to several blocks.
-MANY_COPIES = 64
 _ROW = "block int, id bigint, single boolean, data binary"
 _BLOCK = "block int, dims int, single boolean, vecs binary, ids binary, copies binary"
 _FOUND = "l_block int, at int, left_id bigint, found array<struct<distance:double,right_id:bigint>>"
@@ -115,8 +114,8 @@ def _joined(data: pa.Array, single: np.ndarray) -> np.ndarray:
 def _in_blocks(df: DataFrame, need: int | None, leaves: int | None, block_rows: int, name: str) -> DataFrame:
     """Stored blocks of nearby rows, of about ``block_rows`` rows; of the copies of a vector the ``need`` smallest ids.
 
-    A bounded sample in hash order is the only data that comes to the driver as vectors.  Without ``need`` all rows stay,
-    and copies that are many in one batch are dealt by id, so that they do not fill one block.
+    A bounded sample in hash order is the only data that comes to the driver as vectors.  With ``need`` a crowded leaf is
+    cut by vector, so that copies meet; without it all rows stay and it is cut by id, so that copies do not fill a block.
     """
     size = df.count()
     chosen = df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vec").collect()
@@ -131,13 +130,10 @@ def _in_blocks(df: DataFrame, need: int | None, leaves: int | None, block_rows:
             if not batch.num_rows:
                 continue
             ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            group, key = _alike(rows), _hashes(rows)
             if need is not None:
-                kept = _first_copies(ids, group, need)
-                ids, rows, key = ids[kept], rows[kept], key[kept]
-            else:
-                many = np.bincount(group)[group] > MANY_COPIES
-                key = np.where(many, _hashes(ids.reshape(-1, 1)), key)
+                kept = _first_copies(ids, _alike(rows), need)
+                ids, rows = ids[kept], rows[kept]
+            key = _hashes(rows if need is not None else ids.reshape(-1, 1))
             leaf = _leaves(rows, tree)
             block = first[leaf] + (key % parts[leaf].astype(np.uint64)).astype(np.int64)
             with np.errstate(over="ignore"):
@@ -161,7 +157,12 @@ def _in_blocks(df: DataFrame, need: int | None, leaves: int | None, block_rows:
         kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in _BLOCK.split(", ")])
 
-    return stage(df.select("id", "vec").mapInArrow(deal, _ROW).groupBy("block").applyInArrow(pack, _BLOCK), name)
+    dealt = df.select("id", "vec").mapInArrow(deal, _ROW)
+    if need is None:
+        # The files of the queries become the tasks of the search: not fewer than there is work for.
+        wanted = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(parts.sum() / FILE_BLOCKS))
+        dealt = dealt.repartition(min(wanted, int(parts.sum())), "block")
+    return stage(dealt.groupBy("block").applyInArrow(pack, _BLOCK), name)
 
 
 class _Block:

@@ -1,5 +1,7 @@
 """The neighbour search: what it writes, and its answers on awkward numbers against brute force."""
 
+import threading
+
 import numpy as np
 import pytest
 
@@ -31,6 +33,23 @@ def test_search_writes_no_copies_of_candidates(spark):
     frame.unpersist()
 
 
+def most_written(spark, action):
+    """What an action returns, and the most bytes of shuffle files beyond those before it."""
+    before, seen, done = written(spark), [0], threading.Event()
+
+    def look():
+        while not done.wait(0.05):
+            seen.append(written(spark) - before)
+
+    looking = threading.Thread(target=look)
+    looking.start()
+    try:
+        return action(), max(seen)
+    finally:
+        done.set()
+        looking.join()
+
+
 def points_of(kind, n):
     rng = np.random.default_rng(3)
     points = rng.normal(size=(n, 5))
@@ -64,6 +83,24 @@ def test_search_against_brute_force(spark, monkeypatch, kind, many_tasks):
         assert np.allclose([np.nan_to_num(r[1]) for r in mine], [d for d, _ in want], rtol=1e-12, atol=1e-9)
 
 
+def test_far_blocks_are_left_out(monkeypatch):
+    """Of a hundred blocks a chunk of queries meets those around it, and few pairs get an exact distance."""
+    rng = np.random.default_rng(6)
+    corners = [(x, y) for x in range(10) for y in range(10)]
+    points = [np.array(c) + rng.random((200, 2)) for c in corners]
+    blocks = [knn._Block(p, np.arange(200) + 200 * i, np.ones(200, np.int32)) for i, p in enumerate(points)]
+    met, exact = [], []
+    pairs, distances = knn._pairs, knn._distances
+    monkeypatch.setattr(knn, "_pairs", lambda *a: met.append(1) or pairs(*a))
+    monkeypatch.setattr(knn, "_distances", lambda a, b, i, j: exact.append(len(i)) or distances(a, b, i, j))
+    rows = np.array([4.0, 5.0]) + rng.random((150, 2))
+    best, where, place = knn._nearest(rows, blocks, 5)
+    everyone = np.vstack(points)
+    far = np.round(np.sqrt(((rows[:, None] - everyone[None]) ** 2).sum(axis=2)), 6)
+    assert (200 * where + place == np.argsort(far, axis=1, kind="stable")[:, :5]).all() and np.allclose(best, np.sort(far, axis=1)[:, :5])
+    assert len(met) <= 9 and sum(exact) < 2 * 5 * len(rows)
+
+
 def test_search_of_nothing(spark):
     some, none = frame_of(spark, points_of("plain", 5)), frame_of(spark, [])
     assert join_knn(some, none, 2).count() == join_knn(none, some, 2).count() == 0
