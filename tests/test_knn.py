@@ -5,7 +5,7 @@ import threading
 import numpy as np
 import pytest
 
-from cohortry.operators import knn
+from cohortry.operators import knn, resample
 from cohortry.operators.knn import join_knn
 
 
@@ -101,6 +101,26 @@ def test_far_blocks_are_left_out(monkeypatch):
     assert len(met) <= 9 and sum(exact) < 2 * 5 * len(rows)
 
 
+def unit_rows(spark, n, width=64, share=3):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(n, width))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in p], int(i % share == 0)) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "id bigint, vec array<double>, label int").repartition(3).persist()
+    assert frame.count() == n
+    return points, frame
+
+
+def test_undersampling_writes_the_rows_a_few_times(spark):
+    points, frame = unit_rows(spark, 4000)
+    got, most = most_written(spark, lambda: resample.near_miss_scores(frame, "label").collect())
+    assert len(got) == 4000 - 1334
+    for r in got[:100]:
+        assert abs(r.mean_distance - np.sort(np.linalg.norm(points[::3] - points[r.id], axis=1))[:3].mean()) < 2e-6
+    assert most < 3 * points.nbytes, most / points.nbytes
+    frame.unpersist()
+
+
 def test_search_of_nothing(spark):
     some, none = frame_of(spark, points_of("plain", 5)), frame_of(spark, [])
     assert join_knn(some, none, 2).count() == join_knn(none, some, 2).count() == 0
