@@ -121,6 +121,14 @@ def test_undersampling_writes_the_rows_a_few_times(spark):
     frame.unpersist()
 
 
+def test_oversampling_writes_the_rows_a_few_times(spark):
+    points, frame = unit_rows(spark, 3000)
+    made, most = most_written(spark, lambda: resample.ml_smote(frame, "label", border=([0.0] * 64, 0.0)).count())
+    assert made == 1000
+    assert most < 5 * points.nbytes, most / points.nbytes
+    frame.unpersist()
+
+
 def test_search_of_nothing(spark):
     some, none = frame_of(spark, points_of("plain", 5)), frame_of(spark, [])
     assert join_knn(some, none, 2).count() == join_knn(none, some, 2).count() == 0
